@@ -46,10 +46,10 @@ def _digit(h: Column, level: int) -> Column:
     return F.shiftrightunsigned(h, 64 - RADIX_BITS * (level + 1)).bitwiseAND(F.lit((1 << RADIX_BITS) - 1)).cast("int")
 
 
-def radix_leaves(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> list[tuple[int, ...]]:
-    """Prefixes (digits) of the leaves: every row belongs to exactly one. One counting pass per level that has oversized cells."""
+def radix_leaves(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[list[tuple[int, ...]], int]:
+    """Prefixes (digits) of the leaves, and the number of rows: every row belongs to exactly one leaf. One counting pass per level that has oversized cells."""
     digits = [_digit(F.col("th"), i) for i in range(TERM_LEVELS)] + [_digit(F.col("rh"), i) for i in range(RECORD_LEVELS)]
-    leaves, todo = [], [()]
+    leaves, todo, total = [], [()], 0
     for level, digit in enumerate(digits):
         if level == 0:
             own = rows
@@ -59,12 +59,13 @@ def radix_leaves(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> list[tuple[int,
         seen = {}
         for r in own.groupBy(*[d.alias(f"d{i}") for i, d in enumerate(digits[: level + 1])]).count().collect():
             seen[tuple(r[:-1])] = r["count"]
+        total = total or sum(seen.values())
         todo = [p for p, n in seen.items() if n > leaf_rows and level + 1 < len(digits)]
         split = set(todo)
         leaves += [p for p in seen if p not in split]
         if not todo:
             break
-    return sorted(leaves)
+    return sorted(leaves), total
 
 
 def term_counts(df: DataFrame, record: str, single: list[str] = (), multi: list[str] = (), delimiter: str = ",", leaf_rows: int = LEAF_ROWS, memory: str = LEAF_MEMORY) -> DataFrame:
@@ -76,7 +77,8 @@ def term_counts(df: DataFrame, record: str, single: list[str] = (), multi: list[
     spark = df.sparkSession
     rows = term_rows(df, record, list(single), list(multi), delimiter)
     hashed = rows.select("feat_name", "category", "record", F.xxhash64("feat_name", "category").alias("th"), F.xxhash64("record").alias("rh"))
-    leaves = radix_leaves(hashed, leaf_rows)
+    leaves, total = radix_leaves(hashed, leaf_rows)
+    parts = max(1, min(len(leaves), -(-total // leaf_rows)))
     folder = shared_dir(spark)
     spill = folder.removeprefix("file://") if folder.startswith(("file://", "/")) else None
     digits = [_digit(F.col("th"), i) for i in range(TERM_LEVELS)] + [_digit(F.col("rh"), i) for i in range(RECORD_LEVELS)]
@@ -88,7 +90,7 @@ def term_counts(df: DataFrame, record: str, single: list[str] = (), multi: list[
     for n, ps in sorted(by_len.items()):
         table = F.create_map(*[x for p in ps for x in (F.lit("/".join(map(str, p))), F.lit(place[p]))])
         leaf = F.coalesce(table[F.concat_ws("/", *digits[:n])], leaf) if n > 1 else F.coalesce(F.create_map(*[x for p in ps for x in (F.lit(p[0]), F.lit(place[p]))])[digits[0]], leaf)
-    source = hashed.select(leaf.alias("leaf"), "feat_name", "category", "record").repartition(max(1, len(leaves)), "leaf").sortWithinPartitions("leaf") if len(leaves) > 1 else hashed.select(F.lit(0).alias("leaf"), "feat_name", "category", "record").coalesce(1)
+    source = hashed.select(leaf.alias("leaf"), "feat_name", "category", "record").repartition(parts, "leaf").sortWithinPartitions("leaf") if len(leaves) > 1 else hashed.select(F.lit(0).alias("leaf"), "feat_name", "category", "record").coalesce(1)
 
     def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
