@@ -13,7 +13,6 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,19 +26,12 @@ RADIX_BITS, LEAF_ROWS, LEAF_MEMORY = 6, 500_000, "200MB"
 TERM_LEVELS, RECORD_LEVELS = 5, 5
 
 
-def _occurrence(feat: str, x: Column) -> Column:
-    return F.struct(F.lit(feat).alias("feat_name"), x.alias("category"))
-
-
 def term_rows(df: DataFrame, record: str, single: list[str] = (), multi: list[str] = (), delimiter: str = ",") -> DataFrame:
     """(feat_name, category, record): one row an occurrence. Blanks removed, missing values and list elements dropped."""
-    parts = [F.when(clean(c).isNotNull(), F.array(_occurrence(c, clean(c)))) for c in single]
-    for c in multi:
-        items = F.transform(F.split(clean(c), re.escape(delimiter)), clean)
-        parts.append(F.transform(F.array_compact(items), partial(_occurrence, c)))
-    empty = F.array().cast("array<struct<feat_name:string,category:string>>")
-    cells = F.concat(*[F.coalesce(p, empty) for p in parts])
-    return df.select(F.col(record).alias("record"), F.inline(cells))
+    cols = [F.struct(F.lit(c).alias("feat_name"), F.array(F.col(c).cast("string")).alias("items")) for c in single]
+    cols += [F.struct(F.lit(c).alias("feat_name"), F.split(F.col(c), re.escape(delimiter)).alias("items")) for c in multi]
+    long = df.select(F.col(record).alias("record"), F.inline(F.array(*cols))).select("record", "feat_name", F.explode("items").alias("item"))
+    return long.select("record", "feat_name", clean("item").alias("category")).where("category IS NOT NULL")
 
 
 def _digit(h: Column, level: int) -> Column:
