@@ -215,14 +215,19 @@ class MultiCategoryEncoderModel(Model, _Columns, _WithData):
         new = []
         for idx, levels in zip(self.index_arrays(), self.labels, strict=True):
             if self.getOrDefault("indexOnly"):
-                new.append(array_to_vector(idx.cast("array<double>")))
+                new.append(_vector(idx.cast("array<double>")))
                 continue
             n = len(levels) + 1
             dense = _multi_hot(idx, n)
-            new.append(_to_sparse(dense) if self.getOrDefault("outputSparse") else array_to_vector(dense))
+            new.append(_to_sparse(dense) if self.getOrDefault("outputSparse") else _vector(dense))
         return self._append(df, new)
 
 
+def _vector(a: Column) -> Column:
+    """A dense vector; NULL stays NULL, which the built-in conversion alone doesn't allow."""
+    return F.when(a.isNotNull(), array_to_vector(F.coalesce(a, F.array().cast("array<double>"))))
+
+
 def _multi_hot(idx: Column, n: int) -> Column:
     def one(i: Column) -> Column:
         return F.when(F.array_contains(idx, i), 1.0).otherwise(0.0)

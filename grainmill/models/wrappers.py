@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
@@ -27,6 +26,8 @@ MISSING = ("MeanImputation", "Skip")
 ENCODINGS = ("AUTO", "Enum", "OneHotInternal", "OneHotExplicit", "Binary", "Eigen", "LabelEncoder", "SortByResponse", "EnumLimited")
 HISTOGRAMS = ("AUTO", "UniformAdaptive", "QuantilesGlobal", "Random", "RoundRobin")
 ACTIVATIONS = ("Linear", "Softmax", "Rectifier", "RectifierWithDropout", "Tanh", "TanhWithDropout", "Maxout", "MaxoutWithDropout")
+#: The level of a category that is NULL or empty.
+NO_LEVEL = "<none>"
 
 
 @dataclass
@@ -53,7 +54,9 @@ class _Dense:
 
     def _prepare(self, df: DataFrame) -> DataFrame:
         y = F.col(self.label).cast("double" if self.family == "gaussian" else "string")
-        out = df.select(*[F.col(c).cast("double").alias(c) if isinstance(df.schema[c].dataType, T.NumericType) else F.coalesce(F.col(c), F.lit("")).alias(c) for c in self.features], y.alias("__y")).where("__y IS NOT NULL")
+        x = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))  # noqa: E731 - NaN and infinities count as missing
+        level = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", NO_LEVEL).otherwise(F.col(c))
+        out = df.select(*[(x if isinstance(df.schema[c].dataType, T.NumericType) else level)(c).alias(c) for c in self.features], y.alias("__y")).where("__y IS NOT NULL")
         return out.na.drop(subset=self._check(df)[1]) if self.missing == "Skip" else out
 
     def _stages(self, df: DataFrame, one_hot: bool, scale: bool = False) -> list:
@@ -228,7 +231,7 @@ class Svm(_Dense):
 
 @dataclass
 class Mlp(_Dense):
-    """Multi-layer perceptron by Spark ML (sigmoid layers, L-BFGS). `local_mlp` has the other activations, dropout and penalties."""
+    """Multi-layer perceptron by Spark ML (sigmoid layers, L-BFGS). `grainmill.models.network` has the other activations, dropout and penalties."""
 
     hidden: list[int] = field(default_factory=lambda: [200, 200])
     epochs: int = 10
@@ -262,8 +265,3 @@ def accuracy(scored: DataFrame, prediction: str, label: str) -> DataFrame:
 def right_rate(scored: DataFrame, probability: str, label: str) -> DataFrame:
     """(right_rate): share of rows with (p > 0.5) == (label > 0)."""
     return scored.agg(F.avg(((F.col(probability) > 0.5) == (F.col(label) > 0)).cast("double")).alias("right_rate"))
-
-
-def init_layers(sizes: list[int], seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    rng = np.random.default_rng(seed)
-    return [(rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.session import clean, table
+from grainmill.session import clean, clean_num, table
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 NUMS, CATS = ["age", "income", "dwell_sec", "bid"], ["city", "os_name", "ad_slot"]
@@ -23,7 +23,7 @@ def sql_clean(c: str) -> str:
 def dense(spark: SparkSession, d: str) -> DataFrame:
     """dense_samples with blanks around strings removed and missing strings NULL."""
     df = table(spark, d, "dense_samples")
-    return df.select("sample_id", "load_id", *NUMS, *[clean(c).alias(c) for c in ("user_key", "label", "city", "os_name", "device_code", "ad_slot", "tags")])
+    return df.select("sample_id", "load_id", *[clean_num(c).alias(c) for c in NUMS], *[clean(c).alias(c) for c in ("user_key", "label", "city", "os_name", "device_code", "ad_slot", "tags")])
 
 
 #: The same as a common table expression.
