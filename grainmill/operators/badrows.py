@@ -201,10 +201,11 @@ def _block_csv(lines: pa.Array) -> dict:
     )
     if t.num_rows != len(lines):
         raise _Refused
-    col = {c: _blank_to_null(pc.utf8_trim(t[c].combine_chunks(), BLANKS)) for c in CSV_FIELDS}
-    label = _labels(col["label"])
+    field = lambda c: _blank_to_null(pc.utf8_trim(t[c].combine_chunks(), BLANKS))
+    label = _labels(field("label"))
     for c in CSV_NUMBERS:
-        _floats(col[c])
+        _floats(field(c))
+    col = {c: field(c) for c in CSV_FIELDS if c != "label"}
     names = [c for c in CSV_FIELDS if c != "label"]
     n = len(lines)
     return {"label": label, "names": pa.array([names] * n, PARSED.field("names").type), "texts": _interleave([col[c] for c in names], n)}
@@ -259,7 +260,7 @@ def _as_batch(cols: dict, n: int) -> pa.RecordBatch:
 
 
 #: Failing blocks are halved down to so few lines; each of these goes to the strict parser, which costs less than one more call of the fast path.
-LEAF_ROWS = 8
+LEAF_ROWS = 32
 
 
 def parse_block(feed: str | None, lines: pa.Array, calls: list | None = None, leaf_rows: int = LEAF_ROWS) -> pa.Table:
