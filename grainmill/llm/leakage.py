@@ -28,6 +28,8 @@ from grainmill.session import cut
 SHINGLE, RUN_WORDS, NEED = 5, 20, 6
 #: Shingles of evaluation items per pass (about 100 bytes each on an executor).
 ITEMS_PER_BLOCK = 2_000_000
+#: Spellings whose number a task remembers; others are looked up anew.
+KNOWN_WORDS = 300_000
 
 
 class ItemIndex:
@@ -149,7 +151,7 @@ def _leaks_of(docs: DataFrame, index: ItemIndex, ddl: str, doc_key: str, text_co
             got = known.get(w)
             if got is None:
                 got = number.get(canonical(w), -1)
-                if len(known) < 2_000_000:
+                if len(known) < KNOWN_WORDS:
                     known[w] = got
             return got
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 from functools import lru_cache
 
 import numpy as np
@@ -117,4 +116,4 @@ def pages_to_text(texts: pa.Array, boxes: pa.Array | None) -> list[str]:
 
 
 def pages_to_words(texts: pa.Array, boxes: pa.Array | None) -> list[list[str]]:
-    return [[sys.intern(w) for w in plain_words(t)] if t else [] for t in pages_to_text(texts, boxes)]
+    return [plain_words(t) for t in pages_to_text(texts, boxes)]

@@ -22,6 +22,8 @@ from grainmill.session import clean, shared_dir
 
 #: Bits per level, rows a leaf should hold at most, DuckDB's memory for one leaf.
 RADIX_BITS, LEAF_ROWS, LEAF_MEMORY = 6, 500_000, "200MB"
+#: Beyond so many leaves they grow with the table instead (DuckDB spills), so that their list stays small enough to broadcast.
+MAX_LEAVES = 4096
 #: Levels of 6 bits: five from the term's hash, five from the record's.
 TERM_LEVELS, RECORD_LEVELS = 5, 5
 
@@ -52,6 +54,7 @@ def radix_leaves(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[list[tupl
         for r in own.groupBy(*[d.alias(f"d{i}") for i, d in enumerate(digits[: level + 1])]).count().collect():
             seen[tuple(r[:-1])] = r["count"]
         total = total or sum(seen.values())
+        leaf_rows = max(leaf_rows, total // MAX_LEAVES)
         todo = [p for p, n in seen.items() if n > leaf_rows and level + 1 < len(digits)]
         split = set(todo)
         leaves += [p for p in seen if p not in split]
@@ -60,6 +63,20 @@ def radix_leaves(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[list[tupl
     return sorted(leaves), total
 
 
+def _with_leaf(hashed: DataFrame, leaves: list[tuple[int, ...]]) -> DataFrame:
+    """(leaf, feat_name, category, record). Leaves of one digit are found in an array, deeper ones by broadcast joins, one a depth."""
+    digits = [_digit(F.col("th"), i) for i in range(TERM_LEVELS)] + [_digit(F.col("rh"), i) for i in range(RECORD_LEVELS)]
+    place = {p: i for i, p in enumerate(leaves)}
+    first = F.element_at(F.array(*[F.lit(place.get((x,))).cast("int") for x in range(1 << RADIX_BITS)]), digits[0] + 1)
+    out, found = hashed, [first]
+    for n in sorted({len(p) for p in leaves} - {1}):
+        rows = [("/".join(map(str, p)), i) for p, i in place.items() if len(p) == n]
+        table = hashed.sparkSession.createDataFrame(rows, f"p{n} string, leaf{n} int")  # at most MAX_LEAVES + 2 ** RADIX_BITS rows
+        out = out.join(F.broadcast(table), F.concat_ws("/", *digits[:n]) == F.col(f"p{n}"), "left")
+        found.append(F.col(f"leaf{n}"))
+    return out.select(F.coalesce(*found).alias("leaf"), "feat_name", "category", "record")
+
+
 def term_counts(df: DataFrame, record: str, single: list[str] = (), multi: list[str] = (), delimiter: str = ",", leaf_rows: int = LEAF_ROWS, memory: str = LEAF_MEMORY) -> DataFrame:
     """(feat_name, category, n_occurrences, n_records): every distinct value of `single` columns and element of `multi` columns.
 
@@ -73,16 +90,8 @@ def term_counts(df: DataFrame, record: str, single: list[str] = (), multi: list[
     parts = max(1, min(len(leaves), -(-total // leaf_rows)))
     folder = shared_dir(spark)
     spill = folder.removeprefix("file://") if folder.startswith(("file://", "/")) else None
-    digits = [_digit(F.col("th"), i) for i in range(TERM_LEVELS)] + [_digit(F.col("rh"), i) for i in range(RECORD_LEVELS)]
-    by_len: dict[int, list[tuple[int, ...]]] = {}
-    for p in leaves:
-        by_len.setdefault(len(p), []).append(p)
-    leaf = F.lit(0)
-    place = {p: i for i, p in enumerate(leaves)}
-    for n, ps in sorted(by_len.items()):
-        table = F.create_map(*[x for p in ps for x in (F.lit("/".join(map(str, p))), F.lit(place[p]))])
-        leaf = F.coalesce(table[F.concat_ws("/", *digits[:n])], leaf) if n > 1 else F.coalesce(F.create_map(*[x for p in ps for x in (F.lit(p[0]), F.lit(place[p]))])[digits[0]], leaf)
-    source = hashed.select(leaf.alias("leaf"), "feat_name", "category", "record").repartition(parts, "leaf").sortWithinPartitions("leaf") if len(leaves) > 1 else hashed.select(F.lit(0).alias("leaf"), "feat_name", "category", "record").coalesce(1)
+    placed = _with_leaf(hashed, leaves)
+    source = placed.repartition(parts, "leaf").sortWithinPartitions("leaf")
 
     def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
