@@ -8,8 +8,8 @@ import json
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -237,7 +237,7 @@ def _multi_hot(idx: Column, n: int) -> Column:
 
 def _to_sparse(dense: Column) -> Column:
     """The same vector in sparse form. Spark has no built-in for it and Arrow no vector type, so a row UDF; dense output avoids it."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.linalg import Vectors
 
     @F.udf(VectorUDT(), useArrow=False)
     def sparse(a):  # noqa: ANN001, ANN202
@@ -383,6 +383,19 @@ class ColumnRenamer(Transformer, HasInputCols, HasOutputCols, DefaultParamsWrita
         return df.withColumnsRenamed(dict(zip(ins, outs, strict=True)))
 
 
+class VectorMerger(Transformer, HasInputCols, HasOutputCols, DefaultParamsWritable, DefaultParamsReadable):
+    """Numbers and vectors side by side in one dense vector. A NULL number becomes NaN, a NULL vector makes the result NULL."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None) -> None:  # noqa: ANN001
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        parts = [vector_to_array(f"`{c}`") if isinstance(df.schema[c].dataType, VectorUDT) else F.array(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan")))) for c in self.getInputCols()]
+        return df.withColumn(self.getOutputCols()[0], _vector(F.concat(*parts)))
+
+
 FEATURES_COL, LABEL_COL, SUFFIX = "features_processed", "label_processed", "_processed"
 METHODS = ("normalize", "bucketize", "remain")
 
@@ -415,7 +428,7 @@ def build_pipeline(schema: SemanticSchema, method_for_num: str = "normalize", on
         stages.append(MultiCategoryEncoder(inputCols=schema.multi_cat, outputCols=out(schema.multi_cat), delimiter=delimiter, indexOnly=not one_hot_multi, outputSparse=False, dropInputCols=True, categoriesReserved=reserved_multi))
         merged += out(schema.multi_cat)
     if merge and merged:
-        stages += [VectorAssembler(inputCols=merged, outputCol=FEATURES_COL, handleInvalid="keep"), ColumnEliminator(inputCols=merged)]
+        stages += [VectorMerger(inputCols=merged, outputCols=[FEATURES_COL]), ColumnEliminator(inputCols=merged)]
     if schema.label:
         stages.append(CategoryEncoder(inputCols=schema.label[:1], outputCols=[LABEL_COL], dropInputCols=True))
     return Pipeline(stages=stages)
