@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark import keyword_only
@@ -88,13 +89,7 @@ def _index_of(value: Column, levels: list[str]) -> Column:
 
 
 def _indices_of(tokens: Column, levels: list[str]) -> Column:
-    """The numbers of the levels of a list; NULL for NULL."""
-    if len(levels) <= MAP_LEVELS:
-
-        def one(t: Column) -> Column:
-            return _index_of(t, levels)
-
-        return F.transform(tokens, one)
+    """The numbers of the levels of a list, hashed in an Arrow UDF (a lambda would scan the levels for each token); NULL for NULL."""
     place, other = {v: i for i, v in enumerate(levels)}, len(levels)
 
     @F.pandas_udf("array<int>")
@@ -160,11 +155,19 @@ class CategoryEncoderModel(Model, _Columns, _WithData):
         return self._append(df, new)
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with `c` evaluated a single time per row, however often it is used: it is bound as the variable of a lambda."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def split_tokens(c: Column, delimiter: str) -> Column:
     """Split by a regular expression; trailing empty tokens fall away, but an empty text is one empty token."""
-    t = F.split(c, delimiter)
-    last = F.aggregate(F.transform(t, lambda x, i: F.when(x != "", i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
-    return F.when(c == "", F.array(F.lit(""))).otherwise(F.slice(t, F.lit(1), last))
+
+    def trimmed(t: Column) -> Column:
+        last = F.aggregate(F.transform(t, lambda x, i: F.when(x != "", i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
+        return F.slice(t, F.lit(1), last)
+
+    return F.when(c == "", F.array(F.lit(""))).otherwise(F.when(c.isNotNull(), once(F.split(c, delimiter), trimmed)))
 
 
 class MultiCategoryEncoder(Estimator, _Columns, DefaultParamsWritable, DefaultParamsReadable):
@@ -229,21 +232,24 @@ def _vector(a: Column) -> Column:
 
 
 def _multi_hot(idx: Column, n: int) -> Column:
-    def one(i: Column) -> Column:
-        return F.when(F.array_contains(idx, i), 1.0).otherwise(0.0)
+    def hot(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.array_contains(a, i), 1.0).otherwise(0.0))
+
+    return F.when(idx.isNotNull(), once(idx, hot))
+
 
-    return F.when(idx.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one))
+_SPARSE = T.StructType([T.StructField("v", VectorUDT(), True)])
 
 
 def _to_sparse(dense: Column) -> Column:
-    """The same vector in sparse form. Spark has no built-in for it and Arrow no vector type, so a row UDF; dense output avoids it."""
-    from pyspark.ml.linalg import Vectors
+    """The same vector in sparse form; NULL stays NULL. Spark has no built-in for it, but its JSON reader makes vectors, without Python."""
 
-    @F.udf(VectorUDT(), useArrow=False)
-    def sparse(a):  # noqa: ANN001, ANN202
-        return None if a is None else Vectors.sparse(len(a), [(i, x) for i, x in enumerate(a) if x])
+    def sparse(a: Column) -> Column:
+        at = F.filter(F.transform(a, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+        parts = F.struct(F.lit(0).alias("type"), F.size(a).alias("size"), at.alias("indices"), F.transform(at, lambda i: F.get(a, i)).alias("values"))
+        return F.to_json(F.struct(parts.alias("v")))
 
-    return sparse(dense)
+    return F.when(dense.isNotNull(), F.from_json(once(dense, sparse), _SPARSE)["v"])
 
 
 def clean_splits(quantiles: list[float]) -> list[float]:

@@ -108,12 +108,17 @@ def _all(cols: list[Column]) -> Column:
 def drop_predicate(rules: FilterRules, feats: str = "feats", ranges: bool | None = None) -> Column:
     """Records the rules remove. `ranges`: only rules of ranges (True) or of classes (False)."""
     pick = lambda cs: ranges is None or all((c.classes is None) == ranges for c in cs)
-    out = F.lit(False)
-    for cs in filter(pick, rules.drop):
-        out = out | _all([condition_holds(c, feats) for c in cs])
-    for cs in filter(pick, rules.keep):
-        out = out | (_all([condition_present(c, feats) for c in cs]) & ~_all([condition_holds(c, feats) for c in cs]))
-    return out
+
+    def removed(f: Column) -> Column:
+        out = F.lit(False)
+        for cs in filter(pick, rules.drop):
+            out = out | _all([condition_holds(c, f) for c in cs])
+        for cs in filter(pick, rules.keep):
+            out = out | (_all([condition_present(c, f) for c in cs]) & ~_all([condition_holds(c, f) for c in cs]))
+        return out
+
+    # bound as a lambda's variable, so that the record is parsed once and not once a condition
+    return F.coalesce(F.get(F.transform(F.array(F.col(feats)), removed), 0), F.lit(False))
 
 
 def filter_records(records: DataFrame, rules: FilterRules, feats: str = "feats") -> DataFrame:

@@ -139,7 +139,7 @@ SELECT CAST(hot AS INTEGER) AS idx, CAST(count(*) AS DOUBLE) AS total FROM (SELE
 
 
 def _totals(df: DataFrame) -> DataFrame:
-    rows = df.where("v IS NOT NULL").select("sample_id", "load_id", vector_to_array("v").alias("a")).distinct()
+    rows = df.where("v IS NOT NULL").select("sample_id", "load_id", vector_to_array("v").alias("a"))
     cells = rows.select("sample_id", "load_id", F.posexplode("a").alias("idx", "x")).where("x > 0").select("sample_id", "load_id", "idx").distinct()
     return cells.groupBy(F.col("idx").cast("int").alias("idx")).agg(F.count(F.lit(1)).cast("double").alias("total"))
 
