@@ -121,6 +121,81 @@ def city64_seed(s: bytes, seed: int) -> int:
     return city64_seeds(s, K2, seed)
 
 
+def _rounds16(s: bytes, a: int, b: int) -> tuple[int, int]:
+    """Two words from fewer than 128 bytes and two seed words."""
+    n = len(s)
+    if n <= 16:
+        a = (_mix((a * K1) & MASK) * K1) & MASK
+        c = (b * K1 + _short(s)) & MASK
+        d = _mix((a + (_u64(s, 0) if n >= 8 else c)) & MASK)
+    else:
+        c = _pair((_u64(s, n - 8) + K1) & MASK, a)
+        d = _pair((b + n) & MASK, (c + _u64(s, n - 16)) & MASK)
+        a = (a + d) & MASK
+        for at in range(0, n - 16, 16):
+            first, second = (_mix((_u64(s, at + 8 * i) * K1) & MASK) * K1 & MASK for i in (0, 1))
+            a = ((a ^ first) * K1) & MASK
+            b ^= a
+            c = ((c ^ second) * K1) & MASK
+            d ^= c
+    lo, hi = _pair(a, c), _pair(d, b)
+    return lo ^ hi, _pair(hi, lo)
+
+
+class _Wide:
+    """The state that runs over 128 bytes and more, 64 at a time."""
+
+    def __init__(self, s: bytes, a: int, b: int) -> None:
+        self.x, self.y, self.z = a, b, (len(s) * K1) & MASK
+        v0 = (_rot(b ^ K1, 49) * K1 + _u64(s, 0)) & MASK
+        w0 = (_rot((b + self.z) & MASK, 35) * K1 + a) & MASK
+        self.v = (v0, (_rot(v0, 42) * K1 + _u64(s, 8)) & MASK)
+        self.w = (w0, (_rot((a + _u64(s, 88)) & MASK, 53) * K1) & MASK)
+
+    def eat(self, s: bytes, at: int) -> None:
+        x = (_rot((self.x + self.y + self.v[0] + _u64(s, at + 8)) & MASK, 37) * K1) & MASK
+        y = (_rot((self.y + self.v[1] + _u64(s, at + 48)) & MASK, 42) * K1) & MASK
+        x ^= self.w[1]
+        y = (y + self.v[0] + _u64(s, at + 40)) & MASK
+        z = (_rot((self.z + self.w[0]) & MASK, 33) * K1) & MASK
+        v = _seeded(s, at, (self.v[1] * K1) & MASK, (x + self.w[0]) & MASK)
+        self.w = _seeded(s, at + 32, (z + self.w[1]) & MASK, (y + _u64(s, at + 16)) & MASK)
+        self.v, self.x, self.y, self.z = v, z, y, x
+
+
+def city128_seed(s: bytes, a: int, b: int) -> tuple[int, int]:
+    n = len(s)
+    if n < 128:
+        return _rounds16(s, a, b)
+    t = _Wide(s, a, b)
+    whole = n // 128 * 128
+    for at in range(0, whole, 64):
+        t.eat(s, at)
+    x, y, z, v, w = t.x, t.y, t.z, t.v, t.w
+    x = (x + _rot((v[0] + z) & MASK, 49) * K0) & MASK
+    z = (z + _rot(w[0], 37) * K0) & MASK
+    for back in range(32, n - whole + 32, 32):
+        at = n - back
+        y = (_rot((x + y) & MASK, 42) * K0 + v[1]) & MASK
+        w = ((w[0] + _u64(s, at + 16)) & MASK, w[1])
+        x = (x * K0 + w[0]) & MASK
+        z = (z + w[1] + _u64(s, at)) & MASK
+        w = (w[0], (w[1] + v[0]) & MASK)
+        v = _seeded(s, at, (v[0] + z) & MASK, v[1])
+    x, y = _pair(x, v[0]), _pair((y + z) & MASK, w[0])
+    return (_pair((x + v[1]) & MASK, w[1]) + y) & MASK, _pair((x + w[1]) & MASK, (y + v[1]) & MASK)
+
+
+def city128(s: bytes) -> tuple[int, int]:
+    """The 128-bit hash as two unsigned words."""
+    n = len(s)
+    if n >= 16:
+        return city128_seed(s[16:], _u64(s, 0) ^ K3, _u64(s, 8))
+    if n >= 8:
+        return city128_seed(b"", _u64(s, 0) ^ (n * K0 & MASK), _u64(s, n - 8) ^ K1)
+    return city128_seed(s, K0, K1)
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

@@ -1,9 +1,9 @@
 """Learners over keyed parameters as synchronous join-and-aggregate dataflows: logistic regression, FM, field-aware FM.
 
 Samples are rows (sample, label, feat, val). One step joins them to the parameters, sums margins by sample, gradients by
-feature, and updates the table. A hot feature (the bias) is pre-aggregated before the shuffle by the partial aggregation;
-its join is split by Spark's skew handling, or by `salt` copies where that is off. No state is kept between steps but the
-snapshot of the parameters.
+feature, and updates the table. The gradients of a hot feature (the bias) are pre-aggregated before their shuffle by the partial
+aggregation; the join that pulls its weight is an inner or left join with a new distribution after it, so Spark's skew handling
+splits its partition. No state is kept between steps but the snapshot of the parameters.
 """
 
 from __future__ import annotations

@@ -359,7 +359,7 @@ def table_scan(spark: SparkSession, d: str) -> DataFrame:
     return files.read_table(spark, "nation_view").select("n_nationkey", "n_name")
 
 
-@query()
+@query("SELECT feat_name AS name, CASE kind WHEN 'Num' THEN 'double' ELSE 'string' END AS type, true AS nullable FROM feature_schema")
 def schema_file(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "feature_schema")
     s = parse_schema([f"{x['feat_name']};{x['kind']}" for x in df.collect()])
