@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.reading import canonical, pages_to_words, plain_words, same_word
+from grainmill.llm.reading import byte_slices, canonical, pages_to_words, plain_words, same_word
 from grainmill.session import cut
 
 SHINGLE, RUN_WORDS, NEED = 5, 20, 6
@@ -155,7 +155,7 @@ def _leaks_of(docs: DataFrame, index: ItemIndex, ddl: str, doc_key: str, text_co
                     known[w] = got
             return got
 
-        for b in batches:
+        for b in (part for whole in batches for part in byte_slices(whole, "t")):
             keys, ws_out, sh_pos, sh_no = [], [], [], []
             ids = b.column("k")
             for row, words in enumerate(pages_to_words(b.column("t"), b.column("b") if has_boxes else None)):

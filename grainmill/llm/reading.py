@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -115,5 +116,16 @@ def pages_to_text(texts: pa.Array, boxes: pa.Array | None) -> list[str]:
     return [_JOIN.sub("", t) if "\n" in t else t for t in out]
 
 
+def byte_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of text, one row at least: what is split into words at a time stays small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        start = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, start + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def pages_to_words(texts: pa.Array, boxes: pa.Array | None) -> list[list[str]]:
     return [plain_words(t) for t in pages_to_text(texts, boxes)]
