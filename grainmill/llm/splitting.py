@@ -9,6 +9,7 @@ piece is planned.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from grainmill.llm.tokens import VOCABULARY, encoder, token_bytes
 
 LIMIT, OVERLAP = 1024, 64
+_FIRST = re.compile(r"\s*\S*\s*")
 # Boundary strengths, strongest first.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER, NONE = 6, 5, 4, 3, 2, 1, 0
 
@@ -73,6 +75,15 @@ def _start(whole: np.ndarray, cut: int, overlap: int) -> int:
     return int(whole[i - 1]) if i else 0
 
 
+def _outer_bytes(text: str) -> int:
+    """Bytes of the first and the last word of a piece with the blanks around them: what may be tokenized otherwise than within its text."""
+    first = _FIRST.match(text).end()
+    tail = text.rstrip()
+    last = max(tail.rfind(" "), tail.rfind("\n"))
+    lead = len(text[:last].rstrip()) if last > 0 else 0
+    return len(text[:first].encode("utf-8", "surrogatepass")) + len(text[lead:].encode("utf-8", "surrogatepass"))
+
+
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY) -> list[tuple[str, int, int, int]] | None:
     """Pieces (text, tokens, first token, byte offset) of a text above the limit; None for a text within it."""
     data = text.encode("utf-8", "surrogatepass")
@@ -90,8 +101,9 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary
         plan = plan_cuts(strength, limit, overlap, n)
         if plan:
             texts = [data[begins[s] : begins[e]].decode("utf-8", "surrogatepass") for s, e in plan]
-            alone = [len(x) for x in enc.encode_ordinary_batch(texts, num_threads=1)]
-            if max(alone) <= limit:
+            # interior words keep their tokens; only the outermost ones can need more, at most one a byte
+            unsure = [t for t, (s, e) in zip(texts, plan, strict=True) if e - s + _outer_bytes(t) > limit]
+            if all(len(enc.encode_ordinary(t)) <= limit for t in unsure):
                 return [(t, e - s, s, int(begins[s])) for t, (s, e) in zip(texts, plan, strict=True)]
         n += 1
         if n > len(tokens):
