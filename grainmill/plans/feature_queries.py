@@ -7,15 +7,16 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 from grainmill.features import transformers as X
 from grainmill.operators import filters, profile
+from grainmill.operators.badrows import NUMBER
 from grainmill.plans.common import DENSE, NUMS, dense, r
 from grainmill.schema import parse_schema
-from grainmill.session import shared_dir, table
+from grainmill.session import BLANKS, shared_dir, table
 from grainmill.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -327,22 +328,31 @@ f AS (SELECT line_no, label, string_split(x, ':') AS p FROM g WHERE regexp_full_
 SELECT line_no, label, {cols}, round(CAST(v AS FLOAT), 3) + 0.0 AS val FROM (SELECT line_no, label, {heads} FROM f)"""
 
 
-def _id_lines(spark: SparkSession, d: str, feed: str, pattern: str) -> DataFrame:
-    t = F.filter(F.split(F.trim("line"), " "), lambda x: x != "")
-    lines = table(spark, d, "raw_samples").where(F.col("feed") == feed).select("line_no", t.alias("t")).where(F.get("t", 0).rlike(r"^[-+]?[0-9]+([.][0-9]+)?$"))
-    good = F.filter(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda x: x.rlike(f"^{pattern}$"))
+def _id_lines(spark: SparkSession, d: str, feed: str, parts: int) -> DataFrame:
+    """Lines whose label is a number, with every feature that is usable by p1's rules: `parts` parts, of which the last is a finite number and the others unsigned integers below 2^63."""
+    t = F.split(F.trim(F.col("line"), F.lit(BLANKS)), "[ \t]+")
+    lines = table(spark, d, "raw_samples").where(F.col("feed") == feed).select("line_no", t.alias("t")).where(F.get("t", 0).rlike(rf"\A{NUMBER}\z"))
+
+    def usable(x: Column) -> Column:
+        p = F.split(x, ":")
+        ok = x.rlike(rf"\A(?:[0-9]+:){{{parts - 1}}}{NUMBER}\z") & (F.abs(F.get(p, parts - 1).try_cast("double")) < float("inf"))
+        for i in range(parts - 1):
+            ok = ok & F.get(p, i).try_cast("bigint").isNotNull()
+        return ok
+
+    good = F.filter(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), usable)
     return lines.select("line_no", F.concat_ws(" ", F.get("t", 0), F.array_join(good, " ")).alias("value"))
 
 
 @query(_id_sql("libsvm", 2))
 def libsvm_ids_parse(spark: SparkSession, d: str) -> DataFrame:
-    out = files.parse_id_lines(_id_lines(spark, d, "libsvm", "[0-9]{1,18}:[-]?[0-9]+([.][0-9]+)?"))
+    out = files.parse_id_lines(_id_lines(spark, d, "libsvm", 2))
     return files.explode_samples(out, "line_no").select("line_no", "label", F.col("feat").alias("id"), r(F.col("val").cast("float"), 3).alias("val"))
 
 
 @query(_id_sql("libffm", 3))
 def libffm_parse(spark: SparkSession, d: str) -> DataFrame:
-    out = files.parse_field_lines(_id_lines(spark, d, "libffm", "[0-9]{1,6}:[0-9]{1,18}:[-]?[0-9]+([.][0-9]+)?"))
+    out = files.parse_field_lines(_id_lines(spark, d, "libffm", 3))
     return files.explode_samples(out, "line_no").select("line_no", "label", "field", F.col("feat").alias("id"), r(F.col("val").cast("float"), 3).alias("val"))
 
 

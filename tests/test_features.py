@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from grainmill.features import transformers as X
 from grainmill.functions import bits, cityhash, linalg
 from grainmill.operators import filters
+from grainmill.plans import feature_queries
 from grainmill.schema import EngineError, parse_schema, read_schema
 from grainmill.sources import files
 
@@ -207,3 +208,19 @@ def test_vector_rows(spark):
     df = spark.createDataFrame([(1, Vectors.sparse(3, [2], [5.0]))], ["id", "v"])
     assert [tuple(r) for r in files.vector_rows(df, "id", "v").collect()] == [(1, 0, 0.0), (1, 1, 0.0), (1, 2, 5.0)]
     assert df.select(vector_to_array("v")).head()[0] == [0, 0, 5]
+
+
+def test_id_queries_keep_every_usable_feature(spark, tmp_path):
+    rows = [
+        (1, "libffm", "-1 3:1148042581775140483:29.58 0:9223372036854775807:3.7e-2\t1:5:+.5 1:6:7."),
+        (2, "libffm", "1 3:9223372036854775808:1 -3:4:1 3:4 3:4:1:2 3:12a:1 3:4:1e 3:4:nan 3:4:1e999 3:8:-2"),
+        (3, "libffm", "yes 1:2:3"),
+        (4, "libsvm", "+1. 1906:3.7e-2 9223372036854775807:2 7: 8:1f 9:1"),
+        (5, "libsvm", ""),
+        (6, "libsvm", None),
+    ]
+    spark.createDataFrame(rows, "line_no bigint, feed string, line string").write.parquet(str(tmp_path / "raw_samples.parquet"))
+    got = sorted((*x[:-1], round(x[-1], 3)) for x in feature_queries.libffm_parse(spark, str(tmp_path)).collect())
+    assert got == [(1, 0.0, 0, 2**63 - 1, 0.037), (1, 0.0, 1, 5, 0.5), (1, 0.0, 1, 6, 7.0), (1, 0.0, 3, 1148042581775140483, 29.58), (2, 1.0, 3, 8, -2.0)]
+    got = sorted((*x[:-1], round(x[-1], 3)) for x in feature_queries.libsvm_ids_parse(spark, str(tmp_path)).collect())
+    assert got == [(4, 1.0, 9, 1.0), (4, 1.0, 1906, 0.037), (4, 1.0, 2**63 - 1, 2.0)]
