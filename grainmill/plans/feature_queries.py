@@ -210,11 +210,11 @@ _SCHEMA = ["sample_id;Other", "age;Num", "bid;Num", "os_name;Cat", "label;Label"
 
 
 def _pipeline(spark: SparkSession, d: str, **kw: object) -> DataFrame:
-    """Sums per slot of the merged vector and per label index."""
-    df = dense(spark, d).select("sample_id", "age", "bid", "os_name", "label").where("age IS NOT NULL AND bid IS NOT NULL")
+    """Rows and sum of the present numbers (a missing one is NaN in the vector, or in the last bucket) per slot of the merged vector and per label index."""
+    df = dense(spark, d).select("sample_id", "age", "bid", "os_name", "label")
     out, _ = X.pipeline_fit_transform(df, parse_schema(_SCHEMA), **kw)
     cells = out.select(F.col(X.LABEL_COL).alias("y"), F.posexplode(vector_to_array(X.FEATURES_COL)).alias("idx", "x"))
-    return cells.groupBy("y", F.col("idx").cast("int").alias("idx")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("x"), 4).alias("total"))
+    return cells.groupBy("y", F.col("idx").cast("int").alias("idx")).agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.nanvl("x", F.lit(None).cast("double"))), 4).alias("total"))
 
 
 def _pipeline_sql(nums: str, extra: str = "") -> str:
