@@ -239,3 +239,8 @@ def test_pipeline_queries_take_rows_with_missing_numbers(spark, sf, name):
         out, model = X.pipeline_fit_transform(feature_queries.dense(spark, sf).select("age", "label"), parse_schema(["age;Num", "label;Label"]), method_for_num="bucketize", num_buckets=8)
         missing = feature_queries.dense(spark, sf).where("age IS NULL").count()
         assert missing and missing == sum(v[0] == len(model.stages[0].splits_array[0]) - 1 for v in col(out, X.FEATURES_COL))
+
+
+def test_cat_unseen_null_transforms_every_row(spark, sf):
+    sql = feature_queries.SQL["cat_unseen_null"].replace(" WHERE load_id % 2 = 0", "")
+    assert compare(spark, connect(sf), "cat_unseen_null", feature_queries.cat_unseen_null, sql, sf).startswith("ok")
