@@ -52,11 +52,12 @@ class _Dense:
             raise EngineError("features are numbers or strings")
         return cats, nums
 
-    def _prepare(self, df: DataFrame) -> DataFrame:
-        y = F.col(self.label).cast("double" if self.family == "gaussian" else "string")
+    def _prepare(self, df: DataFrame, labelled: bool = True) -> DataFrame:
+        y = [F.col(self.label).cast("double" if self.family == "gaussian" else "string").alias("__y")] if labelled else []
         x = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))  # noqa: E731 - NaN and infinities count as missing
         level = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", NO_LEVEL).otherwise(F.col(c))
-        out = df.select(*[(x if isinstance(df.schema[c].dataType, T.NumericType) else level)(c).alias(c) for c in self.features], y.alias("__y")).where("__y IS NOT NULL")
+        out = df.select(*[(x if isinstance(df.schema[c].dataType, T.NumericType) else level)(c).alias(c) for c in self.features], *y)
+        out = out.where("__y IS NOT NULL") if labelled else out
         return out.na.drop(subset=self._check(df)[1]) if self.missing == "Skip" else out
 
     def _stages(self, df: DataFrame, one_hot: bool, scale: bool = False) -> list:
@@ -108,7 +109,7 @@ class _Dense:
 
 @dataclass
 class DenseModel:
-    """A pipeline with its family. `transform` gives predict and class probabilities; `save`/`load` keep everything."""
+    """A pipeline with its family. `transform` gives predict and class probabilities, of rows without a label too; `save`/`load` keep everything."""
 
     pipeline: PipelineModel
     family: str
@@ -116,14 +117,15 @@ class DenseModel:
     spec: _Dense | None = None
     validation_metric: float | None = None
 
-    def _scored(self, df: DataFrame) -> DataFrame:
-        rows = self.spec._prepare(df) if self.spec else df
-        if self.spec is not None:
-            return self.pipeline.transform(rows)
-        return self.pipeline.transform(df)
+    def _scored(self, df: DataFrame, labelled: bool = True) -> DataFrame:
+        if self.spec is None:
+            return self.pipeline.transform(df)
+        of_label = lambda s: s.__class__.__name__ == "StringIndexerModel" and s.isSet("inputCol") and s.getInputCol() == "__y"
+        stages = [s for s in self.pipeline.stages if labelled or not of_label(s)]
+        return PipelineModel(stages=stages).transform(self.spec._prepare(df, labelled))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self._scored(df)
+        out = self._scored(df, labelled=False)
         if self.family == "gaussian":
             return out.select(F.col("prediction").alias("predict"))
         labels = [s for s in self.pipeline.stages if s.__class__.__name__ == "StringIndexerModel"][-1].labels

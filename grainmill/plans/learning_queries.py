@@ -417,7 +417,9 @@ def ovr_train(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dense_model(spark: SparkSession, d: str, spec: wrappers._Dense) -> DataFrame:
-    df = dense(spark, d).where("label IN ('0', '1')") if spec.label == "label" else table(spark, d, "lineitem")
+    """Fitted on the rows with a label, which in dense_samples is any spelling of 0 or 1; every row is scored."""
+    y = F.col("label").try_cast("double")
+    df = dense(spark, d).withColumn("label", F.when(y == 0, "0").when(y == 1, "1")) if spec.label == "label" else table(spark, d, "lineitem")
     return spec.fit(df).transform(df)
 
 

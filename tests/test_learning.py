@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from grainmill.functions import losses as L
 from grainmill.models import network, scope, wrappers
 from grainmill.params import jobs, learning, store, updaters
+from grainmill.plans import learning_queries
 from grainmill.schema import EngineError
 from grainmill.streaming import incremental
 
@@ -271,3 +272,15 @@ def test_stream(spark, tmp_path):
     raw = spark.createDataFrame([(1, "libsvm", "1 1:1"), (2, "libsvm", "x")], "line_no bigint, feed string, line string")
     good, bad = incremental.split_stream(raw)
     assert good.count() == 1 and bad.count() == 1
+
+
+@pytest.mark.parametrize("name", ["glm_fit", "gbm_fit", "drf_fit", "mlp_fit"])
+def test_dense_models_take_every_spelling_of_a_label_and_score_every_row(spark, tmp_path, name):
+    cols = "sample_id bigint, load_id int, age double, income double, dwell_sec double, bid double, user_key string, label string, city string, os_name string, device_code string, ad_slot string, tags string"
+    labels = ["0", "1.0", "0.0", " 1e0 ", "T", None, "\\N", "2"]
+    rows = [(i, 1, float(i % 8 % 2 * 50 + i % 5), 1.0 + i % 3, None, float(i % 7), None, labels[i % 8], None, ["a", "b", None][i % 3], None, None, None) for i in range(160)]
+    spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "dense_samples.parquet"))
+    got = learning_queries.QUERIES[name](spark, str(tmp_path)).select("predict", "p0", "p1").collect()
+    assert len(got) == 160 and {x["predict"] for x in got} <= {"0", "1"}
+    if name != "mlp_fit":  # two epochs learn little
+        assert sum(x["predict"] == "1" for x in got) == 80
