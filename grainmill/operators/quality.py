@@ -31,7 +31,7 @@ CODES, TRAIN_ROWS, SCORE_BINS = 16, 4000, 256
 LOADS_PER_PASS = 4096
 #: Up to so many loads their table (32 bytes a load) is broadcast, beyond it is joined by shuffle.
 MAX_BROADCAST_LOADS = 200_000
-#: Levels of one column that may stand in a plan as literals; the trusted summary of a column with more isn't checked for levels.
+#: Levels of one column that may stand in a plan as literals; the levels of a column with more are joined as a table.
 MAX_LEVELS = 10_000
 
 
@@ -62,7 +62,7 @@ def rules_from_tables(schema: DataFrame, nums: DataFrame, cats: DataFrame, compl
         s = num.get(name) or cat.get(name)
         missing = 1 - s["count_not_null"] / s["count_all"] if s and s["count_all"] else None
         levels = [x["category"] for x in cat[name]["concerned_categories"]] if name in complete and name in cat and cat[name]["concerned_categories"] else None
-        out.append(ColumnRule(name, r["kind"] == "Num", r["kind"] == "MultiCat", r["lo_val"], r["hi_val"], r["val_regex"], missing, list(num[name]["quantile_array"] or []) if name in num else [], levels if levels and len(levels) <= MAX_LEVELS else None))
+        out.append(ColumnRule(name, r["kind"] == "Num", r["kind"] == "MultiCat", r["lo_val"], r["hi_val"], r["val_regex"], missing, list(num[name]["quantile_array"] or []) if name in num else [], levels))
     return out
 
 
@@ -110,6 +110,7 @@ def base_counts(df: DataFrame, rules: list[ColumnRule], load_col: str = "load_id
     `lo_hash`/`hi_hash` are equal if and only if (but for a 64-bit collision) all values are equal.
     """
     aggs = []
+    long = [r for r in rules if r.levels and len(r.levels) > MAX_LEVELS]
     flag = lambda c: F.sum(F.when(c, 1).otherwise(0))
     for r in rules:
         v = F.col(f"v_{r.name}")
@@ -126,7 +127,7 @@ def base_counts(df: DataFrame, rules: list[ColumnRule], load_col: str = "load_id
             "not_null": F.count(v),
             "outside": flag(out),
             "unmatched": flag(~_full_match(v, r.regex)) if r.regex and not r.numeric else F.lit(0).cast("bigint"),
-            "unknown": flag(~v.isin(r.levels)) if r.levels else F.lit(0).cast("bigint"),
+            "unknown": F.lit(0).cast("bigint") if not r.levels else flag(v.isNotNull() & F.col(f"k_{r.name}").isNull()) if r in long else flag(~v.isin(r.levels)),
             "below_q25": below,
             "upto_q75": upto,
             "lo_hash": F.min(key),
@@ -134,6 +135,9 @@ def base_counts(df: DataFrame, rules: list[ColumnRule], load_col: str = "load_id
         }
         aggs += [x.alias(f"{k}__{r.name}") for k, x in parts.items()]
     values = df.select(F.col(load_col).alias("load_id"), *[_value(r).alias(f"v_{r.name}") for r in rules])
+    for r in long:  # one row of the summary, which the driver has read, so its levels can be broadcast
+        listed = df.sparkSession.createDataFrame([(x, True) for x in sorted({x for x in r.levels if x is not None})], f"l_{r.name} string, k_{r.name} boolean")
+        values = values.join(F.broadcast(listed), F.col(f"v_{r.name}") == F.col(f"l_{r.name}"), "left")
     wide = values.groupBy("load_id").agg(F.count(F.lit(1)).alias("count_all"), *aggs)
     names = ("not_null", "outside", "unmatched", "unknown", "below_q25", "upto_q75", "lo_hash", "hi_hash")
     rows = F.array(*[F.struct(F.lit(r.name).alias("col_name"), *[F.col(f"{n}__{r.name}").alias(n) for n in names]) for r in rules])

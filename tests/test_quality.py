@@ -90,3 +90,15 @@ def test_profile_counts_repeats_and_zero_signs(spark):
     prof = {r["col_name"]: r for r in q.profile_loads(frame(spark, rows), RULES).collect()}
     assert prof["x"]["n_distinct"] == 2 and prof["x"]["max_val"] == float("inf")
     assert prof["c"]["n_distinct"] == 1 and prof["t"]["count_not_null"] == 2
+
+
+def test_levels_beyond_the_literal_limit_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(q, "MAX_LEVELS", 2)
+    schema = spark.createDataFrame([("city", "Cat", None, None, None)], "feat_name string, kind string, lo_val double, hi_val double, val_regex string")
+    nums = spark.createDataFrame([], "feat_name string, count_all bigint, count_not_null bigint, quantile_array array<double>")
+    cats = spark.createDataFrame([("city", 10, 5, [("a", 1, 0), ("b", 1, 1), ("c", 1, 2)])], "feat_name string, count_all bigint, count_not_null bigint, concerned_categories array<struct<category string, cnt bigint, pos int>>")
+    rules = q.rules_from_tables(schema, nums, cats)
+    df = spark.createDataFrame([(1, " a "), (1, "b"), (1, "z"), (1, None), (2, "c"), (2, None)], "load_id int, city string")
+    got = {r["load_id"]: (r["count_all"], r["not_null"], r["unknown"]) for r in q.base_counts(df, rules).collect()}
+    assert got == {1: (4, 3, 1), 2: (2, 1, 0)}
+    assert [tuple(r) for r in q.findings_from_counts(q.base_counts(df, rules), rules).collect()] == [(1, "city", "levels")]
