@@ -1,9 +1,9 @@
-"""Rows that fail to parse: a fast columnar path over blocks, bisection of failing blocks, strict diagnosis of single lines.
+"""Rows that fail to parse: a fast columnar path over blocks, isolation of failing lines, strict diagnosis of single lines.
 
-`parse_lines` never drops a line. A block of lines of one feed is parsed with Arrow kernels that accept a block only if
-every line of it is certainly valid; a block that is not accepted is cut in halves until a handful of lines remain, and each of these goes
-to the strict parser, which alone decides the reason. So the fast path may turn down a valid line (it costs a few more
-calls) but can never let a broken one through.
+`parse_lines` never drops a line. A block of lines of one feed is parsed as a whole with Arrow kernels, which vouch for the
+lines they are certain of. Lines a block names as doubtful are isolated; a block that fails as a whole without naming any is
+cut in halves until single lines remain. Isolated lines go to the strict parser, which alone decides the reason. So the
+fast path may turn down a valid line (it costs a strict parse) but can never let a broken one through.
 """
 
 from __future__ import annotations
@@ -44,10 +44,6 @@ PARSED = pa.schema([
 PARSED_DDL = "reason string, label double, names array<string>, texts array<string>, fields array<bigint>, ids array<bigint>, vals array<double>"
 
 
-class _Refused(Exception):
-    """The fast path doesn't vouch for every line of the block."""
-
-
 # ---- strict path: one line ----------------------------------------------------------------------------------------------
 
 
@@ -154,27 +150,30 @@ def parse_strict(feed: str | None, line: str | None) -> dict:
 
 
 # ---- fast path: a block of lines ----------------------------------------------------------------------------------------
+#
+# Each parser works on whole columns and gives (ok, columns): which lines of the block are certainly valid, and the parsed
+# columns of just these, in order.
 
 
-def _all(mask: pa.Array) -> bool:
-    return bool(pc.all(mask, skip_nulls=False).as_py()) if len(mask) else True
+def _floats(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Doubles of numbers in text, and which values are finite decimals (NULL is in order and stays NULL)."""
+    fits = pc.fill_null(pc.match_substring_regex(texts, f"^{NUMBER}$"), True)
+    x = pc.cast(pc.replace_substring_regex(pc.if_else(fits, texts, pa.scalar(None, pa.string())), r"^\+", ""), pa.float64())
+    return x, pc.and_(fits, pc.fill_null(pc.is_finite(x), True)).to_numpy(zero_copy_only=False)
 
 
-def _floats(texts: pa.Array) -> pa.Array:
-    """Doubles of numbers in text; refuses the block unless all are finite decimals (NULL stays NULL)."""
-    if not pc.all(pc.match_substring_regex(texts, f"^{NUMBER}$")).as_py() and texts.null_count < len(texts):
-        raise _Refused
-    x = pc.cast(pc.replace_substring_regex(texts, r"^\+", ""), pa.float64())
-    if pc.any(pc.invert(pc.is_finite(x))).as_py():
-        raise _Refused
-    return x
+def _labels(texts: pa.Array, missing: bool = False) -> tuple[pa.Array, np.ndarray]:
+    x, ok = _floats(texts)
+    known = pc.is_in(x, value_set=pa.array([-1.0, 0.0, 1.0]))
+    return x, ok & (pc.or_(known, pc.is_null(texts)) if missing else known).to_numpy(zero_copy_only=False)
 
 
-def _labels(texts: pa.Array) -> pa.Array:
-    x = _floats(texts)
-    if not pc.all(pc.is_in(x, value_set=pa.array([-1.0, 0.0, 1.0, None]))).as_py():
-        raise _Refused
-    return x
+def _indices(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Unsigned integers below 2^63 of at most 19 digits (longer ones can only be valid with leading zeros)."""
+    fits = pc.and_(pc.ascii_is_decimal(texts), pc.less_equal(pc.binary_length(texts), 19))
+    x = pc.cast(pc.if_else(fits, texts, "0"), pa.uint64()).to_numpy()
+    below = x < np.uint64(2**63)
+    return pa.array(np.where(below, x, 0).astype(np.int64)), fits.to_numpy(zero_copy_only=False) & below
 
 
 def _blank_to_null(texts: pa.Array) -> pa.Array:
@@ -189,111 +188,135 @@ def _interleave(cols: list[pa.Array], n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), flat.take(at))
 
 
-def _block_csv(lines: pa.Array) -> dict:
-    if not _all(pc.match_substring_regex(lines, _QUOTED_BLOCK)):
-        raise _Refused
-    data = "\n".join(lines.to_pylist()).encode()
+def _lists(lens: np.ndarray, flat: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens)), pa.int32()), flat)
+
+
+def _block_csv(lines: pa.Array) -> tuple[np.ndarray, dict]:
+    shape = pc.and_(pc.match_substring_regex(lines, _QUOTED_BLOCK), pc.invert(pc.match_substring_regex(lines, "[\n\r]")))
+    ok = shape.to_numpy(zero_copy_only=False).copy()
+    rows = lines.filter(pa.array(ok))
+    data = "\n".join(rows.to_pylist()).encode()
+    if not len(rows):
+        return ok, {}
     t = pacsv.read_csv(
         pa.BufferReader(data),
         read_options=pacsv.ReadOptions(column_names=list(CSV_FIELDS), use_threads=False, block_size=max(len(data) + 1, 1024)),
         parse_options=pacsv.ParseOptions(newlines_in_values=False, ignore_empty_lines=False),
         convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(CSV_FIELDS, pa.string()), strings_can_be_null=False),
     )
-    if t.num_rows != len(lines):
-        raise _Refused
-    field = lambda c: _blank_to_null(pc.utf8_trim(t[c].combine_chunks(), BLANKS))
-    label = _labels(field("label"))
+    if t.num_rows != len(rows):
+        raise pa.ArrowInvalid("rows of the block don't match its lines")
+    col = {c: _blank_to_null(pc.utf8_trim(t[c].combine_chunks(), BLANKS)) for c in CSV_FIELDS}
+    label, good = _labels(col["label"], missing=True)
     for c in CSV_NUMBERS:
-        _floats(field(c))
-    col = {c: field(c) for c in CSV_FIELDS if c != "label"}
+        good = good & _floats(col[c])[1]
+    ok[ok] = good
+    keep, n = pa.array(good), int(good.sum())
     names = [c for c in CSV_FIELDS if c != "label"]
-    n = len(lines)
-    return {"label": label, "names": pa.array([names] * n, PARSED.field("names").type), "texts": _interleave([col[c] for c in names], n)}
-
-
-def _block_sparse(lines: pa.Array) -> dict:
-    if not _all(pc.match_substring_regex(lines, r"^label:[^:,]*(?:,[^:,]*:[^:,]*)*$")):
-        raise _Refused
-    elements = pc.split_pattern(lines, ",")
-    flat = elements.flatten()
-    kv = pc.extract_regex(flat, r"^(?P<k>[^:]*):(?P<v>[^:]*)$")
-    keys, vals = pc.utf8_trim(kv.field("k"), BLANKS), pc.utf8_trim(kv.field("v"), BLANKS)
-    is_label = pc.equal(keys, "label")
-    if pc.sum(is_label).as_py() != len(lines):
-        raise _Refused
-    label = _labels(vals.filter(is_label))
-    _floats(vals.filter(pc.is_in(keys, value_set=pa.array(SPARSE_NUMBERS))))
-    lens = pc.list_value_length(elements).to_numpy() - 1
-    offs = pa.array([0, *lens.cumsum()], pa.int32())
-    rest = pc.invert(is_label)
-    return {"label": label, "names": pa.ListArray.from_arrays(offs, keys.filter(rest)), "texts": pa.ListArray.from_arrays(offs, _blank_to_null(vals.filter(rest)))}
-
-
-def _block_ids(width: int) -> Callable[[pa.Array], dict]:
-    groups = "".join(f"(?P<h{i}>[0-9]+):" for i in range(width - 1))
-    pair = f"^{groups}(?P<v>{NUMBER})$"
-
-    def block(lines: pa.Array) -> dict:
+    repeated = _lists(np.full(n, len(names)), pa.array(names * n, pa.string()))
+    return ok, {"label": label.filter(keep), "names": repeated, "texts": _interleave([col[c].filter(keep) for c in names], n)}
+
+
+def _block_sparse(lines: pa.Array) -> tuple[np.ndarray, dict]:
+    ok = pc.match_substring_regex(lines, r"^[^:,]*:[^:,]*(?:,[^:,]*:[^:,]*)*$").to_numpy(zero_copy_only=False).copy()
+    elements = pc.split_pattern(lines.filter(pa.array(ok)), ",")
+    lens = pc.list_value_length(elements).to_numpy()
+    kv = pc.utf8_trim(pc.split_pattern(elements.flatten(), ":").flatten(), BLANKS)
+    at = np.arange(0, len(kv), 2)
+    keys, vals = kv.take(pa.array(at)), kv.take(pa.array(at + 1))
+    owner = np.repeat(np.arange(len(lens)), lens)
+    is_label = pc.equal(keys, "label").to_numpy(zero_copy_only=False)
+    good = np.bincount(owner[is_label], minlength=len(lens)) == 1
+    is_num = pc.is_in(keys, value_set=pa.array(SPARSE_NUMBERS)).to_numpy(zero_copy_only=False)
+    good[owner[is_num][~_floats(vals.filter(pa.array(is_num)))[1]]] = False
+    label, valid = _labels(vals.filter(pa.array(is_label)))
+    good[owner[is_label][~valid]] = False
+    ok[ok] = good
+    rest = pa.array(good[owner] & ~is_label)
+    return ok, {"label": label.filter(pa.array(good[owner[is_label]])), "names": _lists(lens[good] - 1, keys.filter(rest)), "texts": _lists(lens[good] - 1, _blank_to_null(vals.filter(rest)))}
+
+
+def _block_ids(width: int) -> Callable[[pa.Array], tuple[np.ndarray, dict]]:
+    def block(lines: pa.Array) -> tuple[np.ndarray, dict]:
         tokens = pc.split_pattern_regex(lines, "[ \t\r\n\f\v]+")
         lens = pc.list_value_length(tokens).to_numpy() - 1
-        if len(lens) and lens.min() < 1:
-            raise _Refused
-        label = _labels(pc.list_element(tokens, 0))
-        flat = pc.list_slice(tokens, 1).flatten()
-        got = pc.extract_regex(flat, pair)
-        if got.null_count:
-            raise _Refused
-        offs = pa.array([0, *lens.cumsum()], pa.int32())
-        heads = [pc.cast(got.field(f"h{i}"), pa.int64()) for i in range(width - 1)]
-        vals = _floats(got.field("v"))
-        out = {"label": label, "ids": pa.ListArray.from_arrays(offs, heads[-1]), "vals": pa.ListArray.from_arrays(offs, vals)}
-        return out | ({"fields": pa.ListArray.from_arrays(offs, heads[0])} if width == 3 else {})
+        label, valid = _labels(pc.list_element(tokens, 0))
+        ok = valid & (lens >= 1)
+        parts = pc.split_pattern(pc.list_slice(tokens, 1).flatten(), ":")
+        owner = np.repeat(np.arange(len(lens)), lens)
+        ok[owner[pc.list_value_length(parts).to_numpy() != width]] = False
+        whole = ok[owner]
+        flat, owner = parts.filter(pa.array(whole)).flatten(), owner[whole]
+        column = [flat.take(pa.array(np.arange(i, len(flat), width))) for i in range(width)]
+        good = np.ones(len(owner), bool)
+        heads = []
+        for c in column[:-1]:
+            x, fits = _indices(c)
+            heads.append(x)
+            good &= fits
+        vals, fits = _floats(column[-1])
+        ok[owner[~(good & fits)]] = False
+        keep, lens = pa.array(ok[owner]), lens[ok]
+        out = {"label": label.filter(pa.array(ok)), "ids": _lists(lens, heads[-1].filter(keep)), "vals": _lists(lens, vals.filter(keep))}
+        return ok, out | ({"fields": _lists(lens, heads[0].filter(keep))} if width == 3 else {})
 
     return block
 
 
-FAST: dict[str, Callable[[pa.Array], dict]] = {"csv": _block_csv, "sparse": _block_sparse, "libsvm": _block_ids(2), "libffm": _block_ids(3)}
+FAST: dict[str, Callable[[pa.Array], tuple[np.ndarray, dict]]] = {"csv": _block_csv, "sparse": _block_sparse, "libsvm": _block_ids(2), "libffm": _block_ids(3)}
 
 
 def _as_batch(cols: dict, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if (c := cols.get(f.name)) is not None else pa.nulls(n, f.type) for f in PARSED], schema=PARSED)
 
 
-#: Failing blocks are halved down to so few lines; each of these goes to the strict parser, which costs less than one more call of the fast path.
-LEAF_ROWS = 32
-
-
-def parse_block(feed: str | None, lines: pa.Array, calls: list | None = None, leaf_rows: int = LEAF_ROWS) -> pa.Table:
-    """All lines of a block, in order: the fast path where it holds, else halves, else the strict parser."""
-    fast, done, single = FAST.get(feed), [], []
+def parse_pieces(feed: str | None, lines: pa.Array, calls: list | None = None, strict: list | None = None) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """The lines of a block in pieces: (places of the lines, what was parsed from them); every line is in exactly one piece.
 
-    def flush() -> None:
-        if single:
-            done.append(pa.RecordBatch.from_pylist(single, schema=PARSED))
-            single.clear()
-
-    stack = [(0, len(lines))]
+    A bulk parse that isn't sure of every line names those it turns down, and these are isolated at once; one that fails
+    without naming any (a kernel raises) is cut in halves, down to single lines. Isolated lines go to the strict parser.
+    `calls` collects the sizes of the bulk parses, `strict` the places of isolated lines.
+    """
+    fast = FAST.get(feed)
     trimmed = pc.utf8_trim(pc.fill_null(lines, ""), BLANKS)
+    alone: list[np.ndarray] = []
+    stack = [np.arange(len(lines))]
     while stack:
-        lo, hi = stack.pop()
-        if fast and (hi - lo > leaf_rows or hi - lo == len(lines) > 1):
-            if calls is not None:
-                calls.append(hi - lo)
-            try:
-                cols = fast(trimmed.slice(lo, hi - lo))
-            except (_Refused, pa.ArrowException):
-                mid = (lo + hi) // 2
-                stack += [(mid, hi), (lo, mid)]
-                continue
-            flush()
-            done.append(_as_batch(cols, hi - lo))
-        else:
-            single += [parse_strict(feed, lines[i].as_py()) for i in range(lo, hi)]
-    flush()
-    return pa.Table.from_batches(done, schema=PARSED)
-
-
-def parse_lines(df: DataFrame, keys: tuple[str, ...] = ("line_no",), feed_col: str = "feed", line_col: str = "line", block_rows: int = 512) -> DataFrame:
+        at = stack.pop()
+        if fast is None or not len(at):
+            alone.append(at)
+            continue
+        if calls is not None:
+            calls.append(len(at))
+        try:
+            ok, cols = fast(trimmed if len(at) == len(lines) else trimmed.take(pa.array(at)))
+        except pa.ArrowException:
+            if len(at) == 1:
+                alone.append(at)
+            else:
+                stack += [at[len(at) // 2 :], at[: len(at) // 2]]
+            continue
+        if ok.any():
+            yield at[ok], _as_batch(cols, int(ok.sum()))
+        alone.append(at[~ok])
+    left = np.sort(np.concatenate(alone)) if alone else np.zeros(0, np.int64)
+    if strict is not None:
+        strict += left.tolist()
+    if len(left):
+        yield left, pa.RecordBatch.from_pylist([parse_strict(feed, x) for x in lines.take(pa.array(left)).to_pylist()], schema=PARSED)
+
+
+def parse_block(feed: str | None, lines: pa.Array, calls: list | None = None, strict: list | None = None) -> pa.Table:
+    """What was parsed from all lines of a block, in their order."""
+    pieces = list(parse_pieces(feed, lines, calls, strict))
+    if not pieces:
+        return PARSED.empty_table()
+    order = np.argsort(np.concatenate([at for at, _ in pieces]))
+    return pa.Table.from_batches([b for _, b in pieces], schema=PARSED).combine_chunks().take(pa.array(order))
+
+
+def parse_lines(df: DataFrame, keys: tuple[str, ...] = ("line_no",), feed_col: str = "feed", line_col: str = "line", block_rows: int = 4096) -> DataFrame:
     """Every row of `df` as its `keys`, its feed and what was parsed from its line.
 
     Added columns: reason (NULL = usable; else the first of REASONS that applies), label, names/texts (csv and sparse
@@ -313,10 +336,10 @@ def parse_lines(df: DataFrame, keys: tuple[str, ...] = ("line_no",), feed_col: s
                 own = b.take(at)
                 lines = own.column("__line")
                 for lo in range(0, len(lines), block_rows):
-                    got = parse_block(feed, lines.slice(lo, block_rows)).combine_chunks()
                     part = own.slice(lo, block_rows)
-                    for piece in got.to_batches(max_chunksize=block_rows) or []:
-                        yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), part.column("__feed"), *piece.columns], names=[*names, "feed", *PARSED.names])
+                    for at, piece in parse_pieces(feed, lines.slice(lo, block_rows)):
+                        of = part.take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([*(of.column(n) for n in names), of.column("__feed"), *piece.columns], names=[*names, "feed", *PARSED.names])
 
     src = df.select(*names, df[feed_col].alias("__feed"), df[line_col].cast("string").alias("__line"))
     return src.mapInArrow(run, ddl)

@@ -68,11 +68,40 @@ def test_strict(feed, line, reason):
 
 
 @pytest.mark.parametrize("feed", list(b.FAST))
-@pytest.mark.parametrize("leaf", [1, 2, 32])
-def test_block_equals_strict(feed, leaf):
+def test_block_equals_strict(feed):
     lines = [x for f, x, _ in CASES if f == feed] * 3
-    got = b.parse_block(feed, pa.array(lines, pa.string()), leaf_rows=leaf).to_pylist()
+    strict: list[int] = []
+    got = b.parse_block(feed, pa.array(lines, pa.string()), strict=strict).to_pylist()
     assert got == [b.parse_strict(feed, x) for x in lines]
+    assert {i for i, x in enumerate(lines) if got[i]["reason"]} <= set(strict)
+
+
+def test_a_block_whose_kernel_raises_is_bisected_to_single_lines(monkeypatch):
+    whole = b.FAST["libsvm"]
+
+    def raising(lines):
+        if any(x.startswith("!") for x in lines.to_pylist()):
+            raise pa.ArrowInvalid("of the whole block")
+        return whole(lines)
+
+    monkeypatch.setitem(b.FAST, "libsvm", raising)
+    lines = [f"1 {i}:2" for i in range(200)]
+    lines[57] = lines[140] = "! 1:2"
+    calls: list[int] = []
+    strict: list[int] = []
+    got = b.parse_block("libsvm", pa.array(lines), calls, strict).to_pylist()
+    assert got == [b.parse_strict("libsvm", x) for x in lines]
+    assert strict == [57, 140] and len(calls) < 40
+
+
+def test_few_lines_reach_the_strict_parser(sf):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{sf}/raw_samples.parquet").to_pandas()
+    strict: list[int] = []
+    for feed, own in t.groupby("feed"):
+        b.parse_block(feed, pa.array(own["line"], pa.string()), strict=strict)
+    assert len(strict) < 0.1 * len(t)
 
 
 @pytest.mark.parametrize("feed", list(b.FAST))
@@ -88,7 +117,7 @@ def test_clean_block_takes_one_call(feed):
 def test_fast_never_disagrees(feed, tails):
     start = {"csv": "u,1,2,3,c,", "sparse": "label:1,", "libsvm": "1 2:3", "libffm": "1 1:2:3"}[feed]
     lines = [start + t for t in tails] + tails
-    assert b.parse_block(feed, pa.array(lines), leaf_rows=1).to_pylist() == [b.parse_strict(feed, x) for x in lines]
+    assert b.parse_block(feed, pa.array(lines)).to_pylist() == [b.parse_strict(feed, x) for x in lines]
 
 
 def test_frame_with_clashing_columns_and_nulls(spark):
