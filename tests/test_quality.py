@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grainmill.operators import quality as q
 
@@ -85,6 +86,64 @@ def test_drift_finds_the_changed_column_only(spark):
     assert got[3, "x"]["n_rows"] == 1200
 
 
+def test_findings_of_change_come_through_the_classifier(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for load in (1, 2, 3, 4, None):
+        for i in range(4000):
+            x = float(rng.uniform(0, 100)) if rng.random() > 0.1 else float("nan")
+            if load in (2, None):
+                x = float(rng.uniform(60, 100)) if rng.random() < 0.6 else x  # the median is above the 75th trusted percentile
+                x = max(x, 76.0) if rng.random() < 0.5 else x
+            c = "Zz" if load == 3 and rng.random() < 0.15 else ("Aa" if rng.random() < 0.5 else "Bb")
+            # load 4 is told apart by another column altogether, which mustn't hide or make a finding
+            rows.append((load, (load or 9) * 10_000 + i, x, c if load != 4 else "9", f"v{i % 5}" if i % 3 else None))
+    df = frame(spark, rows)
+    got = {(r["load_id"], r["col_name"], r["issue"]): r for r in q.load_findings(df, RULES).collect()}
+    assert set(got) == found(spark, rows)
+    assert {(2, "x", "shift"), (None, "x", "shift"), (3, "c", "levels"), (4, "c", "levels"), (4, "c", "pattern")} <= set(got)
+    assert got[2, "x", "shift"]["auc_alone"] > 0.6 and got[3, "c", "levels"]["auc_alone"] > 0.55
+    test = {(r["load_id"], r["col_name"]): r for r in q.trusted_drift(df, RULES).collect()}
+    assert test[1, "x"]["cleared"] and test[1, "c"]["cleared"] and test[4, "x"]["cleared"]
+    assert not test[2, "x"]["cleared"] and not test[None, "x"]["cleared"] and not test[3, "c"]["cleared"]
+
+
+def test_a_cleared_column_gives_no_finding_of_change(spark, monkeypatch):
+    rows = [(1, i, 90.0 + i % 9, "Aa" if i % 2 else "Bb", "v") for i in range(3000)]
+    assert (1, "x", "shift") in {tuple(r)[:3] for r in q.load_findings(frame(spark, rows), RULES).collect()}
+    monkeypatch.setattr(q, "CLEAR_AUC", 1.0)
+    monkeypatch.setattr(q, "CLEAR_DROP", 1.0)
+    assert (1, "x", "shift") not in {tuple(r)[:3] for r in q.load_findings(frame(spark, rows), RULES).collect()}
+
+
+def test_small_loads_are_not_cleared(spark):
+    rows = [(load, load * 100 + i, 80.0 if load == 2 else 50.0 + i, "Aa", "v") for load in (1, 2) for i in range(15)]
+    assert {tuple(r)[:3] for r in q.load_findings(frame(spark, rows), RULES).collect()} == {(2, "x", "shift")}
+
+
+def test_load_ids_of_any_type(spark):
+    rng = np.random.default_rng(5)
+    rows = [(d, i + n * 1000, float(rng.normal(50 + 30 * n, 5)), "Aa", "v") for n, d in enumerate(("2024-01-01", "2024-01-02")) for i in range(500)]
+    df = spark.createDataFrame(rows, DDL.replace("load_id int", "load_id string")).withColumn("load_id", F.col("load_id").cast("date"))
+    got = q.load_drift(df, RULES).where("col_name = 'x'").collect()
+    assert [str(r["prev_load_id"]) for r in got] == ["2024-01-01"] and got[0]["auc"] > 0.95
+
+
+def test_loads_are_scored_in_passes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(load, load * 1000 + i, float(rng.uniform(0, 100)) + 30 * (load == 4), "Aa" if i % 2 else "Bb", "v") for load in range(1, 6) for i in range(400)]
+    one = sorted(map(tuple, q.load_drift(frame(spark, rows), RULES).collect()))
+    monkeypatch.setattr(q, "LOADS_PER_PASS", 2)
+    monkeypatch.setattr(q, "LOADS_PER_FLUSH", 1)
+    assert sorted(map(tuple, q.load_drift(frame(spark, rows), RULES).collect())) == one
+
+
+def test_trusted_load_is_drawn_from_its_summary(spark):
+    codes = q.trusted_codes(spark, RULES, 4000)
+    assert abs((codes[:, 0] == 0).mean() - 0.1) < 0.02 and not (codes[:, 1] <= 1).any()
+    assert set(np.unique(codes[:, 2])) == {2}
+
+
 def test_profile_counts_repeats_and_zero_signs(spark):
     rows = [(1, 1, 0.0, "Aa", "v"), (1, 1, -0.0, "Aa", "v"), (1, 2, float("inf"), " Aa ", "")]
     prof = {r["col_name"]: r for r in q.profile_loads(frame(spark, rows), RULES).collect()}
