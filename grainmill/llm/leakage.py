@@ -1,20 +1,19 @@
 """Evaluation texts leaking into training text: a prefix-filtered set join of word shingles with exact verification.
 
-An item leaks into a document if the document shows a run of `run_words` consecutive words of it. Such a run holds
-`run_words - 4` shingles of five words, one at each position, of which a run with one word still unread keeps all but five
-and one with two all but ten. So a window of an item and a document that shows it share at least `need` shingles, and hence
-at least one of the `run_words - 4 - need + 1` rarest ones of the window: its prefix in the global order by rarity.
-
-Two passes, neither of which shuffles text: (1) over all documents, in column order: positions of item shingles are found
-against the sorted item shingles; stretches where at least `need` lie within one window are kept with their words; document
-frequencies are counted over all documents. (2) over the kept stretches: the prefixes select (item, offset) candidates, the
-count of shingles on the same offset bounds them, and the words themselves are compared over the item-sized window.
-The evaluation side is held in memory in blocks of at most ITEMS_PER_BLOCK shingles; more items mean more passes.
+An item leaks into a document if the document shows a run of `run_words` consecutive words of it. Shingles of five words are
+compared in a coarse spelling that makes equal whatever `same_word` accepts, so such a run has all `run_words - 4` shingles of
+one window of the item: the overlap that a window needs is its whole length, and its prefix in the global order by rarity is
+a single shingle, the rarest one. Only these prefixes are indexed; nothing that verification would accept is lost.
+
+(1) Rarity: how many documents hold each word of the items is counted over the whole corpus, and a shingle is as rare as its
+words together. (2) One pass over the documents, in column order: their shingles are joined with the prefixes, which gives
+(item, offset) candidates. An offset must leave room for a whole run in both texts (length bound) and have the coarse words
+of one around the shingle (positional bound); then the words themselves are compared over the item-sized window.
+No text is shuffled. The evaluation side is held in blocks of at most ITEMS_PER_BLOCK shingles; more items mean more passes.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.reading import byte_slices, canonical, pages_to_words, plain_words, same_word
-from grainmill.session import cut
+from grainmill.llm.reading import byte_slices, coarse, pages_to_words, plain_words, same_word
 
-SHINGLE, RUN_WORDS, NEED = 5, 20, 6
+SHINGLE, RUN_WORDS = 5, 20
 #: Shingles of evaluation items per pass (about 100 bytes each on an executor).
 ITEMS_PER_BLOCK = 2_000_000
 #: Spellings whose number a task remembers; others are looked up anew.
@@ -33,18 +31,38 @@ KNOWN_WORDS = 300_000
 
 
 class ItemIndex:
-    """The items of one block: words, shingles as runs of word numbers, where each shingle stands."""
-
-    def __init__(self, items: list[tuple[int, str | None]], shingle: int = SHINGLE) -> None:
-        self.shingle = shingle
-        self.ids = [i for i, _ in items]
-        self.words = [plain_words(t or "") for _, t in items]
+    """The items of one block: their words, and for each window of a run the rarest shingle with the places where it stands."""
+
+    def __init__(self, items: list[tuple[int, str | None]], run_words: int = RUN_WORDS, shingle: int = SHINGLE) -> None:
+        self.run_words, self.shingle = run_words, shingle
+        same: dict[tuple[str, ...], list[int]] = {}
+        for i, t in items:
+            ws = tuple(plain_words(t or ""))
+            if len(ws) >= run_words:
+                same.setdefault(ws, []).append(i)
+        self.words, self.ids = [list(w) for w in same], list(same.values())
         self.number: dict[str, int] = {}
-        seqs = [[self.number.setdefault(canonical(w), len(self.number)) for w in ws] for ws in self.words]
-        keys = [self.keys(np.array(s, np.int64)) for s in seqs]
-        flat = np.concatenate([*keys, np.zeros(0, np.uint64)])
-        self.sorted = np.unique(flat)
-        self.at = [np.searchsorted(self.sorted, k) for k in keys]
+        self.seqs = [np.array([self.number.setdefault(coarse(w), len(self.number)) for w in ws], np.int64) for ws in self.words]
+        self.prefix, self.item, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def order(self, freq: dict[str, int]) -> None:
+        """Index the prefixes: of each window the shingle whose words are rarest by `freq`; ties fall to the same shingle everywhere."""
+        keys, items, places = [self.prefix[:0]], [self.item[:0]], [self.place[:0]]
+        size = self.run_words - self.shingle + 1
+        for i, (ws, seq) in enumerate(zip(self.words, self.seqs, strict=True)):
+            k = self.keys(seq)
+            share = np.log1p(np.array([freq.get(w, 0) for w in ws], float))
+            score = np.lib.stride_tricks.sliding_window_view(share, self.shingle).sum(axis=1)
+            rank = np.empty(len(k), np.int64)
+            rank[np.lexsort((k, score))] = np.arange(len(k))
+            win = np.lib.stride_tricks.sliding_window_view(rank, size)
+            at = np.unique(win.argmin(axis=1) + np.arange(len(win)))
+            keys.append(k[at])
+            items.append(np.full(len(at), i))
+            places.append(at)
+        key, item, place = np.concatenate(keys), np.concatenate(items), np.concatenate(places)
+        o = np.argsort(key, kind="stable")
+        self.prefix, self.item, self.place = key[o], item[o], place[o]
 
     def keys(self, seq: np.ndarray) -> np.ndarray:
         """A 64-bit key for each window of word numbers; 0 for a window with a word no item has."""
@@ -61,46 +79,27 @@ class ItemIndex:
         h[gap] = 0
         return h
 
-    def hits(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in a text whose shingle some item has, and the shingles' numbers."""
+    def candidates(self, seq: np.ndarray) -> set[tuple[int, int]]:
+        """(item, offset) whose coarse words agree over a whole run around a prefix shingle of the text."""
         k = self.keys(seq)
-        at = np.searchsorted(self.sorted, k)
-        at[at == len(self.sorted)] = 0
-        pos = np.flatnonzero((self.sorted[at] == k) & (k != 0)) if len(self.sorted) else np.zeros(0, np.int64)
-        return pos, at[pos]
-
-
-def stretches(pos: np.ndarray, need: int, span: int, reach: int) -> list[tuple[int, int]]:
-    """Ranges of positions around every window of `span` positions with at least `need` hits."""
-    if len(pos) < need:
-        return []
-    dense = np.flatnonzero(pos[need - 1 :] - pos[: len(pos) - need + 1] < span)
-    out: list[tuple[int, int]] = []
-    for i in dense.tolist():
-        lo, hi = int(pos[i]) - reach, int(pos[i + need - 1]) + reach
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
-
-
-def prefixes(index: ItemIndex, df_count: np.ndarray, run_words: int, need: int) -> list[np.ndarray]:
-    """Per item which of its positions belong to the prefix of some window, in the global order by document frequency."""
-    order = np.lexsort((np.arange(len(df_count)), df_count))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    size = run_words - index.shingle + 1
-    keep = size - need + 1
-    out = []
-    for at in index.at:
-        mark = np.zeros(len(at), bool)
-        if len(at) >= size:
-            win = np.lib.stride_tricks.sliding_window_view(rank[at], size)
-            rarest = np.argpartition(win, keep - 1, axis=1)[:, :keep] if keep < size else np.tile(np.arange(size), (len(win), 1))
-            mark[(rarest + np.arange(len(win))[:, None]).ravel()] = True
-        out.append(mark)
-    return out
+        pos = np.flatnonzero(k)
+        lo = np.searchsorted(self.prefix, k[pos], side="left")
+        hi = np.searchsorted(self.prefix, k[pos], side="right")
+        seen: dict[tuple[int, int], bool] = {}
+        for p, a, b in zip(pos[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+            for e in range(a, b):
+                i, off = int(self.item[e]), p - int(self.place[e])
+                if (i, off) not in seen:
+                    seen[i, off] = self._agree(self.seqs[i], seq, off)
+        return {x for x, good in seen.items() if good}
+
+    def _agree(self, item: np.ndarray, text: np.ndarray, off: int) -> bool:
+        """Whether some run of coarse words at one offset (position in the text minus position in the item) is long enough."""
+        lo, hi = max(0, -off), min(len(item), len(text) - off)
+        if hi - lo < self.run_words:
+            return False
+        other = np.flatnonzero(np.r_[True, item[lo:hi] != text[lo + off : hi + off], True])
+        return int(np.diff(other).max()) > self.run_words
 
 
 def longest_run(item: list[str], words: list[str], offset: int) -> int:
@@ -112,114 +111,73 @@ def longest_run(item: list[str], words: list[str], offset: int) -> int:
     return best
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text_col: str = "text", boxes_col: str | None = "line_boxes", run_words: int = RUN_WORDS, need: int = NEED) -> DataFrame:
+def word_frequencies(docs: DataFrame, words: set[str], text_col: str = "text") -> dict[str, int]:
+    """In how many documents each of `words` stands, as split at whatever is neither letter nor digit. One row a word comes back."""
+    wanted = docs.sparkSession.createDataFrame([(w,) for w in sorted(words)], "w string")
+    tokens = F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}\p{N}]+"))
+    found = docs.select(F.explode(tokens).alias("w")).join(F.broadcast(wanted), "w")  # the words of a block of items
+    return {r["w"]: r["count"] for r in found.groupBy("w").count().toLocalIterator()}
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text_col: str = "text", boxes_col: str | None = "line_boxes", run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, item_id, run): every document that shows `run_words` or more consecutive words of an item, with the longest run.
 
     One row per pair; all items of a document are reported. NULL and empty texts, and items of fewer words, match nothing.
     `boxes_col=None`, a missing column, or boxes that don't fit the lines: the text is read in its own order.
     Repeated keys are read row by row and reported once. Other columns aren't touched.
     """
-    spark = docs.sparkSession
     id_type, item_type = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     ddl = f"doc_id {id_type}, item_id {item_type}, run int"
-    out = spark.createDataFrame([], ddl)
+    out = docs.sparkSession.createDataFrame([], ddl)
     block: list[tuple[int, str | None]] = []
     size = 0
     for r in items.select(item_key, text_col).where(F.col(text_col).isNotNull()).distinct().orderBy(item_key, text_col).toLocalIterator():
         block.append((r[0], r[1]))
         size += len(r[1]) // 4
         if size >= ITEMS_PER_BLOCK:
-            out, block, size = out.unionByName(_leaks_of(docs, ItemIndex(block), ddl, doc_key, text_col, boxes_col, run_words, need)), [], 0
+            out, block, size = out.unionByName(_leaks_of(docs, block, ddl, doc_key, text_col, boxes_col, run_words)), [], 0
     if block:
-        out = out.unionByName(_leaks_of(docs, ItemIndex(block), ddl, doc_key, text_col, boxes_col, run_words, need))
+        out = out.unionByName(_leaks_of(docs, block, ddl, doc_key, text_col, boxes_col, run_words))
     return out.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
 
 
-def _leaks_of(docs: DataFrame, index: ItemIndex, ddl: str, doc_key: str, text_col: str, boxes_col: str | None, run_words: int, need: int) -> DataFrame:
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    span = run_words - index.shingle + 1
-    shared = sc.broadcast(index)  # bounded by ITEMS_PER_BLOCK
+def _leaks_of(docs: DataFrame, block: list[tuple[int, str | None]], ddl: str, doc_key: str, text_col: str, boxes_col: str | None, run_words: int) -> DataFrame:
+    index = ItemIndex(block, run_words)
+    if not index.words:
+        return docs.sparkSession.createDataFrame([], ddl)
+    index.order(word_frequencies(docs, {w for ws in index.words for w in ws}, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by ITEMS_PER_BLOCK
     has_boxes = boxes_col is not None and boxes_col in docs.columns
-    id_type = docs.schema[doc_key].dataType.simpleString()
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        number, freq = ix.number, np.zeros(len(ix.sorted), np.int64)
         known: dict[str, int] = {}
 
         def num(w: str) -> int:
             got = known.get(w)
             if got is None:
-                got = number.get(canonical(w), -1)
+                got = ix.number.get(coarse(w), -1)
                 if len(known) < KNOWN_WORDS:
                     known[w] = got
             return got
 
         for b in (part for whole in batches for part in byte_slices(whole, "t")):
-            keys, ws_out, sh_pos, sh_no = [], [], [], []
-            ids = b.column("k")
+            rows, item_ids, runs = [], [], []
             for row, words in enumerate(pages_to_words(b.column("t"), b.column("b") if has_boxes else None)):
                 if len(words) < run_words:
                     continue
-                seq = np.fromiter(map(num, words), np.int64, len(words))
-                pos, no = ix.hits(seq)
-                if not len(pos):
-                    continue
-                freq[np.unique(no)] += 1
-                for lo, hi in stretches(pos, need, span, run_words + ix.shingle):
-                    lo, hi = max(lo, 0), min(hi + ix.shingle, len(words))
-                    inside = (pos >= lo) & (pos < hi)
-                    keys.append(row)
-                    ws_out.append(words[lo:hi])
-                    sh_pos.append(pos[inside] - lo)
-                    sh_no.append(no[inside])
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(keys, pa.int64())), pa.array(ws_out, pa.list_(pa.string())), pa.array(sh_pos, pa.list_(pa.int32())), pa.array(sh_no, pa.list_(pa.int32())), pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.int64())],
-                    names=["doc_id", "words", "pos", "no", "shingle", "freq"],
-                )
-        at = np.flatnonzero(freq)
-        n = len(at)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, ids.type) if n else pa.nulls(0, pa.null()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32())), pa.array(at.astype(np.int32)), pa.array(freq[at])], names=["doc_id", "words", "pos", "no", "shingle", "freq"]) if n else pa.RecordBatch.from_pylist([])
-
-    def scan_safe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (b for b in scan(batches) if b.num_rows)
-
-    cols = [docs[doc_key].alias("k"), docs[text_col].cast("string").alias("t")] + ([docs[boxes_col].alias("b")] if has_boxes else [])
-    found = cut(docs.select(*cols).where("t IS NOT NULL").mapInArrow(scan_safe, f"doc_id {id_type}, words array<string>, pos array<int>, no array<int>, shingle int, freq bigint"))
-    freq = np.zeros(len(index.sorted), np.int64)
-    for r in found.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("freq").alias("n")).toLocalIterator():  # one row a shingle of the block
-        freq[r["shingle"]] = r["n"]
-    marks = prefixes(index, freq, run_words, need)
-    where: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
-    for i, (at, mark) in enumerate(zip(index.at, marks, strict=True)):
-        for q, (s, m) in enumerate(zip(at.tolist(), mark.tolist(), strict=True)):
-            where[s].append((i, q, m))
-    places = sc.broadcast(dict(where))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, at = shared.value, places.value
-        for b in batches:
-            rows, item_ids, runs = [], [], []
-            for row, (words, pos, no) in enumerate(zip(b.column("words").to_pylist(), b.column("pos").to_pylist(), b.column("no").to_pylist(), strict=True)):
-                count: Counter[tuple[int, int]] = Counter()
-                chosen: set[tuple[int, int]] = set()
-                for p, s in zip(pos, no, strict=True):
-                    for i, q, in_prefix in at.get(s, ()):
-                        count[i, p - q] += 1
-                        if in_prefix:
-                            chosen.add((i, p - q))
                 best: dict[int, int] = {}
-                for i, off in chosen:
-                    if count[i, off] >= need:
-                        run = longest_run(ix.words[i], words, off)
-                        if run >= run_words and run > best.get(i, 0):
-                            best[i] = run
+                for i, off in ix.candidates(np.fromiter(map(num, words), np.int64, len(words))):
+                    run = longest_run(ix.words[i], words, off)
+                    if run >= run_words:
+                        best[i] = max(run, best.get(i, 0))
                 for i, run in best.items():
-                    rows.append(row)
-                    item_ids.append(ix.ids[i])
-                    runs.append(run)
+                    for own in ix.ids[i]:  # items of the same words
+                        rows.append(row)
+                        item_ids.append(own)
+                        runs.append(run)
             if rows:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(item_ids), pa.array(runs, pa.int32())], names=["doc_id", "item_id", "run"])
+                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(rows, pa.int64())), pa.array(item_ids), pa.array(runs, pa.int32())], names=["doc_id", "item_id", "run"])
 
-    return found.where("words IS NOT NULL").select("doc_id", "words", "pos", "no").mapInArrow(verify, ddl)
+    cols = [docs[doc_key].alias("k"), docs[text_col].cast("string").alias("t")] + ([docs[boxes_col].alias("b")] if has_boxes else [])
+    return docs.select(*cols).where("t IS NOT NULL").mapInArrow(join, ddl)
