@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from grainmill.llm.reading import byte_slices, coarse, pages_to_words, plain_words, same_word
 
@@ -128,6 +129,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     """
     id_type, item_type = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     ddl = f"doc_id {id_type}, item_id {item_type}, run int"
+    item_arrow = to_arrow_type(items.schema[item_key].dataType)
     out = docs.sparkSession.createDataFrame([], ddl)
     block: list[tuple[int, str | None]] = []
     size = 0
@@ -135,13 +137,13 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
         block.append((r[0], r[1]))
         size += len(r[1]) // 4
         if size >= ITEMS_PER_BLOCK:
-            out, block, size = out.unionByName(_leaks_of(docs, block, ddl, doc_key, text_col, boxes_col, run_words)), [], 0
+            out, block, size = out.unionByName(_leaks_of(docs, block, ddl, doc_key, text_col, boxes_col, run_words, item_arrow)), [], 0
     if block:
-        out = out.unionByName(_leaks_of(docs, block, ddl, doc_key, text_col, boxes_col, run_words))
+        out = out.unionByName(_leaks_of(docs, block, ddl, doc_key, text_col, boxes_col, run_words, item_arrow))
     return out.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
 
 
-def _leaks_of(docs: DataFrame, block: list[tuple[int, str | None]], ddl: str, doc_key: str, text_col: str, boxes_col: str | None, run_words: int) -> DataFrame:
+def _leaks_of(docs: DataFrame, block: list[tuple[int, str | None]], ddl: str, doc_key: str, text_col: str, boxes_col: str | None, run_words: int, item_arrow: pa.DataType) -> DataFrame:
     index = ItemIndex(block, run_words)
     if not index.words:
         return docs.sparkSession.createDataFrame([], ddl)
@@ -177,7 +179,7 @@ def _leaks_of(docs: DataFrame, block: list[tuple[int, str | None]], ddl: str, do
                         item_ids.append(own)
                         runs.append(run)
             if rows:
-                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(rows, pa.int64())), pa.array(item_ids), pa.array(runs, pa.int32())], names=["doc_id", "item_id", "run"])
+                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(rows, pa.int64())), pa.array(item_ids, item_arrow), pa.array(runs, pa.int32())], names=["doc_id", "item_id", "run"])
 
     cols = [docs[doc_key].alias("k"), docs[text_col].cast("string").alias("t")] + ([docs[boxes_col].alias("b")] if has_boxes else [])
     return docs.select(*cols).where("t IS NOT NULL").mapInArrow(join, ddl)

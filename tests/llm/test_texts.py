@@ -298,7 +298,7 @@ def scanned(rng, words, width, style):
     cols = [out[:half], out[half:]]
     if style == "merged":
         cols[1][2:2] = ["* * * * *", "TO LET apply", "* * * * *"]
-        rows = [(f"{a:<{width + 4}}{b}" if b else a, box(60 + rng.randrange(4), 100 + 24 * i)) for i, (a, b) in enumerate(zip(cols[0], [*cols[1], *[""] * 9], strict=False))]
+        rows = [(f"{a:<{width + 8}}{b}" if b else a, box(60 + rng.randrange(4), 100 + 24 * i)) for i, (a, b) in enumerate(zip(cols[0], [*cols[1], *[""] * 9], strict=False))]
         rows += [(b, box(560, 100 + 24 * (len(cols[0]) + i))) for i, b in enumerate(cols[1][len(cols[0]) :])]
         return rows
     rows = [(t, box(60 + 520 * c + rng.randrange(4), 100 + 24 * i)) for c, col in enumerate(cols) for i, t in enumerate(col)]
@@ -328,4 +328,5 @@ def test_recall_and_precision_on_scanned_pages(spark):
         docs.append((d, "\n".join(t for t, _ in rows), [b for _, b in rows]))
     df = spark.createDataFrame(docs, "doc_id int, text string, line_boxes array<struct<x0:int,y0:int,x1:int,y1:int>>")
     got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(df, spark.createDataFrame(items, "item_id int, text string")).collect()}
-    assert got <= want and len(got & want) >= 0.98 * len(want)
+    assert got <= want, got - want
+    assert len(got & want) >= 0.98 * len(want), sorted((d % 3, d, i) for d, i in want - got)
