@@ -9,6 +9,7 @@ what makes the bound hold under any order of merges.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ def section_plan(state: int, k: int) -> tuple[int, int]:
 
 
 class ReqSketch:
-    def __init__(self, k: int = K, seed: int = 0) -> None:
+    def __init__(self, k: int = K, seed: int | list[int] = 0) -> None:
         self.k, self.n, self.levels, self.states = k, 0, [np.zeros(0)], [0]
         self.rng = np.random.default_rng(seed)
 
@@ -112,23 +113,40 @@ def _rows(keys: list[list], schema: list[str], ns: list[int], levels: list[int],
     return pa.RecordBatch.from_arrays([*cols, pa.array(ns, pa.int64()), pa.array(levels, pa.int32()), pa.array(states, pa.int64()), lists], names=[*schema, "n", "level", "state", "vals"])
 
 
-def sketch_parts(df: DataFrame, keys: list[str], value: Column, k: int = K, pending_rows: int = 200_000) -> DataFrame:
-    """Sketches of the rows of each task, per combination of `keys`: one row a level. No shuffle.
+#: Values a task holds of groups that are still small, compactor stacks it holds of the others, parts of a group that one task of the first merge level takes.
+PENDING_VALUES, HELD_SKETCHES, FAN_IN = 400_000, 2000, 64
 
-    A group that isn't over the capacity of one compactor is sent as its values; the others as compactors. A task holds
-    `pending_rows` rows and the sketches of groups it saw often, and hands these on when they grow beyond that.
+
+def _rng_seed(*parts: object) -> list[int]:
+    """A seed of its own for each task and key, so that the coins of different parts are independent and a retry draws the same ones."""
+    return [zlib.crc32(repr(x).encode()) for x in parts]
+
+
+def sketch_parts(df: DataFrame, keys: list[str], value: Column, k: int = K, pending_values: int = PENDING_VALUES) -> DataFrame:
+    """Sketches of the rows of each task, per combination of `keys`: one row a level, with the part they belong to. No shuffle.
+
+    A group is held as its values until they exceed one compactor, from then on as a stack of compactors, over all batches of
+    the task. Only when the values of small groups exceed `pending_values`, or more than HELD_SKETCHES groups are large, are
+    these handed on and begun anew; so memory is bounded, and a task sends a hot group as one sketch, not as its values.
     """
     key_fields = [df.schema[c] for c in keys]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields) + ", " + _SKETCH
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields) + ", __part int, " + _SKETCH
     cap = 2 * SECTIONS * k
     src = df.select(*keys, value.alias("__v")).where("__v IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         big: dict[tuple, ReqSketch] = {}
         types: list[pa.DataType] = []
 
-        def fold(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(tables).combine_chunks()
+        def rows(cols: list[list], ns: list[int], levels: list[int], states: list[int], offs: np.ndarray, vals: np.ndarray) -> pa.RecordBatch:
+            return _rows([*cols, [part] * len(ns)], [*keys, "__part"], ns, levels, states, offs, vals, [*types, pa.int32()])
+
+        def fold(tables: list, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
+            """Moves large groups into their sketches; gives what is left of the others, as a table or (`last`, or too many) as rows to send."""
+            t = pa.Table.from_batches([b for x in tables for b in (x.to_batches() if isinstance(x, pa.Table) else [x])]).combine_chunks()
             d = t.select(keys).to_pandas(integer_object_nulls=True)
             code = d.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
             v = t.column("__v").to_numpy()
@@ -138,41 +156,61 @@ def sketch_parts(df: DataFrame, keys: list[str], value: Column, k: int = K, pend
             sizes = np.diff(np.r_[starts, len(code)])
             firsts = o[starts]
             cols = [t.column(c).take(pa.array(firsts)).to_pylist() for c in keys]
-            small = np.ones(len(starts), bool)
-            for g in np.flatnonzero(sizes > cap).tolist():
-                key = tuple(c[g] for c in cols)
-                s = big.setdefault(key, ReqSketch(k, seed=len(big)))
-                s.update(v[starts[g] : starts[g] + sizes[g]])
-                small[g] = False
-            at = np.flatnonzero(small)
-            if len(at):
-                yield _rows([[c[i] for i in at.tolist()] for c in cols], keys, sizes[at].tolist(), [0] * len(at), [0] * len(at), np.r_[0, np.cumsum(sizes[at])], v[np.repeat(small, sizes)], types)
+            key_of = [_plain_key(x) for x in zip(*cols, strict=True)]
+            small = np.array([sizes[g] <= cap and key not in big for g, key in enumerate(key_of)], bool)
+            for g in np.flatnonzero(~small).tolist():
+                if key_of[g] not in big:
+                    big[key_of[g]] = ReqSketch(k, _rng_seed(part, key_of[g]))
+                big[key_of[g]].update(v[starts[g] : starts[g] + sizes[g]])
+                real[key_of[g]] = tuple(c[g] for c in cols)
+            at, left = np.flatnonzero(small), np.repeat(small, sizes)
+            if not len(at):
+                return
+            if last or left.sum() > pending_values // 2:
+                yield rows([[c[i] for i in at.tolist()] for c in cols], sizes[at].tolist(), [0] * len(at), [0] * len(at), np.r_[0, np.cumsum(sizes[at])], v[left])
+            else:
+                yield t.take(pa.array(o[left]))
+
+        real: dict[tuple, tuple] = {}
 
         def hand_on() -> Iterator[pa.RecordBatch]:
             for key, s in big.items():
-                yield _rows([[x] * len(s.levels) for x in key], keys, [s.n] + [0] * (len(s.levels) - 1), list(range(len(s.levels))), s.states, np.r_[0, np.cumsum([len(x) for x in s.levels])], np.concatenate(s.levels), types)
+                yield rows([[x] * len(s.levels) for x in real[key]], [s.n] + [0] * (len(s.levels) - 1), list(range(len(s.levels))), s.states, np.r_[0, np.cumsum([len(x) for x in s.levels])], np.concatenate(s.levels))
             big.clear()
+            real.clear()
 
-        pending, rows = [], 0
+        pending, n = [], 0
         for b in batches:
+            if not b.num_rows:
+                continue
             types = types or [b.schema.field(c).type for c in keys]
             pending.append(b)
-            rows += b.num_rows
-            if rows >= pending_rows:
-                yield from fold(pending)
-                pending, rows = [], 0
-                if len(big) > 2000:
+            n += b.num_rows
+            if n >= pending_values:
+                kept = []
+                for x in fold(pending, last=False):
+                    if isinstance(x, pa.Table):
+                        kept.append(x)
+                    else:
+                        yield x
+                pending, n = kept, sum(x.num_rows for x in kept)
+                if len(big) > HELD_SKETCHES:
                     yield from hand_on()
-        if rows:
-            yield from fold(pending)
+        if n:
+            yield from fold(pending, last=True)
         yield from hand_on()
 
     return src.mapInArrow(run, ddl)
 
 
-def _sketch_of(ns: np.ndarray, levels: np.ndarray, states: np.ndarray, lists: list[np.ndarray], k: int) -> ReqSketch:
+def _plain_key(key: tuple) -> tuple:
+    """A key that equals itself, NaN included."""
+    return tuple("NaN" if isinstance(x, float) and x != x else x for x in key)
+
+
+def _sketch_of(ns: np.ndarray, levels: np.ndarray, states: np.ndarray, lists: list[np.ndarray], k: int, seed: list[int]) -> ReqSketch:
     """One sketch from rows of several parts: compactors of a level are put together, then compressed once."""
-    s = ReqSketch(k, seed=len(lists))
+    s = ReqSketch(k, seed)
     s.n = int(ns.sum())
     top = int(levels.max()) + 1
     s.levels = [np.concatenate([v for v, h in zip(lists, levels, strict=True) if h == i] or [np.zeros(0)]) for i in range(top)]
@@ -181,64 +219,75 @@ def _sketch_of(ns: np.ndarray, levels: np.ndarray, states: np.ndarray, lists: li
     return s
 
 
-def merge_parts(parts: DataFrame, keys: list[str], ddl: str, emit, k: int = K) -> DataFrame:  # noqa: ANN001
-    """Bring the parts of each combination of `keys` together and hand (keys, sketch) to `emit`, which gives rows for `ddl`.
+def _merge_sorted(keys: list[str], ddl: str, emit, k: int):  # noqa: ANN001, ANN202
+    """A function over batches sorted by `keys`: (keys, sketch) of each group goes to `emit`, whose rows come out. Only one sketch is carried from batch to batch."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    What is shuffled is one sketch a task and group at most, a few KB for the hottest group, so no group is too large for a task.
-    """
-    names = parts.columns
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
+        carried: tuple[tuple, ReqSketch] | None = None
 
-        def close(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not t.num_rows:
-                return
-            t = t.combine_chunks()
-            cols = [t.column(c).to_pylist() for c in keys]
-            n, level, state = (t.column(c).to_numpy() for c in ("n", "level", "state"))
-            arr = t.column("vals").chunk(0)
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(c).to_pylist() for c in keys]
+            n, level, state = (b.column(c).to_numpy() for c in ("n", "level", "state"))
+            arr = b.column("vals")
             flat, offs = arr.values.to_numpy(), arr.offsets.to_numpy()
-            new = [0] + [i for i in range(1, t.num_rows) if any(c[i] != c[i - 1] for c in cols)] + [t.num_rows]
+            key_of = [_plain_key(x) for x in zip(*cols, strict=True)]
+            new = [0] + [i for i in range(1, b.num_rows) if key_of[i] != key_of[i - 1]] + [b.num_rows]
             out: list[tuple] = []
             for lo, hi in zip(new, new[1:], strict=False):
-                s = _sketch_of(n[lo:hi], level[lo:hi], state[lo:hi], [flat[offs[i] : offs[i + 1]] for i in range(lo, hi)], k)
-                out += emit(tuple(c[lo] for c in cols), s)
+                s = _sketch_of(n[lo:hi], level[lo:hi], state[lo:hi], [flat[offs[i] : offs[i + 1]] for i in range(lo, hi)], k, _rng_seed("merge", key_of[lo], int(n[lo:hi].sum())))
+                if carried is not None and _plain_key(carried[0]) == key_of[lo]:
+                    carried[1].merge(s)
+                    continue
+                if carried is not None:
+                    out += emit(*carried)
+                carried = (tuple(c[lo] for c in cols), s)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield batch_of(out)
+        if carried is not None and (out := emit(*carried)):
+            yield batch_of(out)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            tail = tuple(b.column(c)[b.num_rows - 1].as_py() for c in keys)
-            same = b.num_rows
-            while same and tuple(b.column(c)[same - 1].as_py() for c in keys) == tail:
-                same -= 1
-            if same or (last is not None and tail != last):
-                held.append(b.slice(0, same))
-                yield from close(pa.Table.from_batches(held))
-                held = []
-            held.append(b.slice(same))
-            last = tail
-        if held:
-            yield from close(pa.Table.from_batches(held))
+    return run
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(ddl))
-    return parts.select(*names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
+def _sketch_rows(key: tuple, s: ReqSketch) -> list[tuple]:
+    return [(*key, s.n if h == 0 else 0, h, st, v.tolist()) for h, (v, st) in enumerate(zip(s.levels, s.states, strict=True))]
+
+
+def merge_parts(parts: DataFrame, keys: list[str], ddl: str, emit, k: int = K, wide: bool = False) -> DataFrame:  # noqa: ANN001
+    """Bring the parts of each combination of `keys` together and hand (keys, sketch) to `emit`, which gives rows for `ddl`.
+
+    A task merges parts as they come and holds one sketch. `wide` merges in two levels: the parts of FAN_IN neighbouring tasks
+    first, then what these gave, so that the parts of a group that all tasks have are spread over many tasks.
+    """
+    names = [c for c in parts.columns if c != "__part"]
+    if wide and "__part" in parts.columns:
+        salted = parts.select(*names, F.floor(F.col("__part") / FAN_IN).cast("int").alias("__salt"))
+        by = [*keys, "__salt"]
+        mid = ", ".join(f"`{c}` {salted.schema[c].dataType.simpleString()}" for c in by) + ", " + _SKETCH
+        parts = salted.repartition(*by).sortWithinPartitions(*by).select(*by, "n", "level", "state", "vals").mapInArrow(_merge_sorted(by, mid, _sketch_rows, k), mid).drop("__salt")
+    return parts.select(*names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge_sorted(keys, ddl, emit, k), ddl)
+
+
+def _is_wide(df: DataFrame) -> bool:
+    """Whether `df` is read by more tasks than one merging task should take parts from, by the size the optimizer states."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size > FAN_IN * int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
 
 
 def load_sketches(df: DataFrame, group: str, load: str, value: str, k: int = K) -> DataFrame:
     """The form to keep: one sketch per group and load, one row a level (group, load, n, level, state, vals)."""
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (group, load)) + ", " + _SKETCH
-
-    def emit(key: tuple, s: ReqSketch) -> list[tuple]:
-        return [(*key, s.n if h == 0 else 0, h, st, v.tolist()) for h, (v, st) in enumerate(zip(s.levels, s.states, strict=True))]
-
-    return merge_parts(sketch_parts(df, [group, load], clean_num(value), k), [group, load], ddl, emit, k)
+    return merge_parts(sketch_parts(df, [group, load], clean_num(value), k), [group, load], ddl, _sketch_rows, k, _is_wide(df))
 
 
 def group_quantiles(sketches: DataFrame, group: str, ps: list[float] | None = None, k: int = K) -> DataFrame:
@@ -257,14 +306,14 @@ def group_quantiles(sketches: DataFrame, group: str, ps: list[float] | None = No
     return merge_parts(sketches.select(group, "n", "level", "state", "vals"), [group], ddl, emit, k)
 
 
-def groups_reaching(df: DataFrame, group: str, load: str, value: str, tests: list[tuple[str, float, float]], min_count: int, k: int = K) -> DataFrame:
+def groups_reaching(df: DataFrame, group: str, value: str, tests: list[tuple[str, float, float]], min_count: int, k: int = K) -> DataFrame:
     """(group, stat): groups with at least `min_count` values whose percentile p is at least x, for each test (stat, p, x).
 
-    Sketches are made per group and load and merged over the loads. The p-th value is >= x exactly if fewer than p * n values
+    Sketches are made per task and group and merged; those kept per load (`load_sketches`) would do as well. The p-th value is >= x exactly if fewer than p * n values
     are < x; where the sketch's estimate of that number is CERTAIN standard deviations away from p * n it decides, and only
     the groups in between are counted exactly in a second scan of the table. NULL groups form a group of their own.
     """
-    parts = sketch_parts(df, [group, load], clean_num(value), k)
+    parts = sketch_parts(df, [group], clean_num(value), k)
     g_type = df.schema[group].dataType.simpleString()
 
     def emit(key: tuple, s: ReqSketch) -> list[tuple]:
@@ -278,7 +327,7 @@ def groups_reaching(df: DataFrame, group: str, load: str, value: str, tests: lis
                     out.append((*key, stat, sure))
         return out
 
-    got = cut(merge_parts(parts.drop(load), [group], f"`{group}` {g_type}, stat string, sure boolean", emit, k))
+    got = cut(merge_parts(parts, [group], f"`{group}` {g_type}, stat string, sure boolean", emit, k, _is_wide(df)))
     open_ = got.where("NOT sure")
     counts = df.select(F.col(group).alias("g"), clean_num(value).alias("v")).where("v IS NOT NULL").join(open_.select(F.col(group).alias("g2")).distinct(), F.col("g").eqNullSafe(F.col("g2")), "left_semi")
     exact = counts.groupBy("g").agg(F.count("v").alias("n"), *[F.sum(F.when(F.col("v") < x, 1).otherwise(0)).alias(f"b_{stat}") for stat, _, x in tests])

@@ -28,7 +28,7 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.groups_reaching(table(spark, d, "ranked_scores"), "group_key", "load_id", "score", [("median", 0.5, 100.0), ("p95", 0.95, 1000.0)], 50)
+    return quantiles.groups_reaching(table(spark, d, "ranked_scores"), "group_key", "score", [("median", 0.5, 100.0), ("p95", 0.95, 1000.0)], 50)
 
 
 def p4_load_sketches(spark: SparkSession, d: str) -> DataFrame:

@@ -112,13 +112,13 @@ def test_groups_reaching_is_exact(spark):
     rows, df = scores(spark)
     tests = [("median", 0.5, 100.0), ("p95", 0.95, 150.0)]
     want = {(g, s) for g, v in by_group(rows).items() if len(v) >= 50 for s, p, x in tests if disc(v, p) >= x}
-    got = [tuple(r) for r in quantiles.groups_reaching(df, "group_key", "load_id", "score", tests, 50).collect()]
+    got = [tuple(r) for r in quantiles.groups_reaching(df, "group_key", "score", tests, 50).collect()]
     assert set(got) == want and len(got) == len(want)
     # at the hot group's own quantiles nothing is certain, so the exact count has to decide
     hot = by_group(rows)["hot"]
     m = disc(hot, 0.5)
     for x, ok in ((m, True), (np.nextafter(m, np.inf), False)):
-        got = {r["group_key"] for r in quantiles.groups_reaching(df, "group_key", "load_id", "score", [("m", 0.5, float(x))], 50).collect()}
+        got = {r["group_key"] for r in quantiles.groups_reaching(df, "group_key", "score", [("m", 0.5, float(x))], 50).collect()}
         assert ("hot" in got) == ok
 
 
@@ -137,6 +137,44 @@ def test_kept_sketches_combine(spark):
     assert quantiles.group_quantiles(quantiles.load_sketches(df.limit(0), "group_key", "load_id", "score"), "group_key").count() == 0
 
 
+def test_small_memory_and_two_merge_levels_keep_the_bound(spark, monkeypatch):
+    rows, df = scores(spark, 2)
+    exact = by_group(rows)
+    for pending, held in ((500, 2), (5_000, 2000)):
+        monkeypatch.setattr(quantiles, "HELD_SKETCHES", held)
+        monkeypatch.setattr(quantiles, "FAN_IN", 2)
+        parts = quantiles.sketch_parts(df, ["group_key"], quantiles.clean_num("score"), pending_values=pending)
+        per_part = parts.where("level = 0").groupBy("group_key", "__part").agg(F.sum("n").alias("n")).groupBy("group_key").agg(F.sum("n").alias("n")).collect()
+        assert {r["group_key"]: r["n"] for r in per_part} == {g: len(v) for g, v in exact.items()}
+        merged = {r["group_key"]: r for wide in (False, True) for r in quantiles.merge_parts(parts, ["group_key"], "group_key string, m double, n bigint", lambda key, s: [(*key, float(s.quantiles(np.array([0.5]))[0]), s.n)], wide=wide).collect()}
+        for g, v in exact.items():
+            assert merged[g]["n"] == len(v)
+            lo, hi = (np.searchsorted(np.sort(v), merged[g]["m"], side=side) - len(v) / 2 for side in ("left", "right"))
+            assert max(lo, -hi, 0) <= 1 + 6 * quantiles.RANK_ERROR / quantiles.K * len(v) / 2
+
+
+def test_a_hot_group_is_sent_as_one_sketch_a_task(spark):
+    df = spark.range(0, 400_000, 1, 4).select(F.lit("hot").alias("g"), F.rand(3).alias("x"))
+    rows = quantiles.sketch_parts(df, ["g"], F.col("x"), pending_values=20_000).select(F.size("vals").alias("n"), "__part").collect()
+    assert sum(r["n"] for r in rows) < 12_000 and {r["__part"] for r in rows} == {0, 1, 2, 3}
+
+
+def test_identical_parts_draw_different_coins():
+    v = np.arange(10_000, dtype=float)
+    got = []
+    for part in range(40):
+        s = quantiles.ReqSketch(seed=quantiles._rng_seed(part, ("g",)))
+        s.update(v)
+        got.append(s.below(5000.0) - 5000)
+    assert min(got) < 0 < max(got) and abs(np.mean(got)) < 3 * np.std(got) / 40**0.5 + 2
+
+
+def test_groups_that_are_nan(spark):
+    df = spark.createDataFrame([(float("nan"), float(i)) for i in range(300)] + [(None, 1.0)] * 60 + [(2.0, 5.0)] * 60, "g double, x double").repartition(5)
+    got = quantiles.groups_reaching(df, "g", "x", [("m", 0.5, 1.0)], 50).collect()
+    assert sorted(str(r["g"]) for r in got) == ["2.0", "None", "nan"]
+
+
 # ---- terms ---------------------------------------------------------------------------------------------------------------
 
 
