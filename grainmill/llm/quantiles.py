@@ -329,9 +329,9 @@ def groups_reaching(df: DataFrame, group: str, value: str, tests: list[tuple[str
 
     got = cut(merge_parts(parts, [group], f"`{group}` {g_type}, stat string, sure boolean", emit, k, _is_wide(df)))
     open_ = got.where("NOT sure")
-    counts = df.select(F.col(group).alias("g"), clean_num(value).alias("v")).where("v IS NOT NULL").join(open_.select(F.col(group).alias("g2")).distinct(), F.col("g").eqNullSafe(F.col("g2")), "left_semi")
-    exact = counts.groupBy("g").agg(F.count("v").alias("n"), *[F.sum(F.when(F.col("v") < x, 1).otherwise(0)).alias(f"b_{stat}") for stat, _, x in tests])
-    cases = F.array(*[F.struct(F.lit(stat).alias("s"), ((F.col("n") >= min_count) & (F.col(f"b_{stat}") < p * F.col("n") - 1e-9)).alias("ok")) for stat, p, _ in tests])
-    checked = exact.select("g", F.inline(cases)).where("ok")
-    passed = open_.join(checked, F.col(group).eqNullSafe(F.col("g")) & (F.col("stat") == F.col("s")), "left_semi")
+    counts = df.select(F.col(group).alias("__g"), clean_num(value).alias("__v")).where("__v IS NOT NULL").join(open_.select(F.col(group).alias("__o")).distinct(), F.col("__g").eqNullSafe(F.col("__o")), "left_semi")
+    exact = counts.groupBy("__g").agg(F.count("__v").alias("__n"), *[F.sum(F.when(F.col("__v") < x, 1).otherwise(0)).alias(f"__b_{stat}") for stat, _, x in tests])
+    cases = F.array(*[F.struct(F.lit(stat).alias("__s"), ((F.col("__n") >= min_count) & (F.col(f"__b_{stat}") < p * F.col("__n") - 1e-9)).alias("__ok")) for stat, p, _ in tests])
+    checked = exact.select("__g", F.inline(cases)).where("__ok")
+    passed = open_.join(checked, F.col(group).eqNullSafe(F.col("__g")) & (F.col("stat") == F.col("__s")), "left_semi")
     return got.where("sure").select(group, "stat").unionByName(passed.select(group, "stat"))

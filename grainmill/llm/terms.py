@@ -1,10 +1,10 @@
-"""Frequency of every distinct value or term: recursive radix partitioning by hash bits, leaves aggregated out of core by DuckDB.
+"""Frequency of every distinct value or term: radix partitions by hash bits, spilled to disk and split again, aggregated by DuckDB.
 
-Level by level, the rows are counted by the leading bits of their term's hash; a cell with more than `leaf_rows` rows is
-split by the next bits. Once the bits of the term's hash are used up - a single hot term - the bits of the record's hash
-follow, so a cell never stays oversized and each holds whole (term, record) pairs. The counting passes shuffle a few
-hundred counters. One shuffle then writes every row to the disk partition of its leaf, and DuckDB aggregates each leaf
-under a memory limit, spilling to the shared folder where that is a plain path. Leaves of one term add up exactly.
+The shuffle partitions by the leading bits of a term's hash; their number follows from the size of the table. A cell that
+still holds more than a task should - a hot term - is found by counting the cells, and is spread over several tasks by the
+record's hash, so that each holds whole (term, record) pairs and records are counted exactly. Within a task rows that exceed
+`leaf_bytes` are written to disk by the next bits of the term's hash, and then of the record's; a partition that is still
+too large is split further in the same way. DuckDB aggregates each leaf in bounded memory. Parts of one term add up.
 """
 
 from __future__ import annotations
@@ -14,18 +14,18 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.session import clean, shared_dir
 
-#: Bits per level, rows a leaf should hold at most, DuckDB's memory for one leaf.
-RADIX_BITS, LEAF_ROWS, LEAF_MEMORY = 6, 500_000, "200MB"
-#: Beyond so many leaves they grow with the table instead (DuckDB spills), so that their list stays small enough to broadcast.
-MAX_LEAVES = 4096
-#: Levels of 6 bits: five from the term's hash, five from the record's.
-TERM_LEVELS, RECORD_LEVELS = 5, 5
+#: Bits per split on disk, bytes a leaf holds at most (DuckDB needs some four times as much to aggregate it), DuckDB's memory, rows a task takes.
+RADIX_BITS, LEAF_BYTES, LEAF_MEMORY, TASK_ROWS = 6, 32 << 20, "200MB", 4_000_000
+#: Bits of the term's hash that the shuffle may use; the rest is for splits on disk.
+MOST_CELL_BITS = 24
 
 
 def term_rows(df: DataFrame, record: str, single: list[str] = (), multi: list[str] = (), delimiter: str = ",") -> DataFrame:
@@ -36,107 +36,131 @@ def term_rows(df: DataFrame, record: str, single: list[str] = (), multi: list[st
     return long.select("record", "feat_name", clean("item").alias("category")).where("category IS NOT NULL")
 
 
-def _digit(h: Column, level: int) -> Column:
-    return F.shiftrightunsigned(h, 64 - RADIX_BITS * (level + 1)).bitwiseAND(F.lit((1 << RADIX_BITS) - 1)).cast("int")
+def cell_bits(rows: int, task_rows: int = TASK_ROWS) -> int:
+    """Leading bits of the term's hash that give cells of about a quarter of what a task takes, so that tasks of several cells are even."""
+    return min(MOST_CELL_BITS, max(2, (4 * max(rows, 1) // task_rows).bit_length()))
 
 
-def radix_leaves(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[list[tuple[int, ...]], int]:
-    """Prefixes (digits) of the leaves, and the number of rows: every row belongs to exactly one leaf. One counting pass per level that has oversized cells."""
-    digits = [_digit(F.col("th"), i) for i in range(TERM_LEVELS)] + [_digit(F.col("rh"), i) for i in range(RECORD_LEVELS)]
-    leaves, todo, total = [], [()], 0
-    for level, digit in enumerate(digits):
-        if level == 0:
-            own = rows
+def _place(hashed: DataFrame, bits: int, task_rows: int) -> tuple[DataFrame, int]:
+    """`hashed` (th, rh, ...) with the number of the partition each row belongs to, and how many there are.
+
+    A cell with more than `task_rows` rows gets partitions of its own, as many as it needs, and its rows go to them by the
+    record's hash. There are at most rows / task_rows such cells, which bounds what is broadcast; the others share a fixed number.
+    """
+    cell = F.shiftrightunsigned("th", 64 - bits)
+    counts = hashed.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    large = [(r["c"], -(-r["n"] // task_rows)) for r in counts.where(F.col("n") > task_rows).orderBy("c").collect()]
+    shared = max(1, -(-int(total) // task_rows))
+    first, rows = shared, []
+    for c, n in large:
+        rows.append((c, first, n))
+        first += n
+    if not rows:
+        return hashed.withColumn("part", F.pmod(cell, F.lit(shared)).cast("int")), shared
+    table = hashed.sparkSession.createDataFrame(rows, "big bigint, first int, n int")
+    own = F.when(F.col("big").isNotNull(), F.col("first") + F.pmod(F.shiftrightunsigned("rh", 8), F.col("n")).cast("int")).otherwise(F.pmod(cell, F.lit(shared)).cast("int"))
+    return hashed.join(F.broadcast(table), cell == F.col("big"), "left").withColumn("part", own).drop("big", "first", "n"), first
+
+
+class Spill:
+    """Rows of one task split by hash bits into files of the shared folder, oversized ones again, down to leaves of at most `leaf_bytes`.
+
+    Levels take RADIX_BITS bits of the term's hash each, below the `used` ones, then those of the record's hash. Rows that agree
+    in all bits of both are copies of one (term, record) pair, which DuckDB folds as it reads them.
+    """
+
+    def __init__(self, folder: str, used: int, leaf_bytes: int = LEAF_BYTES) -> None:
+        self.fs, path = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        self.path, self.leaf_bytes = f"{path.rstrip('/')}/terms-{uuid.uuid4().hex}", leaf_bytes
+        self.shifts = [("th", s) for s in range(64 - used - RADIX_BITS, 0, -RADIX_BITS)] + [("rh", s) for s in range(64 - RADIX_BITS, 0, -RADIX_BITS)]
+        self.leaves = self.splits = 0
+
+    def split(self, batches: Iterator[pa.RecordBatch], level: int = 0) -> Iterator[list[pa.RecordBatch] | Iterator[pa.RecordBatch]]:
+        """The leaves, one after the other: lists of batches, or a stream for rows that can't be told apart any further."""
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size > self.leaf_bytes:
+                break
         else:
-            wanted = F.concat_ws("/", *digits[:level])
-            own = rows.where(wanted.isin(["/".join(map(str, p)) for p in todo]))
-        seen = {}
-        for r in own.groupBy(*[d.alias(f"d{i}") for i, d in enumerate(digits[: level + 1])]).count().collect():
-            seen[tuple(r[:-1])] = r["count"]
-        total = total or sum(seen.values())
-        leaf_rows = max(leaf_rows, total // MAX_LEAVES)
-        todo = [p for p, n in seen.items() if n > leaf_rows and level + 1 < len(digits)]
-        split = set(todo)
-        leaves += [p for p in seen if p not in split]
-        if not todo:
-            break
-    return sorted(leaves), total
-
-
-def _with_leaf(hashed: DataFrame, leaves: list[tuple[int, ...]]) -> DataFrame:
-    """(leaf, feat_name, category, record). Leaves of one digit are found in an array, deeper ones by broadcast joins, one a depth."""
-    digits = [_digit(F.col("th"), i) for i in range(TERM_LEVELS)] + [_digit(F.col("rh"), i) for i in range(RECORD_LEVELS)]
-    place = {p: i for i, p in enumerate(leaves)}
-    first = F.element_at(F.array(*[F.lit(place.get((x,))).cast("int") for x in range(1 << RADIX_BITS)]), digits[0] + 1)
-    out, found = hashed, [first]
-    for n in sorted({len(p) for p in leaves} - {1}):
-        rows = [("/".join(map(str, p)), i) for p, i in place.items() if len(p) == n]
-        table = hashed.sparkSession.createDataFrame(rows, f"p{n} string, leaf{n} int")  # at most MAX_LEAVES + 2 ** RADIX_BITS rows
-        out = out.join(F.broadcast(table), F.concat_ws("/", *digits[:n]) == F.col(f"p{n}"), "left")
-        found.append(F.col(f"leaf{n}"))
-    return out.select(F.coalesce(*found).alias("leaf"), "feat_name", "category", "record")
-
-
-def term_counts(df: DataFrame, record: str, single: list[str] = (), multi: list[str] = (), delimiter: str = ",", leaf_rows: int = LEAF_ROWS, memory: str = LEAF_MEMORY) -> DataFrame:
+            self.leaves += 1
+            yield held
+            return
+        if level >= len(self.shifts):
+            self.leaves += 1
+            yield (b for part in (held, batches) for b in part)
+            return
+        self.splits += 1
+        column, shift = self.shifts[level]
+        if not self.splits > 1:
+            self.fs.create_dir(self.path, recursive=True)
+        names = [f"{self.path}/{level}-{uuid.uuid4().hex}" for _ in range(1 << RADIX_BITS)]
+        sinks: dict[int, tuple] = {}
+        for b in (x for part in (held, batches) for x in part):
+            digit = (b.column(column).to_numpy().view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << RADIX_BITS) - 1)
+            for d in np.unique(digit).tolist():
+                if d not in sinks:
+                    out = self.fs.open_output_stream(names[d])
+                    sinks[d] = (out, pa.ipc.new_stream(out, b.schema))
+                sinks[d][1].write_batch(b.filter(pa.array(digit == d)))
+        held.clear()
+        for out, w in sinks.values():
+            w.close()
+            out.close()
+        for d in sorted(sinks):
+            with self.fs.open_input_stream(names[d]) as f:
+                yield from self.split(iter(pa.ipc.open_stream(f)), level + 1)
+            self.fs.delete_file(names[d])
+
+    def close(self) -> None:
+        if self.splits:
+            self.fs.delete_dir(self.path)
+
+
+def _aggregate(rows: list[pa.RecordBatch] | Iterator[pa.RecordBatch], schema: pa.Schema, memory: str, spill: str | None) -> pa.Table:
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"SET threads = 1; SET memory_limit = '{memory}'; SET preserve_insertion_order = false")
+    if spill:
+        con.execute(f"SET temp_directory = '{spill}'")
+    part = pa.RecordBatchReader.from_batches(schema, iter(rows))
+    con.register("part", part)
+    got = con.sql("SELECT feat_name, category, count(*) AS n_occurrences, count(DISTINCT record) AS n_records FROM part GROUP BY ALL").to_arrow_table()
+    con.close()
+    return got
+
+
+def term_counts(df: DataFrame, record: str, single: list[str] = (), multi: list[str] = (), delimiter: str = ",", task_rows: int = TASK_ROWS, leaf_bytes: int = LEAF_BYTES, memory: str = LEAF_MEMORY) -> DataFrame:
     """(feat_name, category, n_occurrences, n_records): every distinct value of `single` columns and element of `multi` columns.
 
     n_records counts distinct values of `record` (NULL counts as no record). Repeated rows count as occurrences, not as
     records. An empty table gives no rows.
     """
-    spark = df.sparkSession
     rows = term_rows(df, record, list(single), list(multi), delimiter)
     hashed = rows.select("feat_name", "category", "record", F.xxhash64("feat_name", "category").alias("th"), F.xxhash64("record").alias("rh"))
-    leaves, total = radix_leaves(hashed, leaf_rows)
-    parts = max(1, min(len(leaves), -(-total // leaf_rows)))
-    folder = shared_dir(spark)
-    spill = folder.removeprefix("file://") if folder.startswith(("file://", "/")) else None
-    placed = _with_leaf(hashed, leaves)
-    source = placed.repartition(parts, "leaf").sortWithinPartitions("leaf")
+    bits = cell_bits(df.count() * (len(single) + 4 * len(multi)), task_rows)
+    folder = shared_dir(df.sparkSession)
+    local = folder.removeprefix("file:") if folder.startswith(("file:", "/")) else None
+    placed, parts = _place(hashed, bits, task_rows)
 
     def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
-
-        def one(part: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
-            con = duckdb.connect()
-            con.execute(f"SET threads = 1; SET memory_limit = '{memory}'; SET preserve_insertion_order = false")
-            if spill:
-                con.execute(f"SET temp_directory = '{os.path.join(spill, 'terms-' + uuid.uuid4().hex)}'")
-            reader = pa.RecordBatchReader.from_batches(schema, part)
-            con.register("part", reader)
-            got = con.sql("SELECT feat_name, category, count(*) AS n_occurrences, count(DISTINCT record) AS n_records FROM part GROUP BY ALL").to_arrow_table()
-            con.close()
-            return got
-
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        pushed: list[pa.RecordBatch] = [first]
-        done = False
-
-        def of_leaf(leaf: int) -> Iterator[pa.RecordBatch]:
-            nonlocal done
-            while True:
-                b = pushed.pop() if pushed else next(batches, None)
-                if b is None:
-                    done = True
-                    return
-                col = b.column("leaf").to_numpy()
-                cut_at = int((col == leaf).sum())
-                if cut_at:
-                    yield b.slice(0, cut_at)
-                if cut_at < b.num_rows:
-                    pushed.append(b.slice(cut_at))
-                    return
-
-        while pushed or not done:
-            if not pushed:
-                b = next((b for b in batches if b.num_rows), None)
-                if b is None:
-                    return
-                pushed.append(b)
-            yield from one(of_leaf(pushed[-1].column("leaf")[0].as_py()), first.schema).to_batches()
-
-    per_leaf = source.mapInArrow(aggregate, "feat_name string, category string, n_occurrences bigint, n_records bigint")
+        spill = Spill(folder, bits, leaf_bytes)
+        try:
+            for leaf in spill.split(b for b in batches if b.num_rows):
+                first = leaf[0] if isinstance(leaf, list) and leaf else None
+                if isinstance(leaf, list) and first is None:
+                    continue
+                if first is None:
+                    first = next(leaf)
+                    leaf = (b for part in ([first], leaf) for b in part)  # noqa: PLW2901
+                yield from _aggregate(leaf, first.schema, memory, os.path.join(local, f"terms-{uuid.uuid4().hex}") if local else None).to_batches()
+        finally:
+            spill.close()
+
+    per_leaf = placed.repartition(parts, "part").drop("part").mapInArrow(aggregate, "feat_name string, category string, n_occurrences bigint, n_records bigint")
     return per_leaf.groupBy("feat_name", "category").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
 
 
