@@ -406,7 +406,7 @@ FEATURES_COL, LABEL_COL, SUFFIX = "features_processed", "label_processed", "_pro
 METHODS = ("normalize", "bucketize", "remain")
 
 
-def build_pipeline(schema: SemanticSchema, method_for_num: str = "normalize", one_hot_num: bool = False, one_hot_cat: bool = False, one_hot_multi: bool = True, merge: bool = True, num_buckets: int = 40, reserved_cat: int = 0, reserved_multi: int = 0, delimiter: str = ",") -> Pipeline:
+def build_pipeline(schema: SemanticSchema, method_for_num: str = "normalize", one_hot_num: bool = False, one_hot_cat: bool = False, one_hot_multi: bool = True, merge: bool = True, num_buckets: int = 40, relative_error: float = 5e-4, reserved_cat: int = 0, reserved_multi: int = 0, delimiter: str = ",") -> Pipeline:
     """Drop `Other` columns, process numbers, categories and lists of categories, merge them into one vector, index the label.
 
     The label is indexed by frequency, so the most frequent class becomes 0. Lists of indices have no fixed length, so merging
@@ -423,7 +423,7 @@ def build_pipeline(schema: SemanticSchema, method_for_num: str = "normalize", on
         if method_for_num == "normalize":
             stages.append(NumericStandardizer(inputCols=schema.num, outputCols=out(schema.num), dropInputCols=True))
         elif method_for_num == "bucketize":
-            stages.append(NumericBucketer(inputCols=schema.num, outputCols=out(schema.num), numBucketsArray=[num_buckets] * len(schema.num), indexOnly=not one_hot_num, outputSparse=False, dropInputCols=True))
+            stages.append(NumericBucketer(inputCols=schema.num, outputCols=out(schema.num), numBucketsArray=[num_buckets] * len(schema.num), relativeError=relative_error, indexOnly=not one_hot_num, outputSparse=False, dropInputCols=True))
         else:
             stages.append(ColumnRenamer(inputCols=schema.num, outputCols=out(schema.num)))
         merged += out(schema.num)

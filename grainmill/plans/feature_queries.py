@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from grainmill.features import transformers as X
 from grainmill.operators import filters, profile
 from grainmill.operators.badrows import NUMBER
+from grainmill.plans.common import BLANKS as SQL_BLANKS
 from grainmill.plans.common import DENSE, NUMS, dense, r
 from grainmill.schema import parse_schema
-from grainmill.session import BLANKS, shared_dir, table
+from grainmill.session import shared_dir, table
 from grainmill.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,7 +97,7 @@ def cat_onehot(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {DENSE}, c AS (SELECT city AS level, count(*) AS n FROM dense WHERE city IS NOT NULL AND load_id % 2 = 1 GROUP BY 1 HAVING count(*) > 0), k AS (SELECT level, row_number() OVER (ORDER BY n DESC, level) - 1 AS rn FROM c)
-SELECT sample_id, load_id, CAST(coalesce(rn, (SELECT count(*) FROM k)) AS INTEGER) AS city_index FROM dense LEFT JOIN k ON k.level = dense.city WHERE load_id % 2 = 0""")
+SELECT sample_id, load_id, CAST(coalesce(rn, (SELECT count(*) FROM k)) AS INTEGER) AS city_index FROM dense LEFT JOIN k ON k.level = dense.city""")
 def cat_unseen_null(spark: SparkSession, d: str) -> DataFrame:
     df = dense(spark, d).select("sample_id", "load_id", "city")
     m = X.CategoryEncoder(inputCols=["city"], outputCols=["city_index"], dropInputCols=True).fit(df.where("load_id % 2 = 1"))
@@ -194,15 +195,15 @@ def standardize(spark: SparkSession, d: str) -> DataFrame:
     return m.transform(df).select("sample_id", "load_id", *[r(f"z_{c}", 5).alias(f"z_{c}") for c in NUMS])
 
 
-@query("SELECT sample_id, load_id, age FROM dense_samples")
+@query(f"WITH {DENSE} SELECT sample_id, load_id, age FROM dense")
 def col_drop(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "dense_samples").select("sample_id", "load_id", "age", "bid", "income")
+    df = dense(spark, d).select("sample_id", "load_id", "age", "bid", "income")
     return X.ColumnEliminator(inputCols=["bid", "income", "absent"]).transform(df)
 
 
-@query("SELECT sample_id, load_id AS delivery, age AS years FROM dense_samples")
+@query(f"WITH {DENSE} SELECT sample_id, load_id AS delivery, age AS years FROM dense")
 def col_rename(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "dense_samples").select("sample_id", "load_id", "age")
+    df = dense(spark, d).select("sample_id", "load_id", "age")
     return X.ColumnRenamer(inputCols=["load_id", "age"], outputCols=["delivery", "years"]).transform(df)
 
 
@@ -218,12 +219,12 @@ def _pipeline(spark: SparkSession, d: str, **kw: object) -> DataFrame:
 
 
 def _pipeline_sql(nums: str, extra: str = "") -> str:
-    return f"""WITH {DENSE}, p AS (SELECT * FROM dense WHERE age IS NOT NULL AND bid IS NOT NULL),
+    return f"""WITH {DENSE}, p AS (SELECT * FROM dense),
 ko AS (SELECT os_name AS level, row_number() OVER (ORDER BY count(*) DESC, os_name) - 1 AS rn FROM p WHERE os_name IS NOT NULL GROUP BY 1),
 kl AS (SELECT label AS level, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS rn FROM p WHERE label IS NOT NULL GROUP BY 1){extra},
 e AS (SELECT {nums}, coalesce(ko.rn, (SELECT count(*) FROM ko)) AS x2, CAST(coalesce(kl.rn, (SELECT count(*) FROM kl)) AS INTEGER) AS y FROM p LEFT JOIN ko ON ko.level = p.os_name LEFT JOIN kl ON kl.level = p.label),
 l AS (SELECT y, 0 AS idx, x0 AS x FROM e UNION ALL SELECT y, 1, x1 FROM e UNION ALL SELECT y, 2, x2 FROM e)
-SELECT y, CAST(idx AS INTEGER) AS idx, count(*) AS n, round(sum(x), 4) + 0.0 AS total FROM l GROUP BY 1, 2"""
+SELECT y, CAST(idx AS INTEGER) AS idx, count(*) AS n, round(sum(x) FILTER (NOT isnan(CAST(x AS DOUBLE))), 4) + 0.0 AS total FROM l GROUP BY 1, 2"""
 
 
 @query(_pipeline_sql("(age - (SELECT avg(age) FROM p)) / (SELECT stddev_samp(age) FROM p) AS x0, (bid - (SELECT avg(bid) FROM p)) / (SELECT stddev_samp(bid) FROM p) AS x1"))
@@ -236,9 +237,16 @@ def pipeline_remain(spark: SparkSession, d: str) -> DataFrame:
     return _pipeline(spark, d, method_for_num="remain")
 
 
-@query()
+def _bucket_sql(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN len(q_{c}) + 1 ELSE len(list_filter(q_{c}, lambda x: x <= {c})) END"
+
+
+_EIGHTHS = "[" + ", ".join(str(i / 8) for i in range(1, 8)) + "]"
+
+
+@query(_pipeline_sql(f"{_bucket_sql('age')} AS x0, {_bucket_sql('bid')} AS x1", f", q AS (SELECT list_sort(list_distinct(quantile_disc(age, {_EIGHTHS}))) AS q_age, list_sort(list_distinct(quantile_disc(bid, {_EIGHTHS}))) AS q_bid FROM p)").replace("FROM p LEFT JOIN ko", "FROM p CROSS JOIN q LEFT JOIN ko"))
 def pipeline_bucketize(spark: SparkSession, d: str) -> DataFrame:
-    return _pipeline(spark, d, method_for_num="bucketize", num_buckets=8)
+    return _pipeline(spark, d, method_for_num="bucketize", num_buckets=8, relative_error=0.0)
 
 
 # ---- sources and sinks ---------------------------------------------------------------------------------------------------
@@ -272,7 +280,9 @@ def libsvm_builtin_reader(spark: SparkSession, d: str) -> DataFrame:
     return cells.groupBy(F.col("labelLibSVM").alias("label"), F.col("idx").cast("int").alias("idx")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("x"), 5).alias("total"))
 
 
-_SVM_OK = "t AS (SELECT line_no, list_filter(string_split(trim(line), ' '), lambda x: x <> '') AS t FROM raw_samples WHERE feed = 'libsvm' AND trim(line) <> ''), f AS (SELECT line_no, try_cast(t[1] AS DOUBLE) AS label, string_split(unnest(t[2:]), ':') AS p FROM t)"
+_NUM = NUMBER.replace("?:", "")
+_TOKENS_OF = f"list_filter(string_split_regex(trim(line, {SQL_BLANKS}), '[ \\t]+'), lambda x: x <> '')"
+_SVM_OK = f"t AS (SELECT line_no, {_TOKENS_OF} AS t FROM raw_samples WHERE feed = 'libsvm'), f AS (SELECT line_no, CASE WHEN regexp_full_match(t[1], '{_NUM}') THEN try_cast(t[1] AS DOUBLE) END AS label, string_split(unnest(t[2:]), ':') AS p FROM t)"
 
 
 def _svm(spark: SparkSession, d: str, **kw: object) -> DataFrame:
@@ -289,71 +299,56 @@ def _finite(df: DataFrame) -> DataFrame:
 
 
 def _svm_sql(label: str, base: int) -> str:
-    return f"WITH {_SVM_OK} SELECT line_no, {label} AS label, count(*) AS n, CAST(sum(try_cast(p[1] AS BIGINT) - {base}) AS BIGINT) AS idx_sum, round(sum(try_cast(p[2] AS DOUBLE)), 5) + 0.0 AS total FROM f WHERE regexp_full_match(p[1], '-?[0-9]+') AND try_cast(p[1] AS BIGINT) IS NOT NULL AND regexp_full_match(p[2], '[-+]?[0-9]*[.]?[0-9]*([eE][-+]?[0-9]+)?') AND abs(try_cast(p[2] AS DOUBLE)) < 1e300 AND abs(label) < 1e300 GROUP BY 1, 2"
+    return f"WITH {_SVM_OK} SELECT line_no, {label} AS label, count(*) AS n, CAST(sum(try_cast(p[1] AS BIGINT) - {base}) AS BIGINT) AS idx_sum, round(sum(try_cast(p[2] AS DOUBLE)), 5) + 0.0 AS total FROM f WHERE regexp_full_match(p[1], '[-+]?[0-9]+') AND try_cast(p[1] AS BIGINT) IS NOT NULL AND regexp_full_match(p[2], '{_NUM}') AND abs(try_cast(p[2] AS DOUBLE)) < 1e300 AND abs(label) < 1e300 GROUP BY 1, 2"
 
 
-def _plain_numbers(spark: SparkSession, d: str, **kw: object) -> DataFrame:
-    """Pairs in plain notation: the engines read exotic spellings of numbers differently, and p1 treats those."""
-    lines = table(spark, d, "raw_samples").where("feed = 'libsvm'").select("line_no", F.filter(F.split(F.trim("line"), " "), lambda x: x != "").alias("t"))
-    good = F.filter(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda x: x.rlike(r"^-?[0-9]+:[-+]?[0-9]*[.]?[0-9]*([eE][-+]?[0-9]+)?(:.*)?$"))
-    value = F.concat_ws(" ", F.get("t", 0), F.array_join(good, " "))
-    return files.parse_libsvm(lines.where("size(t) > 0").select("line_no", value.alias("value")), **kw)
+def _svm_sums(spark: SparkSession, d: str, **kw: object) -> DataFrame:
+    return _finite(_svm(spark, d, **kw))
 
 
 @query(_svm_sql("label", 0))
 def libsvm_zero_based(spark: SparkSession, d: str) -> DataFrame:
-    out = _plain_numbers(spark, d)
-    return _finite(out.select("line_no", "label", F.explode(F.arrays_zip("indices", "values")).alias("z")).select("line_no", "label", F.col("z.indices").alias("idx"), F.col("z.values").alias("value")))
+    return _svm_sums(spark, d)
 
 
 @query(_svm_sql("label", 1))
 def libsvm_onebased(spark: SparkSession, d: str) -> DataFrame:
-    out = _plain_numbers(spark, d, one_based=True, need_sort=True)
-    return _finite(out.select("line_no", "label", F.explode(F.arrays_zip("indices", "values")).alias("z")).select("line_no", "label", F.col("z.indices").alias("idx"), F.col("z.values").alias("value")))
+    return _svm_sums(spark, d, one_based=True, need_sort=True)
 
 
 @query(_svm_sql("(label + 1) / 2", 0))
 def libsvm_rescale(spark: SparkSession, d: str) -> DataFrame:
-    out = _plain_numbers(spark, d, rescale_binary_label=True)
-    return _finite(out.select("line_no", "label", F.explode(F.arrays_zip("indices", "values")).alias("z")).select("line_no", "label", F.col("z.indices").alias("idx"), F.col("z.values").alias("value")))
+    return _svm_sums(spark, d, rescale_binary_label=True)
 
 
 def _id_sql(feed: str, parts: int) -> str:
-    heads = {2: "CAST(p[1] AS BIGINT) AS id, CAST(p[2] AS DOUBLE) AS v", 3: "CAST(p[1] AS INTEGER) AS field, CAST(p[2] AS BIGINT) AS id, CAST(p[3] AS DOUBLE) AS v"}[parts]
-    pattern = {2: "[0-9]{1,18}:[-]?[0-9]+([.][0-9]+)?", 3: "[0-9]{1,6}:[0-9]{1,18}:[-]?[0-9]+([.][0-9]+)?"}[parts]
-    cols = "field, id" if parts == 3 else "id"
-    return f"""WITH l AS (SELECT line_no, list_filter(string_split(trim(line), ' '), lambda x: x <> '') AS t FROM raw_samples WHERE feed = '{feed}'),
-g AS (SELECT line_no, CASE WHEN try_cast(t[1] AS DOUBLE) > 0 THEN 1.0 ELSE 0.0 END AS label, unnest(t[2:]) AS x FROM l WHERE regexp_full_match(t[1], '[-+]?[0-9]+([.][0-9]+)?')),
-f AS (SELECT line_no, label, string_split(x, ':') AS p FROM g WHERE regexp_full_match(x, '{pattern}'))
-SELECT line_no, label, {cols}, round(CAST(v AS FLOAT), 3) + 0.0 AS val FROM (SELECT line_no, label, {heads} FROM f)"""
+    whole = lambda i, t: f"CASE WHEN regexp_full_match(p[{i}], '[-+]?[0-9]+') THEN try_cast(p[{i}] AS {t}) END"
+    heads = f"{whole(1, 'BIGINT')} AS id" if parts == 2 else f"{whole(1, 'INTEGER')} AS field, {whole(2, 'BIGINT')} AS id"
+    return f"""WITH l AS (SELECT line_no, {_TOKENS_OF} AS t FROM raw_samples WHERE feed = '{feed}'),
+f AS (SELECT line_no, CASE WHEN try_cast(t[1] AS DOUBLE) > 0 THEN 1.0 ELSE 0.0 END AS label, string_split(unnest(t[2:]), ':') AS p FROM l WHERE regexp_full_match(t[1], '{_NUM}') AND isfinite(try_cast(t[1] AS DOUBLE))),
+g AS (SELECT line_no, label, {heads}, CASE WHEN regexp_full_match(p[{parts}], '{_NUM}') AND isfinite(try_cast(p[{parts}] AS FLOAT)) THEN round(try_cast(p[{parts}] AS FLOAT), 3) + 0.0 END AS val FROM f WHERE len(p) = {parts})
+SELECT * FROM g WHERE id >= 0{' AND field >= 0' if parts == 3 else ''} AND val IS NOT NULL"""
 
 
-def _id_lines(spark: SparkSession, d: str, feed: str, parts: int) -> DataFrame:
-    """Lines whose label is a number, with every feature that is usable by p1's rules: `parts` parts, of which the last is a finite number and the others unsigned integers below 2^63."""
-    t = F.split(F.trim(F.col("line"), F.lit(BLANKS)), "[ \t]+")
-    lines = table(spark, d, "raw_samples").where(F.col("feed") == feed).select("line_no", t.alias("t")).where(F.get("t", 0).rlike(rf"\A{NUMBER}\z"))
+def _lines_of(spark: SparkSession, d: str, feed: str) -> DataFrame:
+    return table(spark, d, "raw_samples").where(F.col("feed") == feed).select("line_no", F.col("line").alias("value"))
 
-    def usable(x: Column) -> Column:
-        p = F.split(x, ":")
-        ok = x.rlike(rf"\A(?:[0-9]+:){{{parts - 1}}}{NUMBER}\z") & (F.abs(F.get(p, parts - 1).try_cast("double")) < float("inf"))
-        for i in range(parts - 1):
-            ok = ok & F.get(p, i).try_cast("bigint").isNotNull()
-        return ok
 
-    good = F.filter(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), usable)
-    return lines.select("line_no", F.concat_ws(" ", F.get("t", 0), F.array_join(good, " ")).alias("value"))
+def _readable(rows: DataFrame) -> DataFrame:
+    """Features whose parts were all read, of lines whose label was."""
+    return rows.where("label IS NOT NULL AND feat >= 0 AND val IS NOT NULL")
 
 
 @query(_id_sql("libsvm", 2))
 def libsvm_ids_parse(spark: SparkSession, d: str) -> DataFrame:
-    out = files.parse_id_lines(_id_lines(spark, d, "libsvm", 2))
-    return files.explode_samples(out, "line_no").select("line_no", "label", F.col("feat").alias("id"), r(F.col("val").cast("float"), 3).alias("val"))
+    rows = _readable(files.explode_samples(files.parse_id_lines(_lines_of(spark, d, "libsvm")), "line_no"))
+    return rows.select("line_no", "label", F.col("feat").alias("id"), r(F.col("val").cast("float"), 3).alias("val"))
 
 
 @query(_id_sql("libffm", 3))
 def libffm_parse(spark: SparkSession, d: str) -> DataFrame:
-    out = files.parse_field_lines(_id_lines(spark, d, "libffm", 3))
-    return files.explode_samples(out, "line_no").select("line_no", "label", "field", F.col("feat").alias("id"), r(F.col("val").cast("float"), 3).alias("val"))
+    rows = _readable(files.explode_samples(files.parse_field_lines(_lines_of(spark, d, "libffm")), "line_no")).where("field >= 0")
+    return rows.select("line_no", "label", "field", F.col("feat").alias("id"), r(F.col("val").cast("float"), 3).alias("val"))
 
 
 @query("""WITH x AS (SELECT line_no, unnest(string_split(line, ',')) AS e, generate_subscripts(string_split(line, ','), 1) AS i FROM raw_samples WHERE feed = 'sparse')

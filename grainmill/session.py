@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill.schema import EngineError
+
 #: Characters that count as blanks around a line, a field or a value.
 BLANKS = " \t\r\n\f\v"
 
@@ -34,11 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (`spark.checkpoint.dir`); only where it is unset, as in tests, one of our own."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: `spark.checkpoint.dir`, or a checkpoint folder the session was given.
+
+    Only a local session, whose executors all are on this machine, gets a folder of its own where none is set; on a cluster
+    that is an error, because a machine-local folder would differ from executor to executor.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
-        current = spark.sparkContext.getCheckpointDir()
-        given = current or os.path.join(tempfile.gettempdir(), f"grainmill-{uuid.uuid4().hex[:8]}")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise EngineError("set spark.checkpoint.dir to a folder that all executors share")
+        given = os.path.join(tempfile.gettempdir(), f"grainmill-{uuid.uuid4().hex[:8]}")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(given)
     return given

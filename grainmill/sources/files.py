@@ -10,6 +10,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainmill.session import BLANKS
+
+
+#: A decimal number, with optional sign, fraction and exponent, and a whole one, in ASCII digits. Nothing else is read as a number.
+_DECIMAL, _WHOLE = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z", r"\A[+-]?[0-9]+\z"
+
+
+def _decimal(c: Column, kind: str = "double") -> Column:
+    """A finite decimal number, else NULL."""
+    return F.when(c.rlike(_DECIMAL) & (F.abs(c.try_cast(kind)) < float("inf")), c.try_cast(kind))
+
+
+def _whole(c: Column, kind: str = "bigint") -> Column:
+    return F.when(c.rlike(_WHOLE), c.try_cast(kind))
+
+
+def _tokens(line: Column, sep: str) -> Column:
+    """The parts of a line, blanks around it removed; the blank as a separator takes tabs too."""
+    return F.filter(F.split(F.trim(line, F.lit(BLANKS)), "[ \t]+" if sep == " " else re.escape(sep)), lambda x: x != "")
+
 
 def _spread(df: DataFrame, partitions: int) -> DataFrame:
     return df.repartition(partitions) if partitions > 1 else df
@@ -69,7 +89,7 @@ def parse_libsvm(lines: DataFrame, line: str = "value", one_based: bool = False,
     rescale_binary_label maps -1 and 1 to 0 and 1. need_sort orders by index. check raises for a line without pairs or a pair
     without two parts; without it an unreadable number is NULL. Blank and NULL lines are dropped (with check they raise).
     """
-    parts = F.filter(F.split(F.trim(F.col(line)), re.escape(ext_delimiter)), lambda x: x != "")
+    parts = _tokens(F.col(line), ext_delimiter)
     rows = lines.withColumn("__t", parts)
     rest = F.slice(F.col("__t"), 2, F.greatest(F.size("__t") - 1, F.lit(0)))
     pairs = F.transform(rest, lambda x: F.split(x, re.escape(int_delimiter)))
@@ -78,8 +98,8 @@ def parse_libsvm(lines: DataFrame, line: str = "value", one_based: bool = False,
         rows = rows.withColumn("__t", F.when(bad, F.raise_error(F.concat(F.lit("not a LibSVM line: "), F.coalesce(F.col(line), F.lit("NULL")))).cast("array<string>")).otherwise(F.col("__t")))
     else:
         rows = rows.where(F.size("__t") > 0)
-    y = F.get("__t", 0).try_cast("double")
-    cells = F.transform(pairs, lambda p: F.struct((F.get(p, 0).try_cast("bigint") - (1 if one_based else 0)).alias("i"), F.get(p, 1).try_cast("double").alias("x")))
+    y = _decimal(F.get("__t", 0))
+    cells = F.transform(pairs, lambda p: F.struct((_whole(F.get(p, 0)) - (1 if one_based else 0)).alias("i"), _decimal(F.get(p, 1)).alias("x")))
     cells = F.array_sort(cells) if need_sort else cells
     keep = [c for c in lines.columns if c != line]
     out = rows.select(*keep, ((y + 1) / 2 if rescale_binary_label else y).alias("label"), cells.alias("c"))
@@ -104,25 +124,28 @@ def read_table(spark: SparkSession, name: str, partitions: int = -1) -> DataFram
     return _spread(spark.read.table(name), partitions)
 
 
-def _feature_parts(line: Column, sep: str) -> tuple[Column, Column]:
-    t = F.filter(F.split(F.trim(line), re.escape(sep)), lambda x: x != "")
-    label = F.when(F.get(t, 0).try_cast("double") > 0, 1.0).otherwise(0.0)
-    return label, F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x: F.split(x, ":"))
+def _feature_parts(line: Column, sep: str, width: int) -> tuple[Column, Column]:
+    """Label (NULL if it is no number) and the parts of each feature; one of another number of parts has none that can be read."""
+    t = _tokens(line, sep)
+    y = _decimal(F.get(t, 0))
+    parts = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x: F.split(x, ":"))
+    return F.when(y.isNotNull(), F.when(y > 0, 1.0).otherwise(0.0)), F.transform(parts, lambda p: F.when(F.size(p) == width, p))
 
 
 def parse_id_lines(lines: DataFrame, line: str = "value", sep: str = " ") -> DataFrame:
-    """`label id:val ...` as label (1 if > 0, else 0), ids array<bigint>, vals array<float>; other columns are kept."""
-    label, pairs = _feature_parts(F.col(line), sep)
+    """`label id:val ...` as label (1 if > 0, else 0), ids array<bigint>, vals array<float>; other columns are kept. What can't be read is NULL."""
+    label, pairs = _feature_parts(F.col(line), sep, 2)
     keep = [c for c in lines.columns if c != line]
-    return lines.select(*keep, label.alias("label"), F.transform(pairs, lambda p: F.get(p, 0).try_cast("bigint")).alias("ids"), F.transform(pairs, lambda p: F.get(p, 1).try_cast("float")).alias("vals"))
+    return lines.select(*keep, label.alias("label"), F.transform(pairs, lambda p: _whole(F.get(p, 0))).alias("ids"), F.transform(pairs, lambda p: _decimal(F.get(p, 1), "float")).alias("vals"))
 
 
 def parse_field_lines(lines: DataFrame, line: str = "value", sep: str = " ") -> DataFrame:
-    """`label field:id:val ...` as label, fields array<int>, ids array<bigint>, vals array<float>; other columns are kept."""
-    label, triples = _feature_parts(F.col(line), sep)
+    """`label field:id:val ...` as label, fields array<int>, ids array<bigint>, vals array<float>; other columns are kept. What can't be read is NULL."""
+    label, triples = _feature_parts(F.col(line), sep, 3)
     keep = [c for c in lines.columns if c != line]
-    part = lambda i, t: F.transform(triples, lambda p: F.get(p, i).try_cast(t))
-    return lines.select(*keep, label.alias("label"), part(0, "int").alias("fields"), part(1, "bigint").alias("ids"), part(2, "float").alias("vals"))
+    part = lambda i, t: F.transform(triples, lambda p: _whole(F.get(p, i), t))
+    vals = F.transform(triples, lambda p: _decimal(F.get(p, 2), "float"))
+    return lines.select(*keep, label.alias("label"), part(0, "int").alias("fields"), part(1, "bigint").alias("ids"), vals.alias("vals"))
 
 
 def parse_sparse_lines(lines: DataFrame, line: str = "value", ext_delimiter: str = ",", int_delimiter: str = ":") -> DataFrame:

@@ -32,6 +32,12 @@ def _norm(x: object) -> object:
     return x
 
 
+def mixes_nan_and_null(columns: list[str], rows: list) -> list[str]:
+    """Columns with both NaN and NULL. A comparison through data frames can't tell the two apart, so a query must give only one of them."""
+    nan = {c for r in rows for c, x in zip(columns, r, strict=True) if isinstance(x, float) and math.isnan(x)}
+    return sorted(nan & {c for r in rows for c, x in zip(columns, r, strict=True) if x is None})
+
+
 def rows_of(columns: list[str], rows: list) -> list:
     at = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted((tuple(_norm(r[i]) for i in at) for r in rows), key=repr)
@@ -46,6 +52,8 @@ def compare(spark, con, name: str, query, sql: str | None, sf_dir: str) -> str:
     want_cols, want = [c[0] for c in cur.description], cur.fetchall()
     if sorted(df.columns) != sorted(want_cols):
         return f"FAIL columns {sorted(df.columns)} {sorted(want_cols)}"
+    if mixed := mixes_nan_and_null(df.columns, got) + mixes_nan_and_null(want_cols, want):
+        return f"FAIL NaN and NULL in {mixed}"
     a, b = rows_of(df.columns, got), rows_of(want_cols, want)
     if a != b:
         return f"FAIL {len(a)} rows against {len(b)}; only here {[x for x in a if x not in b][:3]}; only SQL {[x for x in b if x not in a][:3]}"
