@@ -21,6 +21,8 @@ from grainmill.session import clean_num, cut
 
 #: Sketch size (even), sections a compactor begins with, standard deviation of the rank error of a sketch with k = 1.
 K, SECTIONS, RANK_ERROR = 32, 3, 0.1307
+#: Groups that may be broadcast to be counted exactly; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 #: Standard deviations beyond which an estimate is taken as certain; anything nearer is checked exactly.
 CERTAIN = 8.0
 
@@ -329,7 +331,12 @@ def groups_reaching(df: DataFrame, group: str, value: str, tests: list[tuple[str
 
     got = cut(merge_parts(parts, [group], f"`{group}` {g_type}, stat string, sure boolean", emit, k, _is_wide(df)))
     open_ = got.where("NOT sure")
-    counts = df.select(F.col(group).alias("__g"), clean_num(value).alias("__v")).where("__v IS NOT NULL").join(open_.select(F.col(group).alias("__o")).distinct(), F.col("__g").eqNullSafe(F.col("__o")), "left_semi")
+    n_open = open_.count()
+    if not n_open:
+        return got.select(group, "stat")
+    near = open_.select(F.col(group).alias("__o")).distinct()
+    near = F.broadcast(near) if n_open <= MOST_BROADCAST else near
+    counts = df.select(F.col(group).alias("__g"), clean_num(value).alias("__v")).where("__v IS NOT NULL").join(near, F.col("__g").eqNullSafe(F.col("__o")), "left_semi")
     exact = counts.groupBy("__g").agg(F.count("__v").alias("__n"), *[F.sum(F.when(F.col("__v") < x, 1).otherwise(0)).alias(f"__b_{stat}") for stat, _, x in tests])
     cases = F.array(*[F.struct(F.lit(stat).alias("__s"), ((F.col("__n") >= min_count) & (F.col(f"__b_{stat}") < p * F.col("__n") - 1e-9)).alias("__ok")) for stat, p, _ in tests])
     checked = exact.select("__g", F.inline(cases)).where("__ok")
