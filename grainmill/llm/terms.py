@@ -3,7 +3,7 @@
 The shuffle partitions by the leading bits of a term's hash; their number follows from the size of the table. A cell that
 still holds more than a task should - a hot term - is found by counting the cells, and is spread over several tasks by the
 record's hash, so that each holds whole (term, record) pairs and records are counted exactly. Within a task rows that exceed
-`leaf_bytes` are written to disk by the next bits of the term's hash, and then of the record's; a partition that is still
+`leaf_bytes` are written to disk by bits of another hash of the term, and then of the record; a partition that is still
 too large is split further in the same way. DuckDB aggregates each leaf in bounded memory. Parts of one term add up.
 """
 
@@ -15,7 +15,9 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from grainmill.session import clean, shared_dir
 
 #: Bits per split on disk, bytes a leaf holds at most (DuckDB needs some four times as much to aggregate it), DuckDB's memory, rows a task takes.
-RADIX_BITS, LEAF_BYTES, LEAF_MEMORY, TASK_ROWS = 6, 32 << 20, "200MB", 4_000_000
+RADIX_BITS, LEAF_BYTES, LEAF_MEMORY, TASK_ROWS = 6, 32 << 20, "200MB", 500_000
 #: Bits of the term's hash that the shuffle may use; the rest is for splits on disk.
 MOST_CELL_BITS = 24
 
@@ -49,8 +51,8 @@ def _place(hashed: DataFrame, bits: int, task_rows: int) -> tuple[DataFrame, int
     """
     cell = F.shiftrightunsigned("th", 64 - bits)
     counts = hashed.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).head()[0] or 0
-    large = [(r["c"], -(-r["n"] // task_rows)) for r in counts.where(F.col("n") > task_rows).orderBy("c").collect()]
+    total, over = counts.agg(F.sum("n"), F.collect_list(F.when(F.col("n") > task_rows, F.struct("c", "n")))).head()
+    total, large = total or 0, sorted((r["c"], -(-r["n"] // task_rows)) for r in over)
     shared = max(1, -(-int(total) // task_rows))
     first, rows = shared, []
     for c, n in large:
@@ -60,20 +62,32 @@ def _place(hashed: DataFrame, bits: int, task_rows: int) -> tuple[DataFrame, int
         return hashed.withColumn("part", F.pmod(cell, F.lit(shared)).cast("int")), shared
     table = hashed.sparkSession.createDataFrame(rows, "big bigint, first int, n int")
     own = F.when(F.col("big").isNotNull(), F.col("first") + F.pmod(F.shiftrightunsigned("rh", 8), F.col("n")).cast("int")).otherwise(F.pmod(cell, F.lit(shared)).cast("int"))
-    return hashed.join(F.broadcast(table), cell == F.col("big"), "left").withColumn("part", own).drop("big", "first", "n"), first
+    return hashed.join(F.broadcast(table), cell == F.col("big"), "left").withColumn("part", own).drop("big", "first", "n"), first  # at most rows / task_rows rows
+
+
+def _hashes(b: pa.RecordBatch, columns: tuple[str, ...]) -> np.ndarray:
+    """A 64-bit hash of the values of `columns` in each row, the same in every process; equal values are hashed once."""
+    out = np.zeros(b.num_rows, np.uint64)
+    for c in columns:
+        d = b.column(c).dictionary_encode()
+        known = pd.util.hash_array(np.array([repr(x) for x in d.dictionary.to_pylist()] + [""], object), categorize=False)
+        with np.errstate(over="ignore"):
+            out = (out ^ known[pc.fill_null(d.indices, len(known) - 1).to_numpy()]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
 
 
 class Spill:
     """Rows of one task split by hash bits into files of the shared folder, oversized ones again, down to leaves of at most `leaf_bytes`.
 
-    Levels take RADIX_BITS bits of the term's hash each, below the `used` ones, then those of the record's hash. Rows that agree
-    in all bits of both are copies of one (term, record) pair, which DuckDB folds as it reads them.
+    Levels take RADIX_BITS bits of the term's hash each, then those of the record's. Rows that agree in all bits of both are
+    copies of one (term, record) pair, which DuckDB folds as it reads them.
     """
 
-    def __init__(self, folder: str, used: int, leaf_bytes: int = LEAF_BYTES) -> None:
+    def __init__(self, folder: str, leaf_bytes: int = LEAF_BYTES) -> None:
         self.fs, path = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
         self.path, self.leaf_bytes = f"{path.rstrip('/')}/terms-{uuid.uuid4().hex}", leaf_bytes
-        self.shifts = [("th", s) for s in range(64 - used - RADIX_BITS, 0, -RADIX_BITS)] + [("rh", s) for s in range(64 - RADIX_BITS, 0, -RADIX_BITS)]
+        self.shifts = [(columns, s) for columns in (("feat_name", "category"), ("record",)) for s in range(64 - RADIX_BITS, 0, -RADIX_BITS)]
         self.leaves = self.splits = 0
 
     def split(self, batches: Iterator[pa.RecordBatch], level: int = 0) -> Iterator[list[pa.RecordBatch] | Iterator[pa.RecordBatch]]:
@@ -93,26 +107,41 @@ class Spill:
             yield (b for part in (held, batches) for b in part)
             return
         self.splits += 1
-        column, shift = self.shifts[level]
+        columns, shift = self.shifts[level]
         if not self.splits > 1:
             self.fs.create_dir(self.path, recursive=True)
         names = [f"{self.path}/{level}-{uuid.uuid4().hex}" for _ in range(1 << RADIX_BITS)]
         sinks: dict[int, tuple] = {}
+        sizes = [0] * (1 << RADIX_BITS)
         for b in (x for part in (held, batches) for x in part):
-            digit = (b.column(column).to_numpy().view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << RADIX_BITS) - 1)
+            digit = (_hashes(b, columns) >> np.uint64(shift)).astype(np.int64) & ((1 << RADIX_BITS) - 1)
             for d in np.unique(digit).tolist():
                 if d not in sinks:
                     out = self.fs.open_output_stream(names[d])
-                    sinks[d] = (out, pa.ipc.new_stream(out, b.schema))
-                sinks[d][1].write_batch(b.filter(pa.array(digit == d)))
+                    sinks[d] = (out, pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")))
+                own = b.filter(pa.array(digit == d))
+                sizes[d] += own.nbytes
+                sinks[d][1].write_batch(own)
         held.clear()
         for out, w in sinks.values():
             w.close()
             out.close()
+        together, size = [], 0  # small partitions make a leaf together
         for d in sorted(sinks):
             with self.fs.open_input_stream(names[d]) as f:
-                yield from self.split(iter(pa.ipc.open_stream(f)), level + 1)
+                if sizes[d] > self.leaf_bytes:
+                    yield from self.split(iter(pa.ipc.open_stream(f)), level + 1)
+                else:
+                    if size + sizes[d] > self.leaf_bytes:
+                        self.leaves += 1
+                        yield together
+                        together, size = [], 0
+                    together += list(pa.ipc.open_stream(f))
+                    size += sizes[d]
             self.fs.delete_file(names[d])
+        if together:
+            self.leaves += 1
+            yield together
 
     def close(self) -> None:
         if self.splits:
@@ -147,7 +176,7 @@ def term_counts(df: DataFrame, record: str, single: list[str] = (), multi: list[
     placed, parts = _place(hashed, bits, task_rows)
 
     def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spill = Spill(folder, bits, leaf_bytes)
+        spill = Spill(folder, leaf_bytes)
         try:
             for leaf in spill.split(b for b in batches if b.num_rows):
                 first = leaf[0] if isinstance(leaf, list) and leaf else None
@@ -160,7 +189,7 @@ def term_counts(df: DataFrame, record: str, single: list[str] = (), multi: list[
         finally:
             spill.close()
 
-    per_leaf = placed.repartition(parts, "part").drop("part").mapInArrow(aggregate, "feat_name string, category string, n_occurrences bigint, n_records bigint")
+    per_leaf = placed.repartitionById(parts, "part").select("feat_name", "category", "record").mapInArrow(aggregate, "feat_name string, category string, n_occurrences bigint, n_records bigint")
     return per_leaf.groupBy("feat_name", "category").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
 
 

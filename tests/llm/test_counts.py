@@ -225,22 +225,23 @@ def test_a_hot_term_is_spread_over_tasks(spark):
 
 def test_leaves_on_disk_are_bounded_and_removed(tmp_path):
     rng = np.random.default_rng(1)
-    th, rh = (rng.integers(-(2**63), 2**63 - 1, 20_000) for _ in range(2))
-    th[:8000] = th[0]  # a hot term
-    batch = pa.RecordBatch.from_arrays([pa.array(th), pa.array(rh)], names=["th", "rh"])
-    spill = terms.Spill(str(tmp_path), 4, leaf_bytes=20_000)
+    term, record = rng.integers(0, 2**40, 20_000), rng.integers(0, 2**40, 20_000)
+    term[:8000] = term[0]  # a hot term
+    names = ["feat_name", "category", "record"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 20_000), pa.array([f"{x:011x}" for x in term]), pa.array(record)], names=names)
+    spill = terms.Spill(str(tmp_path), leaf_bytes=30_000)
     seen, sizes = [], []
     for leaf in spill.split(batch.slice(i, 500) for i in range(0, 20_000, 500)):
         assert isinstance(leaf, list)
-        sizes.append(sum(b.num_rows for b in leaf) * 16)
+        sizes.append(sum(b.nbytes for b in leaf))
         seen += [x for b in leaf for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    assert sorted(seen) == sorted(zip(th.tolist(), rh.tolist(), strict=True)) and max(sizes) <= 20_000
+    assert sorted(seen) == sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True)) and max(sizes) <= 30_000
     assert spill.splits > 1
     spill.close()
     assert not any(tmp_path.iterdir())
     # copies of one pair can't be told apart: they come as a stream
-    same = pa.RecordBatch.from_arrays([pa.array([5] * 4000), pa.array([7] * 4000)], names=["th", "rh"])
-    leaves = [leaf if isinstance(leaf, list) else list(leaf) for leaf in terms.Spill(str(tmp_path), 4, 1000).split(iter([same.slice(i, 100) for i in range(0, 4000, 100)]))]
+    same = pa.RecordBatch.from_arrays([pa.array(["a"] * 4000), pa.array([None] * 4000, pa.string()), pa.array([7] * 4000)], names=names)
+    leaves = [leaf if isinstance(leaf, list) else list(leaf) for leaf in terms.Spill(str(tmp_path), 1000).split(iter([same.slice(i, 100) for i in range(0, 4000, 100)]))]
     assert sum(b.num_rows for leaf in leaves for b in leaf) == 4000
 
 
