@@ -8,15 +8,19 @@ splits its partition. No state is kept between steps but the snapshot of the par
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions.losses import log1p_exp, sigmoid
 from grainmill.params.store import ParamStore, StoreConfig, pull
-from grainmill.params.updaters import DelayCompensated, Ftrl, Momentum, Sgd, Updater
+from grainmill.params.updaters import AdaGrad, DelayCompensated, Ftrl, Momentum, Sgd, Updater
 from grainmill.session import cut
 
 #: Margins beyond this are cut when the loss is computed.
@@ -64,12 +68,43 @@ class TrainingInfo:
     negatives: int = 0
 
 
-def _batches(samples: DataFrame, sample: str, batch_size: int | None, batches: int | None) -> tuple[DataFrame, int]:
-    """Samples with a batch number from the key's hash: no order is needed and a retry gives the same batches."""
+def _batches(samples: DataFrame, sample: str, batch_size: int | None, batches: int | None, folder: str) -> list[DataFrame]:
+    """The samples of each mini-batch, by the hash of the sample's key: no order is needed and a retry gives the same batches.
+
+    More than one batch is written once, a folder a batch, so that a step reads its own samples only and not the whole table.
+    """
     if batch_size is None and batches is None:
-        return samples.withColumn("__b", F.lit(0)), 1
+        return [samples]
     k = batches or max(1, round(samples.select(sample).distinct().count() / batch_size))
-    return samples.withColumn("__b", F.pmod(F.xxhash64(sample, F.lit("batch")), F.lit(k)).cast("int")), k
+    if k == 1:
+        return [samples]
+    path = f"{folder}/batches-{uuid.uuid4().hex[:8]}"
+    samples.withColumn("__b", F.pmod(F.xxhash64(sample, F.lit("batch")), F.lit(k)).cast("int")).write.partitionBy("__b").parquet(path)
+    kept = samples.sparkSession.read.parquet(path)
+    return [kept.where(F.col("__b") == b).drop("__b") for b in range(k)]
+
+
+def _readable(samples: DataFrame, *more: str) -> DataFrame:
+    """Samples with a label, an id and a value (and `more`)."""
+    return samples.where(" AND ".join(f"{c} IS NOT NULL" for c in ("label", "feat", "val", *more)) + " AND NOT isnan(val) AND NOT isnan(label)")
+
+
+def _run_epochs(learner, samples: DataFrame, store: ParamStore, step: Callable[[DataFrame], tuple[DataFrame, DataFrame]], tag: str | None = None) -> TrainingInfo:  # noqa: ANN001
+    """One pull, gradient and push a batch; the mean loss of each epoch. The last snapshot gets `tag`, those before keep the store's."""
+    parts = _batches(samples, learner.sample, getattr(learner, "batch_size", None), learner.batches, store.folder)
+    info = TrainingInfo()
+    for epoch in range(learner.epochs):
+        total, n = 0.0, 0
+        for i, part in enumerate(parts):
+            g, stats = step(part)
+            r = stats.head()
+            store.push(g, learner.updater, tag if epoch + 1 == learner.epochs and i + 1 == len(parts) else store.tag)
+            total, n = total + (r["loss"] or 0.0), n + (r["n"] or 0)
+            if epoch == 0 and "positives" in stats.columns:
+                info.positives += int(r["positives"] or 0)
+                info.negatives += int(r["negatives"] or 0)
+        info.losses.append(total / max(1, n))
+    return info
 
 
 @dataclass
@@ -101,26 +136,11 @@ class LogisticLearner:
         return cls(Ftrl(alpha, beta, lambda1, lambda2), 3, 2, **kw)
 
     def config(self, **kw: object) -> StoreConfig:
-        return StoreConfig(dtype="float_array", length=self.length, **kw)
+        return StoreConfig(**({"dtype": "float_array", "length": self.length} | kw))
 
-    def fit(self, samples: DataFrame, store: ParamStore) -> TrainingInfo:
+    def fit(self, samples: DataFrame, store: ParamStore, tag: str | None = None) -> TrainingInfo:
         """Trains into `store`. Samples without a label, id or value are left out."""
-        clean = samples.where("label IS NOT NULL AND feat IS NOT NULL AND val IS NOT NULL AND NOT isnan(val)")
-        rows, k = _batches(clean, self.sample, self.batch_size, self.batches)
-        info = TrainingInfo()
-        for epoch in range(self.epochs):
-            total, n = 0.0, 0
-            for b in range(k):
-                part = rows.where(F.col("__b") == b) if k > 1 else rows
-                g, stats = gradients(part, store.params, store.config, self.index, self.sample)
-                store.push(g, self.updater)
-                r = stats.head()
-                total, n = total + (r["loss"] or 0.0), n + r["n"]
-                if epoch == 0:
-                    info.positives += int(r["positives"] or 0)
-                    info.negatives += int(r["negatives"] or 0)
-            info.losses.append(total / max(1, n))
-        return info
+        return _run_epochs(self, _readable(samples), store, lambda part: gradients(part, store.params, store.config, self.index, self.sample), tag)
 
     def predict(self, samples: DataFrame, store: ParamStore) -> DataFrame:
         return predict(samples, store.params, store.config, self.index, self.sample)
@@ -144,13 +164,18 @@ def fm_predict(samples: DataFrame, params: DataFrame, config: StoreConfig, sampl
     return sums.select(sample, "label", (F.col("lin") + 0.5 * pair).alias("margin"), *[f"s{f}" for f in range(k)])
 
 
-def fm_gradients(samples: DataFrame, params: DataFrame, config: StoreConfig, sample: str = "sample_id", bias_id: int = 0) -> DataFrame:
-    """(id, g array): mean gradients [w, v_1 .. v_k] of log(1 + exp(-y m)) with labels mapped to -1 and 1."""
+def fm_gradients(samples: DataFrame, params: DataFrame, config: StoreConfig, sample: str = "sample_id", bias_id: int = 0, subsample_label: float | None = None, rate: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """((id, g array), (n, loss)): mean gradients [w, v_1 .. v_k] of log(1 + exp(-y m)) with labels mapped to -1 and 1.
+
+    Samples of the label that was kept at `rate` only weigh 1 / rate, in the loss too.
+    """
     k = config.length - 1
-    m = cut(fm_predict(samples, params, config, sample, bias_id))
-    n = max(1, m.count())
+    weight = F.when(F.col("label") == subsample_label, 1.0 / rate).otherwise(1.0) if subsample_label is not None else F.lit(1.0)
+    m = cut(fm_predict(samples, params, config, sample, bias_id).withColumn("c", weight))
     y = F.when(F.col("label") > 0, 1.0).otherwise(-1.0)
-    f = m.select(F.col(sample).alias("__s"), (-y * sigmoid(-y * F.col("margin"))).alias("f"), *[f"s{i}" for i in range(k)])
+    info = m.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c") * log1p_exp(-y * F.col("margin"))).alias("loss"))
+    n = max(1, m.count())
+    f = m.select(F.col(sample).alias("__s"), (-y * sigmoid(-y * F.col("margin")) * F.col("c")).alias("f"), *[f"s{i}" for i in range(k)])
     w = pull(params, samples, config, "feat").join(f, F.col(sample) == F.col("__s"))
     x = F.col("val").cast("double")
     gs = [F.sum(F.col("f") * x) / n]
@@ -158,44 +183,124 @@ def fm_gradients(samples: DataFrame, params: DataFrame, config: StoreConfig, sam
         gi = F.col("f") * (x * F.col(f"s{i}") - F.get("w", i + 1).cast("double") * x * x)
         gs.append(F.sum(F.when(F.col("feat") != bias_id, gi).otherwise(0.0)) / n)
     named = [g.alias(f"g{i}") for i, g in enumerate(gs)]
-    return w.groupBy(F.col("feat").alias("id")).agg(*named).select("id", F.array(*[f"g{i}" for i in range(k + 1)]).alias("g"))
+    return w.groupBy(F.col("feat").alias("id")).agg(*named).select("id", F.array(*[f"g{i}" for i in range(k + 1)]).alias("g")), info
+
+
+@dataclass
+class FmLearner:
+    """Factorization machine: [w, v_1 .. v_rank] a feature, small seeded start values, the pull of rank factors and a weight in one row."""
 
+    updater: Updater
+    rank: int
+    epochs: int = 1
+    batches: int | None = None
+    bias_id: int = 0
+    subsample_label: float | None = None
+    rate: float = 1.0
+    sample: str = "sample_id"
 
-def ffm_pairs(samples: DataFrame, params: DataFrame, config: StoreConfig, rank: int, sample: str = "sample_id") -> DataFrame:
-    """One row per pair of features of a sample: the factors each has for the other's field. Pairs stay within a sample, whose
-    features are few, so this is a join on the sample, not on anything that could be hot."""
-    w = pull(params, samples.select(sample, "label", "field", "feat", "val"), config, "feat")
-    side = lambda t: w.select(F.col(sample).alias(f"s{t}"), F.col("label").alias(f"y{t}"), F.col("field").alias(f"f{t}"), F.col("feat").alias(f"i{t}"), F.col("val").cast("double").alias(f"x{t}"), F.col("w").alias(f"w{t}"))
-    a, b = side(1), side(2)
-    j = a.join(b, (F.col("s1") == F.col("s2")) & ((F.col("f1") < F.col("f2")) | ((F.col("f1") == F.col("f2")) & (F.col("i1") < F.col("i2")))))
-    va, vb = F.slice("w1", F.col("f2") * rank + 1, F.lit(rank)), F.slice("w2", F.col("f1") * rank + 1, F.lit(rank))
-    return j.select(F.col("s1").alias(sample), F.col("y1").alias("label"), "f1", "f2", "i1", "i2", (F.col("x1") * F.col("x2")).alias("xx"), va.alias("va"), vb.alias("vb"))
+    def config(self, **kw: object) -> StoreConfig:
+        return StoreConfig(**({"dtype": "float_array", "length": self.rank + 1, "low": -0.01, "high": 0.01} | kw))
+
+    def fit(self, samples: DataFrame, store: ParamStore, tag: str | None = None) -> TrainingInfo:
+        return _run_epochs(self, _readable(samples), store, lambda part: fm_gradients(part, store.params, store.config, self.sample, self.bias_id, self.subsample_label, self.rate), tag)
+
+    def predict(self, samples: DataFrame, store: ParamStore) -> DataFrame:
+        m = fm_predict(samples, store.params, store.config, self.sample, self.bias_id)
+        return m.select(self.sample, "label", sigmoid(F.col("margin")).alias("probability"))
 
 
-def ffm_margin(samples: DataFrame, params: DataFrame, config: StoreConfig, rank: int, sample: str = "sample_id") -> DataFrame:
-    """(sample, label, margin): sum over pairs of <v_i for j's field, v_j for i's field> x_i x_j; 0 for a sample of one feature."""
-    from grainmill.functions.linalg import array_dot
+# ---- field-aware factorization machines -----------------------------------------------------------------------------------
 
-    pairs = ffm_pairs(samples, params, config, rank, sample)
-    phi = pairs.groupBy(F.col(sample).alias("__s")).agg(F.sum(array_dot(F.col("va"), F.col("vb")) * F.col("xx")).alias("m"))
-    heads = samples.groupBy(sample).agg(F.max("label").alias("label"))
-    return heads.join(phi, F.col(sample) == F.col("__s"), "left").select(sample, "label", F.coalesce("m", F.lit(0.0)).alias("margin"))
+
+def _ffm_rows(samples: DataFrame, params: DataFrame, config: StoreConfig, width: int, sample: str) -> DataFrame:
+    """(sample, label, fs): one row a sample with its features as (field, feat, val, w). Repeats of a feature in a field are added up."""
+    one = samples.groupBy(sample, "field", "feat").agg(F.max("label").alias("label"), F.sum(F.col("val").cast("double")).alias("val"))
+    w = pull(params, one, config, "feat", 0, width)
+    part = F.struct("field", "feat", "val", F.col("w").cast("array<double>").alias("w"))
+    return w.groupBy(sample).agg(F.max("label").alias("label"), F.collect_list(part).alias("fs"))
+
+
+#: Samples whose field sums are held at a time: fields x fields x rank doubles each.
+FFM_CHUNK = 512
+
+
+def _ffm_chunks(b: pa.RecordBatch, rank: int, fields: int) -> Iterator[tuple[slice, np.ndarray, ...]]:
+    """Parts of a batch with, per feature, its sample within the part, field, id, value and factors, and per sample the margin and field sums.
+
+    The field sum S[f, g] adds up x v_g over the features of field f. The margin - the sum over pairs of <v_i for j's field,
+    v_j for i's field> x_i x_j - is half of the sum of <S[f, g], S[g, f]> less what features have with themselves, so no pair is formed.
+    """
+    for lo in range(0, b.num_rows, FFM_CHUNK):
+        fs = b.column("fs").slice(lo, FFM_CHUNK)
+        lens = pc.list_value_length(fs).to_numpy()
+        flat = fs.flatten()
+        field, val = flat.field("field").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("val").to_numpy(zero_copy_only=False)
+        w = flat.field("w").flatten().to_numpy(zero_copy_only=False).reshape(len(field), fields, rank)
+        s = np.repeat(np.arange(len(lens)), lens)
+        known = (field >= 0) & (field < fields)
+        s, field, val, w, ids = s[known], field[known], val[known], w[known], flat.field("feat").to_numpy(zero_copy_only=False)[known]
+        vx = w * val[:, None, None]
+        sums = np.zeros((len(lens), fields, fields, rank))
+        np.add.at(sums, (s, field), vx)
+        own = vx[np.arange(len(s)), field]
+        margin = 0.5 * (np.einsum("sfgr,sgfr->s", sums, sums) - np.bincount(s, weights=(own * own).sum(axis=1), minlength=len(lens)))
+        yield slice(lo, lo + len(lens)), s, field, ids, val, own, margin, sums
+
+
+def ffm_margin(samples: DataFrame, params: DataFrame, config: StoreConfig, rank: int, sample: str = "sample_id", fields: int | None = None) -> DataFrame:
+    """(sample, label, margin): sum over pairs of <v_i for j's field, v_j for i's field> x_i x_j; 0 for a sample of one feature.
+
+    Features of fields beyond `fields` (as many as the parameters have, if not given) count for nothing.
+    """
+    fields = fields or config.length // rank
+    rows = _ffm_rows(samples, params, config, rank * fields, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.zeros(b.num_rows)
+            for part, *_, margin, _sums in _ffm_chunks(b, rank, fields):
+                out[part] = margin
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column("label"), pa.array(out)], names=["s", "label", "margin"])
+
+    ddl = f"`{sample}` {samples.schema[sample].dataType.simpleString()}, label {rows.schema['label'].dataType.simpleString()}, margin double"
+    return rows.mapInArrow(run, ddl)
 
 
 def ffm_gradients(samples: DataFrame, params: DataFrame, config: StoreConfig, rank: int, fields: int, sample: str = "sample_id") -> tuple[DataFrame, DataFrame]:
-    """((id, g array of rank * fields), (n, loss)): mean gradients of log(1 + exp(-y m)), labels mapped to -1 and 1."""
-    m = cut(ffm_margin(samples, params, config, rank, sample))
-    y = F.when(F.col("label") > 0, 1.0).otherwise(-1.0)
-    info = m.agg(F.count(F.lit(1)).alias("n"), F.sum(log1p_exp(-y * F.col("margin"))).alias("loss"))
-    n = max(1, info.head()["n"])
-    f = m.select(F.col(sample).alias("__s"), (-y * sigmoid(-y * F.col("margin")) / n).alias("f"))
-    p = ffm_pairs(samples, params, config, rank, sample).join(f, F.col(sample) == F.col("__s"))
-    part = lambda i, field, v: F.struct(F.col(i).alias("id"), F.col(field).alias("fld"), F.transform(v, lambda a: a.cast("double") * F.col("f") * F.col("xx")).alias("g"))
-    both = p.select(F.inline(F.array(part("i1", "f2", "vb"), part("i2", "f1", "va"))))
-    cells = both.select("id", "fld", F.posexplode("g").alias("r", "x")).groupBy("id", "fld", "r").agg(F.sum("x").alias("x"))
-    spread = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("fld") * rank + F.col("r")).alias("k"), F.col("x")))).alias("m"))
-    g = F.transform(F.sequence(F.lit(0), F.lit(rank * fields - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return spread.select("id", g.alias("g")), info
+    """((id, g array of rank * fields), (n, loss)): mean gradients of log(1 + exp(-y m)), labels mapped to -1 and 1.
+
+    One pass: samples are joined to their factors and gathered by sample once; margins, loss and gradients come from the same
+    field sums, and a task adds up the gradients of equal ids before they are shuffled.
+    """
+    rows, width = _ffm_rows(samples, params, config, rank * fields, sample), rank * fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y = np.where(b.column("label").to_numpy(zero_copy_only=False) > 0, 1.0, -1.0)
+            for part, s, field, ids, val, own, margin, sums in _ffm_chunks(b, rank, fields):
+                ym = y[part] * margin
+                factor = -y[part] / (1 + np.exp(np.minimum(ym, 700)))
+                g = sums[s, :, field, :] * val[:, None, None]
+                g[np.arange(len(s)), field] -= own * val[:, None]
+                g *= factor[s][:, None, None]
+                keys, at = np.unique(ids, return_inverse=True)
+                total = np.zeros((len(keys), width))
+                np.add.at(total, at, g.reshape(len(s), width))
+                stats = np.zeros((1, width + 2))
+                stats[0, -2:] = len(ym), np.logaddexp(0, -ym).sum()
+                flat = np.concatenate([np.concatenate([total, np.zeros((len(keys), 2))], axis=1), stats])
+                offs = pa.array(np.arange(0, flat.size + 1, width + 2), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([*keys.tolist(), None], pa.int64()), pa.ListArray.from_arrays(offs, pa.array(flat.ravel()))], names=["id", "g"])
+
+    parts = rows.mapInArrow(run, "id bigint, g array<double>")
+    sums = cut(parts.groupBy("id").agg(*[F.sum(F.get("g", i)).alias(f"g{i}") for i in range(width + 2)]))
+    info = sums.where("id IS NULL").select(F.col(f"g{width}").cast("bigint").alias("n"), F.col(f"g{width + 1}").alias("loss"))
+    stats = info.head()
+    if stats is None:  # no samples
+        return sums.where("id IS NOT NULL").select("id", F.array(*[f"g{i}" for i in range(width)]).alias("g")), sums.agg(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("loss"))
+    n = max(1, stats["n"])
+    return sums.where("id IS NOT NULL").select("id", F.array(*[F.col(f"g{i}") / n for i in range(width)]).alias("g")), info
 
 
 def frequent_features(samples: DataFrame, min_count: int = 2) -> DataFrame:
@@ -206,36 +311,29 @@ def frequent_features(samples: DataFrame, min_count: int = 2) -> DataFrame:
 
 @dataclass
 class FfmLearner:
-    """Field-aware factorization machine: factors of `rank` per field, small seeded start values, features seen at least twice."""
+    """Field-aware factorization machine: factors of `rank` per field, small seeded start values, features seen at least twice.
+
+    With the updater AdaGrad a parameter holds the factors and as many sums of squared gradients, which start at `init_sum`.
+    """
 
     updater: Updater
     rank: int
     fields: int
     epochs: int = 1
-    batches: int = 1
+    batches: int | None = None
     min_count: int = 2
     sample: str = "sample_id"
+    init_sum: float = 1.0
 
     def config(self, **kw: object) -> StoreConfig:
-        return StoreConfig(dtype="float_array", length=self.rank * self.fields, **({"low": 0.0, "high": 0.02} | kw))
-
-    def fit(self, samples: DataFrame, store: ParamStore) -> TrainingInfo:
-        clean = samples.where("label IS NOT NULL AND feat IS NOT NULL AND field IS NOT NULL AND val IS NOT NULL AND NOT isnan(val)")
-        rows, k = _batches(frequent_features(clean, self.min_count), self.sample, None, self.batches)
-        info = TrainingInfo()
-        for _ in range(self.epochs):
-            total, n = 0.0, 0
-            for b in range(k):
-                g, stats = ffm_gradients(rows.where(F.col("__b") == b), store.params, store.config, self.rank, self.fields, self.sample)
-                store.push(g, self.updater)
-                r = stats.head()
-                total, n = total + (r["loss"] or 0.0), n + r["n"]
-            info.losses.append(total / max(1, n))
-        return info
+        n = self.rank * self.fields
+        states = 2 if isinstance(self.updater, AdaGrad) else 1
+        return StoreConfig(**({"dtype": "float_array", "length": n * states, "low": 0.0, "high": 0.02, "drawn": n, "init": self.init_sum if states == 2 else 0.0} | kw))
+
+    def fit(self, samples: DataFrame, store: ParamStore, tag: str | None = None) -> TrainingInfo:
+        rows = frequent_features(_readable(samples, "field"), self.min_count)
+        return _run_epochs(self, rows, store, lambda part: ffm_gradients(part, store.params, store.config, self.rank, self.fields, self.sample), tag)
 
     def predict(self, samples: DataFrame, store: ParamStore) -> DataFrame:
-        m = ffm_margin(samples, store.params, store.config, self.rank, self.sample)
+        m = ffm_margin(samples, store.params, store.config, self.rank, self.sample, self.fields)
         return m.select(self.sample, "label", sigmoid(F.col("margin")).alias("probability"))
-
-
-Parse = Callable[[DataFrame], DataFrame]

@@ -19,7 +19,11 @@ JOBS = ("train", "predict", "increment_train")
 
 @dataclass(frozen=True)
 class StoreConfig:
-    """Name and shape of a parameter table: `length` values of one type per id, initialised to `init` or uniform in [low, high)."""
+    """Name and shape of a parameter table: `length` values of one type per id, initialised to `init` or uniform in [low, high).
+
+    Of the latter only the first `drawn` values are drawn, if given, and the others are `init`. `buckets` is the number of
+    partitions by id a snapshot is kept in; 0 takes as many as a shuffle has, so that pulls and pushes don't shuffle it.
+    """
 
     table: str = "params"
     dtype: str = "float_array"
@@ -28,7 +32,8 @@ class StoreConfig:
     low: float | None = None
     high: float | None = None
     seed: int = 17
-    buckets: int = 64
+    buckets: int = 0
+    drawn: int | None = None
 
     def check(self) -> None:
         if self.dtype not in DTYPES:
@@ -46,7 +51,8 @@ class StoreConfig:
             one = lambda i: F.lit(self.init)
         else:
             # a uniform number from the id's hash, so a retry or another plan draws the same one
-            one = lambda i: F.shiftrightunsigned(F.xxhash64(key, F.lit(self.seed), i), 11) / float(2**53) * (self.high - self.low) + self.low
+            uniform = lambda i: F.shiftrightunsigned(F.xxhash64(key, F.lit(self.seed), i), 11) / float(2**53) * (self.high - self.low) + self.low
+            one = uniform if self.drawn is None else lambda i: F.when(i < self.drawn, uniform(i)).otherwise(F.lit(float(self.init)))
         return F.transform(F.sequence(F.lit(0), F.lit(self.length - 1)), one).cast(f"array<{self.element}>")
 
 
@@ -79,7 +85,9 @@ def dedupe_snapshot(saved: DataFrame, config: StoreConfig, key: str = "id", weig
 class ParamStore:
     """A parameter table with its snapshots below a shared folder. Each change writes a new snapshot, so a lost executor costs a re-read.
 
-    train starts empty; predict and increment_train start from a model text at `model_path`.
+    train starts empty; predict and increment_train start from a model text at `model_path`. `tag` says which change a snapshot
+    holds; a store on the same `folder` goes on with the last complete snapshot and its tag. The snapshot before the current
+    one is kept, because plans made before a change may still read it; older ones are removed.
     """
 
     spark: SparkSession
@@ -88,13 +96,18 @@ class ParamStore:
     model_path: str | None = None
     folder: str | None = None
     version: int = field(default=0, init=False)
+    tag: str | None = field(default=None, init=False)
 
     def __post_init__(self) -> None:
         self.config.check()
         if self.job not in JOBS:
             raise EngineError(f"job is one of {', '.join(JOBS)}")
+        own = self.folder is None
         self.folder = self.folder or f"{shared_dir(self.spark)}/store-{self.config.table}-{uuid.uuid4().hex[:8]}"
+        self._names: dict[int, tuple[str, str]] = {}
         empty = self.spark.createDataFrame([], f"id bigint, w array<{self.config.element}>")
+        if not own and self._reopen():
+            return
         if self.job == "train":
             self._current = empty
         elif not self.model_path:
@@ -106,20 +119,54 @@ class ParamStore:
     def params(self) -> DataFrame:
         return self._current
 
-    def replace(self, params: DataFrame) -> None:
-        """A new snapshot, hash-partitioned by id, so that the next pull finds equal ids together."""
+    @property
+    def buckets(self) -> int:
+        return self.config.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _fs(self):  # noqa: ANN202
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), jvm.org.apache.hadoop.fs.Path
+
+    def _reopen(self) -> bool:
+        """Go on with the last complete snapshot in the folder, if there is one; its tag stands in the name of a marker file."""
+        fs, path = self._fs()
+        if not fs.exists(path(self.folder)):
+            return False
+        marks = [str(x.getPath().getName()) for x in fs.listStatus(path(self.folder)) if str(x.getPath().getName()).startswith("done-")]
+        if not marks:
+            return False
+        _, version, tag = max(marks, key=lambda m: int(m.split("-", 2)[1])).split("-", 2)
+        self.version, self.tag = int(version), tag or None
+        self._current = self.spark.read.parquet(f"{self.folder}/v{version}")
+        return True
+
+    def _forget(self, version: int) -> None:
+        fs, path = self._fs()
+        name, mark = self._names.pop(version)
+        fs.delete(path(mark), False)
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        fs.delete(path(f"{self.folder}/v{version}"), True)
+
+    def replace(self, params: DataFrame, tag: str | None = None) -> None:
+        """A new snapshot in buckets by id, so that pulls and pushes find equal ids together without a shuffle of the table."""
         if params.schema["w"].dataType.simpleString() != f"array<{self.config.element}>":
             raise EngineError(f"the store holds {self.config.dtype}, not {params.schema['w'].dataType.simpleString()}")
         self.version += 1
-        path = f"{self.folder}/v{self.version}"
-        params.write.mode("overwrite").parquet(path)
-        self._current = self.spark.read.parquet(path)
+        path, name = f"{self.folder}/v{self.version}", f"grainmill_{self.config.table}_{uuid.uuid4().hex[:12]}"
+        params.select("id", "w").write.mode("overwrite").format("parquet").bucketBy(self.buckets, "id").option("path", path).saveAsTable(name)
+        fs, hadoop_path = self._fs()
+        mark = f"{self.folder}/done-{self.version}-{tag or ''}"
+        fs.create(hadoop_path(mark)).close()
+        self._names[self.version], self._current, self.tag = (name, mark), self.spark.table(name), tag
+        for old in [v for v in self._names if v < self.version - 1]:
+            self._forget(old)
 
     def pull(self, keys: DataFrame, **kw: object) -> DataFrame:
         return pull(self._current, keys, self.config, **kw)
 
-    def push(self, grads: DataFrame, updater) -> None:  # noqa: ANN001
-        self.replace(push(self._current, grads, updater, self.config))
+    def push(self, grads: DataFrame, updater, tag: str | None = None) -> None:  # noqa: ANN001
+        self.replace(push(self._current, grads, updater, self.config), tag)
 
     def scan_range(self, low: int, high: int) -> DataFrame:
         """Parameters with low <= id < high; the bounds reach the parquet scan."""

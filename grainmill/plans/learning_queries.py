@@ -315,7 +315,21 @@ def fm_predict(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_FM}, f AS (SELECT sample_id, sa, sb, CASE WHEN label > 0 THEN -1 / (1 + exp(greatest(least(m, 700), -700))) ELSE 1 / (1 + exp(-greatest(least(m, 700), -700))) END AS f FROM fm) SELECT feat AS id, round(sum(f * val) / (SELECT count(*) FROM fm), 6) + 0.0 AS g0, round(sum(f * (val * sa - a * val)) / (SELECT count(*) FROM fm), 6) + 0.0 AS g1, round(sum(f * (val * sb - b * val)) / (SELECT count(*) FROM fm), 6) + 0.0 AS g2 FROM e JOIN f USING (sample_id) GROUP BY 1")
 def fm_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return learning.fm_gradients(_samples(spark, d), _params(spark, d), _CONF).select("id", *[r(F.get("g", i)).alias(f"g{i}") for i in range(3)])
+    g, _ = learning.fm_gradients(_samples(spark, d), _params(spark, d), _CONF)
+    return g.select("id", *[r(F.get("g", i)).alias(f"g{i}") for i in range(3)])
+
+
+_FM_STEP = f"WITH {_FM}, f AS (SELECT sample_id, sa, sb, CASE WHEN label > 0 THEN -1 / (1 + exp(greatest(least(m, 700), -700))) ELSE 2 / (1 + exp(-greatest(least(m, 700), -700))) END AS f FROM fm), g AS (SELECT feat AS id, sum(f * val) / (SELECT count(*) FROM fm) AS g0, sum(f * (val * sa - a * val)) / (SELECT count(*) FROM fm) AS g1, sum(f * (val * sb - b * val)) / (SELECT count(*) FROM fm) AS g2 FROM e JOIN f USING (sample_id) GROUP BY 1)"
+
+
+@query(_FM_STEP + " SELECT coalesce(p.id, g.id) AS id, " + ", ".join(f"round(coalesce(w[{i + 1}], 0.0) - 0.1 * coalesce(g{i}, 0.0), 6) + 0.0 AS w{i}" for i in range(3)) + " FROM params p FULL JOIN g ON g.id = p.id")
+def fm_train(spark: SparkSession, d: str) -> DataFrame:
+    """One epoch over all samples from the saved weights; the label 0 was kept at a rate of one half."""
+    learner = learning.FmLearner(updaters.Elementwise(0.1), 2, subsample_label=0.0, rate=0.5)
+    s = store.ParamStore(spark, learner.config(dtype="double_array", low=None, high=None))
+    s.replace(_params(spark, d))
+    learner.fit(_samples(spark, d), s)
+    return s.params.select("id", *[r(F.get("w", i)).alias(f"w{i}") for i in range(3)])
 
 
 _RANK, _FIELDS = 2, 16
@@ -346,38 +360,77 @@ def ffm_freq_filter(spark: SparkSession, d: str) -> DataFrame:
     return learning.frequent_features(_samples(spark, d), 2).groupBy("feat").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Two epochs over all samples from empty weights: the state [w, a, b] of each feature after the first gradient and after the second.
+_TWO_EPOCHS = f"""WITH {_SAMPLES}, y AS (SELECT sample_id, CASE WHEN max(label) > 0 THEN 1 ELSE 0 END AS y FROM sm GROUP BY 1),
+g1 AS (SELECT feat AS id, sum((0.5 - y) * val) / (SELECT count(*) FROM y) AS g FROM sm JOIN y USING (sample_id) GROUP BY 1),
+s1 AS (SELECT id, {{first}} FROM g1),
+f2 AS (SELECT sample_id, 1 / (1 + exp(-greatest(sum(w * val), -700))) - any_value(y) AS f FROM sm JOIN s1 ON id = feat JOIN y USING (sample_id) GROUP BY 1),
+g2 AS (SELECT feat AS id, sum(f * val) / (SELECT count(*) FROM y) AS g FROM sm JOIN f2 USING (sample_id) GROUP BY 1)
+SELECT id, round({{second}}, 6) + 0.0 AS w FROM s1 JOIN g2 USING (id)"""
+
+
 def _trained(spark: SparkSession, d: str, learner: learning.LogisticLearner) -> DataFrame:
-    s = store.ParamStore(spark, learner.config())
-    info = learner.fit(_samples(spark, d), s)
-    return spark.createDataFrame([(i, float(x), info.positives, info.negatives) for i, x in enumerate(info.losses)], "epoch int, loss double, positives bigint, negatives bigint")
+    """The weights after training."""
+    s = store.ParamStore(spark, learner.config(dtype="double_array"))
+    learner.fit(_samples(spark, d), s)
+    return s.params.select("id", r(F.get("w", learner.index)).alias("w"))
 
 
-@query()
+@query(_TWO_EPOCHS.format(first="-0.5 * g AS w", second="w - 0.5 * g"))
 def lr_train_sgd(spark: SparkSession, d: str) -> DataFrame:
-    return _trained(spark, d, learning.LogisticLearner.sgd(0.5, epochs=2, batches=2))
+    return _trained(spark, d, learning.LogisticLearner.sgd(0.5, epochs=2))
 
 
-@query()
+@query(_TWO_EPOCHS.format(first="-0.5 * g AS w", second="w + (-0.5 * g + 0.5 * w)"))
 def lr_train_momentum(spark: SparkSession, d: str) -> DataFrame:
     return _trained(spark, d, learning.LogisticLearner.momentum(0.5, 0.5, epochs=2))
 
 
-@query()
+@query(_TWO_EPOCHS.format(first="-0.5 * g AS w", second="w + (-0.5 * g - 0.1 * g * g * w)"))
 def lr_train_dcasgd(spark: SparkSession, d: str) -> DataFrame:
     return _trained(spark, d, learning.LogisticLearner.delay_compensated(0.5, 0.1, epochs=2))
 
 
-@query()
+def _ftrl_weight(z: str, n: str) -> str:
+    return f"CASE WHEN abs({z}) <= 0.001 THEN 0.0 ELSE -(({z}) - sign({z}) * 0.001) / (0.1 + (1 + sqrt({n})) / 0.5) END"
+
+
+@query(_TWO_EPOCHS.format(first=f"g AS z, g * g AS n, {_ftrl_weight('g', 'g * g')} AS w", second=_ftrl_weight("z + g - (sqrt(n + g * g) - sqrt(n)) / 0.5 * w", "n + g * g")))
 def lr_train_ftrl(spark: SparkSession, d: str) -> DataFrame:
     return _trained(spark, d, learning.LogisticLearner.ftrl(0.5, 1.0, 0.001, 0.1, epochs=2))
 
 
-@query()
+# Gradient cells (id, fld, i) of one epoch over the samples whose features occur twice at least, from the factors of _factors.
+_FFM_CELLS = f"""WITH {_SAMPLES}, often AS (SELECT feat FROM sm GROUP BY 1 HAVING count(*) >= 2),
+e AS (SELECT sample_id, field, feat, sum(val) AS val, ((feat % 7) + 7) % 7 - 10 AS base FROM sm WHERE feat IN (SELECT feat FROM often) GROUP BY 1, 2, 3),
+y AS (SELECT sample_id, CASE WHEN max(label) > 0 THEN 1.0 ELSE -1.0 END AS y FROM sm WHERE feat IN (SELECT feat FROM often) GROUP BY 1),
+p AS (SELECT a.sample_id, a.feat AS ia, a.field AS fa, a.base AS ba, b.feat AS ib, b.field AS fb, b.base AS bb, a.val * b.val AS xx FROM e a JOIN e b ON a.sample_id = b.sample_id AND (a.field < b.field OR (a.field = b.field AND a.feat < b.feat))),
+phi AS (SELECT sample_id, sum(xx * ({' + '.join(f'(ba + fb * {_RANK} + {i}) * (bb + fa * {_RANK} + {i})' for i in range(_RANK))}) * 0.0001) AS m FROM p GROUP BY 1),
+f AS (SELECT sample_id, -y / (1 + exp(least(y * m, 700))) / (SELECT count(*) FROM y) AS f FROM phi JOIN y USING (sample_id)),
+c AS (SELECT id, fld, i, sum(x) AS g FROM ({' UNION ALL '.join(f'SELECT ia AS id, fb AS fld, {i} AS i, f * xx * (bb + fa * {_RANK} + {i}) * 0.01 AS x FROM p JOIN f USING (sample_id) UNION ALL SELECT ib, fa, {i}, f * xx * (ba + fb * {_RANK} + {i}) * 0.01 FROM p JOIN f USING (sample_id)' for i in range(_RANK))}) GROUP BY 1, 2, 3),
+h AS (SELECT DISTINCT feat AS id, ((feat % 7) + 7) % 7 - 10 AS base FROM sm)"""
+_FFM_SUM = " SELECT id, round(any_value({n} * base + {n} * ({n} - 1) // 2) * 0.01 - coalesce(sum({step}), 0.0), 6) + 0.0 AS total FROM h LEFT JOIN c USING (id) GROUP BY 1"
+
+
+def _ffm_trained(spark: SparkSession, d: str, updater: updaters.Updater) -> DataFrame:
+    """Sum of the factors of each feature after one epoch."""
+    n = _RANK * _FIELDS
+    learner = learning.FfmLearner(updater, _RANK, _FIELDS)
+    s = store.ParamStore(spark, learner.config(dtype="double_array", low=None, high=None))
+    start = _factors(spark, d)
+    s.replace(start.select("id", F.concat("w", F.array_repeat(F.lit(1.0), n)).alias("w")) if s.config.length > n else start)
+    learner.fit(_samples(spark, d), s)
+    return s.params.select("id", r(F.aggregate(F.slice("w", 1, n), F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@query(_FFM_CELLS + _FFM_SUM.format(n=_RANK * _FIELDS, step="0.5 * g"))
 def ffm_train(spark: SparkSession, d: str) -> DataFrame:
-    learner = learning.FfmLearner(updaters.Elementwise(0.5), _RANK, _FIELDS)
-    s = store.ParamStore(spark, learner.config())
-    info = learner.fit(_samples(spark, d), s)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(info.losses)], "epoch int, loss double")
+    return _ffm_trained(spark, d, updaters.Elementwise(0.5))
+
+
+@query(_FFM_CELLS + _FFM_SUM.format(n=_RANK * _FIELDS, step="0.2 * g / (sqrt(1 + g * g) + 1e-8)"))
+def ffm_train_adagrad(spark: SparkSession, d: str) -> DataFrame:
+    return _ffm_trained(spark, d, updaters.AdaGrad(0.2))
 
 
 # ---- models --------------------------------------------------------------------------------------------------------------

@@ -13,16 +13,19 @@ from grainmill.sources.files import explode_samples, parse_id_lines
 
 
 def train_on_stream(lines: DataFrame, learner: LogisticLearner, store: ParamStore, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Trains on a stream of id lines (column value). The state is the store's snapshots; a batch replayed after a failure is skipped."""
-    done: dict[str, int] = {"last": -1}
+    """Trains on a stream of id lines (column value). The state is the store's snapshots.
+
+    The number of a batch is kept with the snapshot it made, so a batch replayed after a failure is skipped, by a new process
+    too if its store has the same folder. A learner of one epoch and batch makes one snapshot a micro-batch; of others, a
+    micro-batch that failed in between is repeated from its last snapshot.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        if number <= done["last"]:
+        if store.tag is not None and number <= int(store.tag):
             return
         samples = explode_samples(parse_id_lines(batch.select("value").withColumn("sample_id", F.monotonically_increasing_id())))
         if not samples.isEmpty():
-            learner.fit(samples, store)
-        done["last"] = number
+            learner.fit(samples, store, tag=str(number))
 
     writer = lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

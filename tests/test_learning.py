@@ -141,7 +141,7 @@ def test_fm_gradient_is_the_derivative(spark):
         y = F.when(F.col("label") > 0, 1.0).otherwise(-1.0)
         return learning.fm_predict(data, p, conf).agg(F.avg(L.log1p_exp(-y * F.col("margin")))).head()[0]
 
-    g = {r["id"]: r["g"] for r in learning.fm_gradients(data, spark.createDataFrame(list(base.items()), "id bigint, w array<double>"), conf).collect()}
+    g = {r["id"]: r["g"] for r in learning.fm_gradients(data, spark.createDataFrame(list(base.items()), "id bigint, w array<double>"), conf)[0].collect()}
     for i, j in ((0, 0), (11, 0), (11, 1), (22, 2)):
         up = {k: [v + (1e-4 if (k, q) == (i, j) else 0) for q, v in enumerate(w)] for k, w in base.items()}
         assert (loss(up) - loss(base)) / 1e-4 == pytest.approx(g[i][j], abs=1e-3)
@@ -160,6 +160,87 @@ def test_ffm(spark):
     assert learning.frequent_features(rare).count() == 2
 
 
+def brute_phi(rows, w, rank):
+    """The margin of one sample by all pairs of its features, repeats added up."""
+    merged = {}
+    for f, i, x in rows:
+        merged[f, i] = merged.get((f, i), 0.0) + x
+    items = sorted(merged.items())
+    return sum(sum(w[i][g * rank + r] * w[j][f * rank + r] for r in range(rank)) * x * y for a, ((f, i), x) in enumerate(items) for (g, j), y in items[a + 1 :])
+
+
+def test_ffm_margin_and_gradient_against_pairs(spark):
+    rng, rank, fields = np.random.default_rng(3), 2, 3
+    rows = [(s, float(s % 2), int(rng.integers(0, fields)), int(rng.integers(1, 9)), float(rng.normal())) for s in range(40) for _ in range(int(rng.integers(1, 6)))]
+    rows += [(0, 0.0, 1, 5, 1.0)] * 2 + [(1, 1.0, 7, 5, 1.0)]  # repeats, and a field beyond the last
+    data = spark.createDataFrame(rows, "sample_id bigint, label double, field int, feat bigint, val double")
+    w = {i: rng.normal(0, 0.5, rank * fields).tolist() for i in range(1, 9)}
+    conf = store.StoreConfig(dtype="double_array", length=rank * fields)
+    params = lambda x: spark.createDataFrame(list(x.items()), "id bigint, w array<double>")
+    by = {}
+    for s, _, f, i, x in rows:
+        if f < fields:
+            by.setdefault(s, []).append((f, i, x))
+    got = {r["sample_id"]: r["margin"] for r in learning.ffm_margin(data, params(w), conf, rank).collect()}
+    assert got == pytest.approx({s: brute_phi(v, w, rank) for s, v in by.items()})
+
+    def loss(x):
+        return np.mean([np.logaddexp(0, -(1 if s % 2 else -1) * brute_phi(v, x, rank)) for s, v in by.items()])
+
+    g, info = learning.ffm_gradients(data, params(w), conf, rank, fields)
+    g = {r["id"]: r["g"] for r in g.collect()}
+    assert info.head()["n"] == 40 and info.head()["loss"] / 40 == pytest.approx(loss(w))
+    for i, j in ((1, 0), (5, 3), (8, 5)):
+        up = {k: [v + (1e-5 if (k, q) == (i, j) else 0) for q, v in enumerate(x)] for k, x in w.items()}
+        assert (loss(up) - loss(w)) / 1e-5 == pytest.approx(g[i][j], abs=1e-4)
+
+
+@pytest.mark.parametrize("make", [
+    lambda: learning.FmLearner(updaters.Elementwise(0.5), 2, epochs=3),
+    lambda: learning.FmLearner(updaters.Elementwise(0.5), 2, epochs=2, batches=2, subsample_label=0.0, rate=0.5),
+    lambda: learning.FfmLearner(updaters.AdaGrad(0.2), 2, 3, epochs=3, min_count=1),
+])
+def test_factorization_learners(spark, make):
+    learner, data = make(), samples(spark, 120)
+    s = store.ParamStore(spark, learner.config())
+    info = learner.fit(data, s)
+    assert info.losses[-1] < info.losses[0] and learner.predict(data, s).count() == 120
+    assert {len(r["w"]) for r in s.params.collect()} == {s.config.length}
+    if isinstance(learner, learning.FfmLearner):
+        assert all(x >= 1.0 for r in s.params.collect() for x in r["w"][6:])
+
+
+def test_subsampled_label_weighs_more(spark):
+    data = samples(spark, 20)
+    conf, none = store.StoreConfig(dtype="double_array", length=2), spark.createDataFrame([], "id bigint, w array<double>")
+    g, info = learning.fm_gradients(data, none, conf, subsample_label=0.0, rate=0.25)
+    n0 = data.where("label = 0").select("sample_id").distinct().count()
+    assert info.head()["loss"] == pytest.approx(np.log(2) * (20 - n0 + 4 * n0)) and info.head()["n"] == 20
+
+
+def test_store_keeps_two_snapshots_and_goes_on(spark, tmp_path):
+    conf = store.StoreConfig(dtype="double_array", length=1, buckets=3)
+    s = store.ParamStore(spark, conf, folder=str(tmp_path / "s"))
+    for i in range(4):
+        s.push(spark.createDataFrame([(k, [1.0]) for k in range(5 + i)], "id bigint, g array<double>"), updaters.Sgd(0.5), tag=str(i))
+    assert sorted(x.name for x in (tmp_path / "s").iterdir() if x.name.startswith("v")) == ["v3", "v4"]
+    again = store.ParamStore(spark, conf, folder=str(tmp_path / "s"))
+    assert again.tag == "3" and again.version == 4 and sorted(map(tuple, again.params.collect())) == sorted(map(tuple, s.params.collect()))
+    again.push(spark.createDataFrame([(0, [1.0])], "id bigint, g array<double>"), updaters.Sgd(0.5), tag="4")
+    assert {r["id"]: r["w"] for r in again.params.collect()}[0] == [-2.5]
+
+
+def test_pull_does_not_shuffle_the_store(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = store.ParamStore(spark, store.StoreConfig(dtype="double_array", length=1))
+        s.replace(spark.createDataFrame([(k, [1.0]) for k in range(50)], "id bigint, w array<double>"))
+        plan = s.pull(samples(spark, 10).select("feat"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def vectors(spark, classes, n=240, seed=1):
     rng = np.random.default_rng(seed)
     centres = rng.normal(0, 2, (classes, 4))
