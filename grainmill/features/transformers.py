@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import bisect
 import json
+import uuid
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,17 +17,19 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grainmill.operators.running import exact_quantiles
+from grainmill.functions.vectors import multi_hot, one_hot
+from grainmill.operators.running import exact_quantiles, running_total
 from grainmill.schema import EngineError, SemanticSchema
+from grainmill.session import cut, shared_dir
 
 # Names of orders and of what to do with invalid values.
 ORDERS = ("frequencyDesc", "frequencyAsc", "alphabetDesc", "alphabetAsc")
 INVALID = ("keep", "error")
-#: So many levels are looked up in a map within the plan, which is scanned; longer lists by an Arrow UDF, which hashes.
+#: So many levels are looked up in a map within the plan, which is scanned; longer lists by a join.
 MAP_LEVELS = 64
 
 
@@ -47,9 +52,10 @@ class _Columns(HasInputCols, HasOutputCols):
             if c in rest or outs.count(c) > 1:
                 raise EngineError(f"output column {c} exists already")
 
-    def _append(self, df: DataFrame, new: list[Column]) -> DataFrame:
+    def _append(self, df: DataFrame, new: list[Column], own: list[str] | None = None) -> DataFrame:
+        """The columns `own` of the frame (all, if not given) without dropped inputs, and the new ones."""
         drop = set(self.getInputCols()) if self.getOrDefault("dropInputCols") else set()
-        return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in drop], *[x.alias(o) for x, o in zip(new, self.getOutputCols(), strict=True)])
+        return df.select(*[F.col(f"`{c}`") for c in own or df.columns if c not in drop], *[x.alias(o) for x, o in zip(new, self.getOutputCols(), strict=True)])
 
 
 class _WithData(DefaultParamsWritable, DefaultParamsReadable):
@@ -61,46 +67,103 @@ class _WithData(DefaultParamsWritable, DefaultParamsReadable):
         return json.loads(self.getOrDefault("content"))
 
 
-def ordered_levels(counts: DataFrame, order: str, reserved: int = 0) -> list[list[str]]:
-    """Levels per column number from (col, level, count): ordered, ties by level, the first `reserved` of each if > 0."""
-    first = {"frequencyDesc": [F.desc("count"), F.asc("level")], "frequencyAsc": [F.asc("count"), F.asc("level")], "alphabetDesc": [F.desc("level")], "alphabetAsc": [F.asc("level")]}[order]
-    ranked = counts.withColumn("rn", F.row_number().over(Window.partitionBy("col").orderBy(*first)))
-    ranked = ranked.where(F.col("rn") <= reserved) if reserved > 0 else ranked
-    out: dict[int, list[tuple[int, str]]] = {}
-    for r in ranked.select("col", "rn", "level").collect():  # the fitted model
-        out.setdefault(r["col"], []).append((r["rn"], r["level"]))
-    return [[x for _, x in sorted(out.get(i, []))] for i in range(max(out, default=-1) + 1)]
+#: Levels of all columns a model keeps in its parameters (on the driver, as text); more are kept as a table in the shared folder.
+MODEL_LEVELS = 100_000
+#: Bytes of one column's level table up to which it is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
-def _index_of(value: Column, levels: list[str]) -> Column:
-    """The level's number; the number of levels for anything else, NULL included. Long lists are hashed in an Arrow UDF."""
-    if not levels:
-        return F.lit(0)
-    if len(levels) <= MAP_LEVELS:
-        pairs = [x for i, v in enumerate(levels) for x in (F.lit(v), F.lit(i))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), value), F.lit(len(levels)))
-    place, other = {v: i for i, v in enumerate(levels)}, len(levels)
+def ordered_levels(counts: DataFrame, order: str, reserved: int = 0) -> DataFrame:
+    """(col, level, idx) from (col, level, count): levels numbered from 0 in order, ties by level, the first `reserved` of each column if > 0.
 
-    @F.pandas_udf("int")
-    def lookup(s: pd.Series) -> pd.Series:
-        return s.map(place).fillna(other).astype("int32")
+    A limit is pushed below the shuffle. Without one the levels are range-partitioned and numbered by running totals, so a
+    column of very many levels isn't sorted in one task.
+    """
+    first = {"frequencyDesc": [F.desc("count"), F.asc("level")], "frequencyAsc": [F.asc("count"), F.asc("level")], "alphabetDesc": [F.desc("level")], "alphabetAsc": [F.asc("level")]}[order]
+    if reserved > 0:
+        ranked = counts.withColumn("idx", F.row_number().over(Window.partitionBy("col").orderBy(*first)) - 1)
+        return ranked.where(F.col("idx") < reserved).select("col", "level", "idx")
+    ranked = running_total(counts.withColumn("one", F.lit(1)), ["col"], first, {"idx": "one"})
+    return ranked.select("col", "level", F.col("idx").cast("int").alias("idx"))
 
-    return lookup(value)
 
+class _Levels(_WithData):
+    """Fitted levels by column: lists in the parameters, or beyond MODEL_LEVELS a table in the shared folder with the number and bytes of each column's.
 
-def _indices_of(tokens: Column, levels: list[str]) -> Column:
-    """The numbers of the levels of a list, hashed in an Arrow UDF (a lambda would scan the levels for each token); NULL for NULL."""
-    place, other = {v: i for i, v in enumerate(levels)}, len(levels)
+    A saved model with a table refers to it where it is, so that folder has to outlive the session.
+    """
 
-    @F.pandas_udf("array<int>")
-    def lookup(s: pd.Series) -> pd.Series:
-        return s.map(lambda ts: None if ts is None else [place.get(t, other) for t in ts])
+    @staticmethod
+    def fitted(ranked: DataFrame, n_cols: int) -> str:
+        """The content for a model. The levels are computed once; only their numbers and sizes come to the driver before it is clear that they fit."""
+        ranked = cut(ranked)
+        sizes = {r["col"]: (r["n"], r["bytes"]) for r in ranked.groupBy("col").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("level") + 16).alias("bytes")).collect()}
+        if sum(n for n, _ in sizes.values()) > MODEL_LEVELS:
+            path = f"{shared_dir(ranked.sparkSession)}/levels-{uuid.uuid4().hex}"
+            ranked.write.partitionBy("col").parquet(path)
+            return json.dumps({"table": path, "sizes": [sizes.get(i, (0, 0)) for i in range(n_cols)]})
+        out: list[list[str | None]] = [[None] * sizes.get(i, (0, 0))[0] for i in range(n_cols)]
+        for r in ranked.toLocalIterator():  # at most MODEL_LEVELS
+            out[r["col"]][r["idx"]] = r["level"]
+        return json.dumps(out)
 
-    return lookup(tokens)
+    @property
+    def labels(self) -> list[list[str]]:
+        """The levels of each column in order."""
+        got = self._data()
+        if isinstance(got, list):
+            return got
+        rows = SparkSession.active().read.parquet(got["table"]).collect()
+        out: list[list] = [[None] * n for n, _ in got["sizes"]]
+        for r in rows:
+            out[r["col"]][r["idx"]] = r["level"]
+        return out
+
+    def _sizes(self) -> list[int]:
+        got = self._data()
+        return [len(x) for x in got] if isinstance(got, list) else [n for n, _ in got["sizes"]]
+
+    def _level_table(self, spark: SparkSession, i: int) -> DataFrame:
+        """(level, idx) of column i, marked for broadcast if its checked size allows it."""
+        got = self._data()
+        if isinstance(got, list):
+            return F.broadcast(spark.createDataFrame(list(zip(got[i], range(len(got[i])), strict=True)), "level string, idx int"))
+        table = spark.read.parquet(got["table"]).where(F.col("col") == i).select("level", "idx")
+        return F.broadcast(table) if got["sizes"][i][1] <= BROADCAST_BYTES else table
+
+    def _indexed(self, df: DataFrame, values: list[Column]) -> tuple[DataFrame, list[Column]]:
+        """`df` with whatever columns the lookups need, and the index of each value: the number of levels for anything else, NULL included."""
+        got, out = self._data(), []
+        for i, (v, n) in enumerate(zip(values, self._sizes(), strict=True)):
+            if not n:
+                out.append(F.lit(0))
+            elif isinstance(got, list) and n <= MAP_LEVELS:
+                pairs = [x for j, level in enumerate(got[i]) for x in (F.lit(level), F.lit(j))]
+                out.append(F.coalesce(F.try_element_at(F.create_map(*pairs), v), F.lit(n)))
+            else:
+                table = self._level_table(df.sparkSession, i).select(F.col("level").alias(f"__level{i}"), F.col("idx").alias(f"__idx{i}"))
+                df = df.join(table, v == F.col(f"__level{i}"), "left")
+                out.append(F.coalesce(F.col(f"__idx{i}"), F.lit(n)))
+        return df, out
 
 
-def _one_hot(index: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == index, 1.0).otherwise(0.0))
+def _indices_of(tokens: Column, levels: list[str]) -> Column:
+    """The sorted distinct numbers of the levels of a list, in an Arrow function (a lambda would scan the levels for each token); NULL for NULL."""
+    known, other = pa.array(levels, pa.string()), len(levels)
+
+    @F.arrow_udf("array<int>")
+    def lookup(ts: pa.Array) -> pa.Array:
+        lens = pc.fill_null(pc.list_value_length(ts), 0).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(pc.index_in(ts.flatten(), value_set=known), other).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(lens)), lens)
+        order = np.lexsort((at, owner))
+        owner, at = owner[order], at[order]
+        first = np.ones(len(at), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1])
+        offs = np.append(0, np.cumsum(np.bincount(owner[first], minlength=len(lens))))
+        return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(at[first], pa.int32()), mask=pc.is_null(ts))
+
+    return lookup(tokens)
 
 
 class CategoryEncoder(Estimator, _Columns, DefaultParamsWritable, DefaultParamsReadable):
@@ -127,12 +190,11 @@ class CategoryEncoder(Estimator, _Columns, DefaultParamsWritable, DefaultParamsR
         ins = self.getInputCols()
         cells = F.array(*[F.struct(F.lit(i).alias("col"), F.col(f"`{c}`").cast("string").alias("level")) for i, c in enumerate(ins)])
         counts = df.select(F.inline(cells)).where("level IS NOT NULL").groupBy("col", "level").count()
-        levels = ordered_levels(counts, self.getOrDefault("stringOrderType"), self.getOrDefault("categoriesReserved"))
-        levels += [[] for _ in range(len(ins) - len(levels))]
-        return self._copyValues(CategoryEncoderModel()._set(content=json.dumps(levels)))
+        ranked = ordered_levels(counts, self.getOrDefault("stringOrderType"), self.getOrDefault("categoriesReserved"))
+        return self._copyValues(CategoryEncoderModel()._set(content=_Levels.fitted(ranked, len(ins))))
 
 
-class CategoryEncoderModel(Model, _Columns, _WithData):
+class CategoryEncoderModel(Model, _Columns, _Levels):
     indexOnly, handleInvalid = CategoryEncoder.indexOnly, CategoryEncoder.handleInvalid
     stringOrderType, categoriesReserved = CategoryEncoder.stringOrderType, CategoryEncoder.categoriesReserved
 
@@ -140,19 +202,15 @@ class CategoryEncoderModel(Model, _Columns, _WithData):
         super().__init__()
         self._setDefault(indexOnly=True, handleInvalid="keep", stringOrderType="frequencyDesc", dropInputCols=False, categoriesReserved=0)
 
-    @property
-    def labels(self) -> list[list[str]]:
-        return self._data()
-
     def _transform(self, df: DataFrame) -> DataFrame:
         self._check(df.schema, (T.NumericType, T.StringType, T.BooleanType))
-        new = []
-        for c, levels in zip(self.getInputCols(), self.labels, strict=True):
-            at = _index_of(F.col(f"`{c}`").cast("string"), levels)
+        ins, new, own = self.getInputCols(), [], df.columns
+        wide, found = self._indexed(df, [F.col(f"`{c}`").cast("string") for c in ins])
+        for c, at, n in zip(ins, found, self._sizes(), strict=True):
             if self.getOrDefault("handleInvalid") == "error":
-                at = F.when(at < len(levels), at).otherwise(F.raise_error(F.concat(F.lit(f"column {c} has a level that wasn't fitted: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")))).cast("int"))
-            new.append(at.cast("int") if self.getOrDefault("indexOnly") else array_to_vector(_one_hot(at, len(levels) + 1)))
-        return self._append(df, new)
+                at = F.when(at < n, at).otherwise(F.raise_error(F.concat(F.lit(f"column {c} has a level that wasn't fitted: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")))).cast("int"))
+            new.append(at.cast("int") if self.getOrDefault("indexOnly") else one_hot(at, n + 1))
+        return self._append(wide, new, own)
 
 
 def once(c: Column, use: Callable[[Column], Column]) -> Column:
@@ -189,41 +247,48 @@ class MultiCategoryEncoder(Estimator, _Columns, DefaultParamsWritable, DefaultPa
         ins = self.getInputCols()
         cells = F.array(*[F.struct(F.lit(i).alias("col"), split_tokens(F.col(f"`{c}`"), self.getOrDefault("delimiter")).alias("t")) for i, c in enumerate(ins)])
         counts = df.select(F.inline(cells)).select("col", F.explode("t").alias("level")).groupBy("col", "level").count()
-        levels = ordered_levels(counts, "frequencyDesc", self.getOrDefault("categoriesReserved"))
-        levels += [[] for _ in range(len(ins) - len(levels))]
-        return self._copyValues(MultiCategoryEncoderModel()._set(content=json.dumps(levels)))
+        ranked = ordered_levels(counts, "frequencyDesc", self.getOrDefault("categoriesReserved"))
+        return self._copyValues(MultiCategoryEncoderModel()._set(content=_Levels.fitted(ranked, len(ins))))
 
 
-class MultiCategoryEncoderModel(Model, _Columns, _WithData):
+class MultiCategoryEncoderModel(Model, _Columns, _Levels):
     delimiter, indexOnly, outputSparse, categoriesReserved = MultiCategoryEncoder.delimiter, MultiCategoryEncoder.indexOnly, MultiCategoryEncoder.outputSparse, MultiCategoryEncoder.categoriesReserved
 
     def __init__(self) -> None:
         super().__init__()
         self._setDefault(delimiter=",", indexOnly=True, outputSparse=True, dropInputCols=False, categoriesReserved=0)
 
-    @property
-    def labels(self) -> list[list[str]]:
-        return self._data()
+    def _indices(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
+        """`df` with what the lookups need, and per input column array<int> of the sorted distinct indices.
 
-    def index_arrays(self) -> list[Column]:
-        """array<int> of the sorted distinct indices per input column."""
-        out = []
-        for c, levels in zip(self.getInputCols(), self.labels, strict=True):
+        Lists in the model are looked up by an Arrow function; tables, which may be large, by a join on the single tokens.
+        """
+        got, out = self._data(), []
+        for i, (c, n) in enumerate(zip(self.getInputCols(), self._sizes(), strict=True)):
             tokens = split_tokens(F.col(f"`{c}`"), self.getOrDefault("delimiter"))
-            out.append(F.array_sort(F.array_distinct(_indices_of(tokens, levels))))
-        return out
+            if isinstance(got, list):
+                out.append(_indices_of(tokens, got[i]))
+                continue
+            # rows are numbered and kept, so that the tokens' indices find back to them
+            df = cut(df.withColumn(f"__row{i}", F.monotonically_increasing_id()))
+            single = df.select(F.col(f"__row{i}").alias("__r"), F.explode(tokens).alias("__t"))
+            found = single.join(self._level_table(df.sparkSession, i), F.col("__t") == F.col("level"), "left")
+            lists = found.groupBy("__r").agg(F.array_sort(F.collect_set(F.coalesce("idx", F.lit(n)))).alias(f"__set{i}"))
+            df = df.join(lists, F.col(f"__row{i}") == F.col("__r"), "left").drop("__r")
+            out.append(F.when(F.col(f"`{c}`").isNotNull(), F.coalesce(f"__set{i}", F.array().cast("array<int>"))))
+        return df, out
 
     def _transform(self, df: DataFrame) -> DataFrame:
         self._check(df.schema, (T.StringType,))
-        new = []
-        for idx, levels in zip(self.index_arrays(), self.labels, strict=True):
+        own, new = df.columns, []
+        wide, found = self._indices(df)
+        for idx, n in zip(found, self._sizes(), strict=True):
             if self.getOrDefault("indexOnly"):
                 new.append(_vector(idx.cast("array<double>")))
                 continue
-            n = len(levels) + 1
-            dense = _multi_hot(idx, n)
-            new.append(_to_sparse(dense) if self.getOrDefault("outputSparse") else _vector(dense))
-        return self._append(df, new)
+            hot = multi_hot(idx, n + 1)
+            new.append(hot if self.getOrDefault("outputSparse") else _dense(hot))
+        return self._append(wide, new, own)
 
 
 def _vector(a: Column) -> Column:
@@ -231,25 +296,9 @@ def _vector(a: Column) -> Column:
     return F.when(a.isNotNull(), array_to_vector(F.coalesce(a, F.array().cast("array<double>"))))
 
 
-def _multi_hot(idx: Column, n: int) -> Column:
-    def hot(a: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.array_contains(a, i), 1.0).otherwise(0.0))
-
-    return F.when(idx.isNotNull(), once(idx, hot))
-
-
-_SPARSE = T.StructType([T.StructField("v", VectorUDT(), True)])
-
-
-def _to_sparse(dense: Column) -> Column:
-    """The same vector in sparse form; NULL stays NULL. Spark has no built-in for it, but its JSON reader makes vectors, without Python."""
-
-    def sparse(a: Column) -> Column:
-        at = F.filter(F.transform(a, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
-        parts = F.struct(F.lit(0).alias("type"), F.size(a).alias("size"), at.alias("indices"), F.transform(at, lambda i: F.get(a, i)).alias("values"))
-        return F.to_json(F.struct(parts.alias("v")))
-
-    return F.when(dense.isNotNull(), F.from_json(once(dense, sparse), _SPARSE)["v"])
+def _dense(v: Column) -> Column:
+    """The same vector in dense form."""
+    return _vector(F.when(v.isNotNull(), vector_to_array(v)))
 
 
 def clean_splits(quantiles: list[float]) -> list[float]:
@@ -262,10 +311,15 @@ def bucket_index(value: Column, splits: list[float], null_as_zero: bool = False)
     """Left-closed buckets, the last one closed; NaN, and NULL unless null_as_zero, get the index after the last bucket."""
     x = F.coalesce(value.cast("double"), F.lit(0.0 if null_as_zero else float("nan")))
     inner = [float(s) for s in splits[1:-1]]
-    at = F.lit(0)
-    for s in inner:
-        at = at + F.when(x >= s, 1).otherwise(0)
-    return F.when(F.isnan(x), len(splits) - 1).otherwise(at).cast("int")
+
+    def search(lo: int, hi: int) -> Column:
+        """Halves the borders, so a value is compared with a logarithm of them."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x >= inner[mid], search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return F.when(F.isnan(x), len(splits) - 1).otherwise(search(0, len(inner))).cast("int")
 
 
 class NumericBucketer(Estimator, _Columns, DefaultParamsWritable, DefaultParamsReadable):
@@ -319,8 +373,8 @@ class NumericBucketerModel(Model, _Columns, _WithData):
             if self.getOrDefault("indexOnly"):
                 new.append(at)
             else:
-                hot = _one_hot(at, len(s))
-                new.append(_to_sparse(hot) if self.getOrDefault("outputSparse") else array_to_vector(hot))
+                hot = one_hot(at, len(s))
+                new.append(hot if self.getOrDefault("outputSparse") else _dense(hot))
         return self._append(df, new)
 
 

@@ -12,10 +12,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.models.scope import _add_up, _array, _matrix, _sums
+from grainmill.functions.vectors import rows_of
+from grainmill.models.scope import _add_up, _sums, n_features, sample_rows
 from grainmill.schema import EngineError
 
 # Hidden activations; the ones WithDropout drop units while training.
@@ -61,6 +63,14 @@ def layers(flat: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
     return out
 
 
+def _dense_rows(x: pa.Array, width: int) -> np.ndarray:
+    """A batch of rows as a dense matrix: a layer is a matrix product anyway."""
+    rows = rows_of(x, width)
+    out = np.zeros((len(rows), width))
+    out[rows.owner, rows.idx] = rows.val
+    return out
+
+
 @dataclass
 class Network:
     """Classifier over a vector or array column; labels are 0 .. n_classes - 1, or numbers with n_classes = 0 (squared loss)."""
@@ -127,12 +137,9 @@ class Network:
     def fit(self, df: DataFrame) -> NetworkModel:
         if self.activation not in ACTIVATIONS:
             raise EngineError(f"activation is one of {ACTIVATIONS}")
-        rows = df.select(F.col(self.label).cast("double").alias("y"), _array(df, self.features).alias("x")).where("y IS NOT NULL AND x IS NOT NULL").persist()
+        rows = sample_rows(df, self.features, self.label).persist()
         try:
-            first = rows.select(F.size("x")).first()
-            if first is None:
-                raise EngineError("no rows to train on")
-            sizes = [first[0], *self.hidden, self.n_classes or 1]
+            sizes = [n_features(rows), *self.hidden, self.n_classes or 1]
             flat, history = initial(sizes, self.seed), []
             for epoch in range(self.epochs):
                 flat, loss = self._epoch(rows, flat, sizes, epoch)
@@ -149,7 +156,7 @@ class Network:
             w, n, loss, t = start.copy(), 0, 0.0, 0
             g2, d2, v = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
             for b in batches:
-                x, y = _matrix(b, sizes[0])
+                x, y = _dense_rows(b.column("x"), sizes[0]), b.column("y").to_numpy(zero_copy_only=False)
                 order = rng.permutation(len(y))
                 for lo in range(0, len(y), self.batch):
                     at = order[lo : lo + self.batch]
@@ -184,20 +191,17 @@ class NetworkModel:
         """`df` with scores (class probabilities, or one number) and prediction."""
         spec, sizes, flat = self.spec, self.sizes, self.flat
 
-        @F.pandas_udf("array<double>")
-        def score(x):  # noqa: ANN001, ANN202
-            import pandas as pd
-
-            out = [None] * len(x)
-            ok = [i for i, v in enumerate(x) if v is not None]
-            if ok:
-                p = spec._forward(np.stack([x.iloc[i] for i in ok]), layers(flat, sizes), None)[2]
-                for i, row in zip(ok, p, strict=True):
-                    out[i] = row.tolist()
-            return pd.Series(out)
+        @F.arrow_udf("array<double>")
+        def score(v: pa.Array) -> pa.Array:
+            valid = v.is_valid().to_numpy(zero_copy_only=False)
+            p = spec._forward(_dense_rows(v.filter(pa.array(valid)), sizes[0]), layers(flat, sizes), None)[2]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
+            return lists.take(pa.array(np.cumsum(valid) - 1, mask=~valid))
 
+        t = df.schema[spec.features].dataType
+        x = F.col(spec.features) if isinstance(t, VectorUDT) else F.col(spec.features).cast("array<double>")
         best: Column = (F.array_position("scores", F.array_max("scores")) - 1).cast("double") if spec.n_classes else F.get("scores", 0)
-        return df.withColumn("scores", score(_array(df, spec.features))).withColumn("prediction", best)
+        return df.withColumn("scores", score(x)).withColumn("prediction", best)
 
     def save(self) -> str:
         return json.dumps({"spec": vars(self.spec), "sizes": self.sizes, "flat": self.flat.tolist(), "loss": self.loss_history})

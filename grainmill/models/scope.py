@@ -1,9 +1,11 @@
 """Linear models by variance-reduced local steps (SCOPE): logistic, hinge and positive-unlabelled; softmax; one against the rest.
 
 Each outer iteration computes the full gradient at the current weights, lets every partition make local steps with the
-gradient correction on samples it draws itself, and averages the partitions' weights. Local weights are kept as a w + b g,
-so a step on a sparse row costs its non-zeros only. A partition streams its rows in Arrow batches, which are its sample
-pool; only weights travel: to the tasks with the plan, back as partial sums that executors add up before the driver sees them.
+gradient correction on samples it draws itself, and averages the partitions' weights. Rows are sparse throughout: a local
+step takes a small block of drawn rows and touches the columns of these rows only. The other change, a decay and a multiple
+of the full gradient, is kept as two numbers until the end. A partition streams its rows in Arrow batches, which are its
+sample pool. Weights are a dense array on the driver - classes x features doubles, 8 MB for a million features - and are
+broadcast; they come back as sums of their changed entries that executors add up first.
 """
 
 from __future__ import annotations
@@ -25,57 +27,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions import losses as L
+from grainmill.functions.vectors import Rows, rows_of
 from grainmill.schema import EngineError
 
 _P = Params._dummy()
+#: Rows of a local step at most, and features up to which margins are an expression of the plan (beyond, weights are broadcast).
+BLOCK_ROWS, PLAN_FEATURES = 256, 256
 
 
 def restart_every(reg: float, step: float) -> int:
-    """Local steps after which a w + b g is folded into w, so that a doesn't vanish."""
+    """Local steps after which decay and gradient are folded into the weights, so that the decay doesn't vanish."""
     return 10**8 if reg == 0 or reg * step >= 1 else round(-4 / math.log10(1 - reg * step))
 
 
-def _array(df: DataFrame, features: str) -> Column:
+def sample_rows(df: DataFrame, features: str, label: str) -> DataFrame:
+    """(y, x): rows with a label and features; x stays the vector or array it is."""
     t = df.schema[features].dataType
-    return vector_to_array(F.col(features)) if isinstance(t, VectorUDT) else F.col(features).cast("array<double>")
+    x = F.col(features) if isinstance(t, VectorUDT) else F.col(features).cast("array<double>")
+    return df.select(F.col(label).cast("double").alias("y"), x.alias("x")).where("y IS NOT NULL AND x IS NOT NULL")
 
 
-def _matrix(b: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
-    x = b.column("x")
-    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, d), b.column("y").to_numpy(zero_copy_only=False)
+def n_features(rows: DataFrame) -> int:
+    """Features of the first row; the others must not have more."""
+    first = rows.select("x").first()
+    if first is None:
+        raise EngineError("no rows to train on")
+    return len(first[0]) if isinstance(first[0], list) else first[0].size
+
 
+def _read(b: pa.RecordBatch, d: int) -> tuple[Rows, np.ndarray]:
+    return rows_of(b.column("x"), d), b.column("y").to_numpy(zero_copy_only=False)
 
-class _Kernel:
+
+class Kernel:
     """Margins, losses and gradient factors for weights of shape (width, d + 1), the last column being the intercept."""
 
     def __init__(self, loss: L.Loss | L.MultiLoss, width: int, intercept: bool) -> None:
         self.loss, self.width, self.intercept = loss, width, intercept
 
-    def margins(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        m = x @ w[:, :-1].T + (w[:, -1] if self.intercept else 0.0)
-        return m if isinstance(self.loss, L.MultiLoss) else m[:, 0]
+    def margins(self, x: Rows, w: np.ndarray) -> np.ndarray:
+        return x.dot(w[:, :-1]) + (w[:, -1] if self.intercept else 0.0)
 
-    def factors(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        loss, f = self.loss.kernel(self.margins(x, w), y)
+    def factors(self, m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Losses, and factors of shape (rows, width), from margins of the same shape."""
+        loss, f = self.loss.kernel(m if isinstance(self.loss, L.MultiLoss) else m[:, 0], y)
         return loss, f if f.ndim == 2 else f[:, None]
 
+    def add(self, x: Rows, factors: np.ndarray, w: np.ndarray) -> None:
+        """Adds the rows times their factors to w."""
+        x.add_to(w[:, :-1], factors)
+        if self.intercept:
+            w[:, -1] += factors.sum(axis=0)
+
 
-def full_gradient(rows: DataFrame, w: np.ndarray, kernel: _Kernel) -> tuple[np.ndarray, float, int]:
-    """Mean gradient (width, d + 1), mean loss and number of rows. One row of sums a task; executors add them before the driver does."""
-    d = w.shape[1] - 1
+def full_gradient(rows: DataFrame, w: np.ndarray, kernel: Kernel) -> tuple[np.ndarray, float, int]:
+    """Mean gradient (width, d + 1), mean loss and number of rows. A task sends the sums of touched weights; executors add them before the driver does."""
+    shared = rows.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, loss, n = np.zeros_like(w), 0.0, 0
+        now = shared.value
+        g, loss, n = np.zeros_like(now), 0.0, 0
         for b in batches:
-            x, y = _matrix(b, d)
-            one, f = kernel.factors(x, y, w)
-            g[:, :-1] += f.T @ x
-            g[:, -1] += f.sum(axis=0) if kernel.intercept else 0.0
+            x, y = _read(b, now.shape[1] - 1)
+            one, f = kernel.factors(kernel.margins(x, now), y)
+            kernel.add(x, f, g)
             loss, n = loss + float(one.sum()), n + len(y)
         if n:
             yield _sums(np.concatenate([g.ravel(), [loss, n]]))
 
     total = _add_up(rows.mapInArrow(run, "i int, v double"), w.size + 2)
+    shared.destroy()
     n = int(total[-1])
     if not n:
         raise EngineError("no rows to train on")
@@ -83,44 +104,47 @@ def full_gradient(rows: DataFrame, w: np.ndarray, kernel: _Kernel) -> tuple[np.n
 
 
 def _sums(v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["i", "v"])
+    at = np.flatnonzero(v)
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(v[at])], names=["i", "v"])
 
 
 def _add_up(parts: DataFrame, size: int) -> np.ndarray:
     out = np.zeros(size)
-    got = parts.groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # one row a weight
+    got = parts.groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # at most one row a weight
     out[got.column("i").to_numpy()] = got.column("v").to_numpy()
     return out
 
 
-def local_steps(x: np.ndarray, y: np.ndarray, w0: np.ndarray, g0: np.ndarray, w: np.ndarray, kernel: _Kernel, step: float, reg: float, rng: np.random.Generator, every: int) -> np.ndarray:
-    """As many variance-reduced steps as rows. The current weights are a v + b g0; `v` only changes where a row isn't zero."""
-    v, a, b, done = w.copy(), 1.0, 0.0, 0
-    base = kernel.factors(x, y, w0)[1]
-    multi = isinstance(kernel.loss, L.MultiLoss)
-    nz = [np.flatnonzero(r) for r in x]
-    for i in rng.integers(0, len(y), len(y)):
-        at = nz[i]
-        xi = x[i, at]
-        m = a * (v[:, at] @ xi) + b * (g0[:, at] @ xi)
-        if kernel.intercept:
-            m = m + a * v[:, -1] + b * g0[:, -1]
-        f = kernel.loss.kernel(m[None, :] if multi else m, y[i : i + 1])[1]
-        diff = (f[0] if multi else f) - base[i]
-        shrink = 1 - reg * step
-        b = shrink * b - step
-        a *= shrink
-        z = step * diff / a
-        v[:, at] -= z[:, None] * xi
-        if kernel.intercept:
-            v[:, -1] -= z
-        done += 1
-        if done % every == 0:
-            v, a, b = a * v + b * g0, 1.0, 0.0
-    return a * v + b * g0
-
-
-def train(rows: DataFrame, width: int, d: int, kernel: _Kernel, step: float, reg: float, iterations: int, seed: int, every: int, w: np.ndarray | None = None, tol: float = 0.0) -> tuple[np.ndarray, list[float]]:
+def block_rows(x: Rows, step: float) -> int:
+    """Rows of a block: so many that their steps together stay below the inverse of the mean squared length of a row."""
+    length = float((x.val**2).sum()) / max(1, len(x)) + 1.0
+    return int(np.clip(1 / (step * length), 1, BLOCK_ROWS))
+
+
+def local_steps(x: Rows, y: np.ndarray, anchor: np.ndarray, gradient: np.ndarray, start: np.ndarray, kernel: Kernel, step: float, reg: float, rng: np.random.Generator, every: int) -> np.ndarray:
+    """The weights after as many variance-reduced steps as rows, in blocks of drawn rows.
+
+    A block moves the weights by its factors at the present weights less those at `anchor`, and, a step a row, by the full
+    gradient there and the decay. Weights are `decay * moved + drift * gradient`, so only the first part costs memory traffic.
+    """
+    moved, decay, drift, since = start.copy(), 1.0, 0.0, 0
+    at_anchor = kernel.factors(kernel.margins(x, anchor), y)[1]
+    drawn, size, keep = rng.integers(0, len(y), len(y)), block_rows(x, step), 1 - reg * step
+    for block in np.split(drawn, np.arange(size, len(drawn), size)):
+        part, n = x.take(block), len(block)
+        m = decay * kernel.margins(part, moved) + drift * kernel.margins(part, gradient)
+        change = kernel.factors(m, y[block])[1] - at_anchor[block]
+        shrunk = keep**n
+        drift = shrunk * drift - (step * n if reg == 0 else (1 - shrunk) / reg)
+        decay *= shrunk
+        kernel.add(part, -step / decay * change, moved)
+        since += n
+        if since >= every:
+            moved, decay, drift, since = decay * moved + drift * gradient, 1.0, 0.0, 0
+    return decay * moved + drift * gradient
+
+
+def train(rows: DataFrame, width: int, d: int, kernel: Kernel, step: float, reg: float, iterations: int, seed: int, every: int, w: np.ndarray | None = None, tol: float = 0.0) -> tuple[np.ndarray, list[float]]:
     """Weights (width, d + 1) and the mean loss before each outer iteration. `tol` > 0 ends early when the loss stalls."""
     w = np.zeros((width, d + 1)) if w is None else w
     history: list[float] = []
@@ -129,24 +153,24 @@ def train(rows: DataFrame, width: int, d: int, kernel: _Kernel, step: float, reg
         history.append(loss)
         if tol and len(history) > 1 and abs(history[-2] - loss) < tol * max(1.0, abs(loss)):
             break
-        now = w
+        shared = rows.sparkSession.sparkContext.broadcast((w, g))
 
-        def run(batches: Iterator[pa.RecordBatch], it: int = it, now: np.ndarray = now, g: np.ndarray = g) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], it: int = it, shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             from pyspark import TaskContext
 
-            part = TaskContext.get().partitionId()
+            part, (now, full) = TaskContext.get().partitionId(), shared.value
             own, n = now, 0
             for k, b in enumerate(batches):
-                x, y = _matrix(b, d)
+                x, y = _read(b, d)
                 if len(y):
-                    rng = np.random.default_rng([seed, it, part, k])
-                    own = local_steps(x, y, now, g, own, kernel, step, reg, rng, every)
+                    own = local_steps(x, y, now, full, own, kernel, step, reg, np.random.default_rng([seed, it, part, k]), every)
                     n += len(y)
             if n:
-                yield _sums(np.append(own.ravel(), 1.0))
+                yield _sums(np.append((own - now).ravel(), 1.0))
 
         total = _add_up(rows.mapInArrow(run, "i int, v double"), w.size + 1)
-        w = total[:-1].reshape(w.shape) / total[-1]
+        shared.destroy()
+        w = w + total[:-1].reshape(w.shape) / total[-1]
     return w, history
 
 
@@ -179,7 +203,7 @@ class _Scope(Estimator, _ScopeParams, DefaultParamsWritable, DefaultParamsReadab
         if self.getOrDefault("lossFunc") not in self._losses:
             raise EngineError(f"lossFunc is one of {self._losses}")
 
-    def _kernel(self, rows: DataFrame) -> _Kernel:
+    def _kernel(self, rows: DataFrame) -> Kernel:
         raise NotImplementedError
 
     def _model(self) -> _ScopeModel:
@@ -189,27 +213,25 @@ class _Scope(Estimator, _ScopeParams, DefaultParamsWritable, DefaultParamsReadab
         return self.fit_from(df, None)
 
     def fit_from(self, df: DataFrame, weights: np.ndarray | None) -> Model:
-        rows = df.select(F.col(self.getLabelCol()).cast("double").alias("y"), _array(df, self.getFeaturesCol()).alias("x")).where("y IS NOT NULL AND x IS NOT NULL")
+        rows = sample_rows(df, self.getFeaturesCol(), self.getLabelCol())
         if self.getOrDefault("numPartitions") > 0:
             rows = rows.repartition(self.getOrDefault("numPartitions"))
         rows = rows.persist()
         try:
-            first = rows.select(F.size("x")).first()
-            if first is None:
-                raise EngineError("no rows to train on")
+            d = n_features(rows)
             kernel = self._kernel(rows)
             step, reg = self.getOrDefault("stepSize"), self.getOrDefault("regParam")
             every = self.getOrDefault("restartFrequency") or restart_every(reg, step)
-            w, history = train(rows, kernel.width, first[0], kernel, step, reg, self.getOrDefault("maxIter"), self.getOrDefault("seed"), every, weights, self.getOrDefault("tol"))
+            w, history = train(rows, kernel.width, d, kernel, step, reg, self.getOrDefault("maxIter"), self.getOrDefault("seed"), every, weights, self.getOrDefault("tol"))
         finally:
             rows.unpersist()
-        model = self._copyValues(self._model()._set(content=json.dumps(w.tolist())))
+        model = self._copyValues(self._model()._set(content=weights_text(w)))
         model.loss_history = history
         return model
 
 
 class _ScopeModel(Model, _ScopeParams, DefaultParamsWritable, DefaultParamsReadable):
-    """Weights as JSON with the metadata, so that saving and loading need no further files."""
+    """Weights as JSON with the metadata, so that saving and loading need no further files: rows of numbers, or shape and entries that aren't 0."""
 
     lossFunc = _ScopeParams.lossFunc
     content = Param(_P, "content", "weights", typeConverter=TypeConverters.toString)
@@ -221,7 +243,12 @@ class _ScopeModel(Model, _ScopeParams, DefaultParamsWritable, DefaultParamsReada
 
     @property
     def weights(self) -> np.ndarray:
-        return np.array(json.loads(self.getOrDefault("content")))
+        got = json.loads(self.getOrDefault("content"))
+        if isinstance(got, list):
+            return np.array(got)
+        out = np.zeros(got["shape"])
+        out.ravel()[got["at"]] = got["values"]
+        return out
 
     @property
     def coefficients(self) -> np.ndarray:
@@ -232,9 +259,28 @@ class _ScopeModel(Model, _ScopeParams, DefaultParamsWritable, DefaultParamsReada
         return self.weights[:, -1]
 
     def margins(self, df: DataFrame) -> Column:
-        """array<double> of the margins, without Python."""
-        x, w = _array(df, self.getFeaturesCol()), self.weights
-        return F.array(*[L.dot(x, r[:-1].tolist()) + F.lit(float(r[-1])) for r in w])
+        """array<double> of the margins: in the plan for few features, else by an Arrow function over sparse rows with the weights broadcast."""
+        w, t, x = self.weights, df.schema[self.getFeaturesCol()].dataType, F.col(self.getFeaturesCol())
+        if w.shape[1] - 1 <= PLAN_FEATURES:
+            a = vector_to_array(x) if isinstance(t, VectorUDT) else x.cast("array<double>")
+            return F.array(*[L.dot(a, r[:-1].tolist()) + F.lit(float(r[-1])) for r in w])
+        shared = df.sparkSession.sparkContext.broadcast(w)
+
+        @F.arrow_udf("array<double>")
+        def score(v: pa.Array) -> pa.Array:
+            own = shared.value
+            valid = v.is_valid()
+            m = rows_of(v.filter(valid), own.shape[1] - 1).dot(own[:, :-1]) + own[:, -1]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel()))
+            place = np.cumsum(valid.to_numpy(zero_copy_only=False)) - 1
+            return lists.take(pa.array(place, mask=~valid.to_numpy(zero_copy_only=False)))
+
+        return score(x if isinstance(t, VectorUDT) else x.cast("array<double>"))
+
+
+def weights_text(w: np.ndarray) -> str:
+    at = np.flatnonzero(w)
+    return json.dumps(w.tolist() if w.size < 10_000 else {"shape": list(w.shape), "at": at.tolist(), "values": w.ravel()[at].tolist()})
 
 
 class LinearScope(_Scope):
@@ -247,14 +293,14 @@ class LinearScope(_Scope):
         super().__init__()
         self._init(self._input_kwargs)
 
-    def _kernel(self, rows: DataFrame) -> _Kernel:
+    def _kernel(self, rows: DataFrame) -> Kernel:
         kind, weight = self.getOrDefault("lossFunc"), self.getOrDefault("posWeight")
         if kind == "UPULR":
             ratio = rows.agg(F.avg((F.col("y") > 0.5).cast("double"))).head()[0]
             loss = L.upu_logit(weight, ratio)
         else:
             loss = {"LR": L.logit, "SVM": L.hinge, "SSVM": L.smooth_hinge}[kind](weight)
-        return _Kernel(loss, 1, self.getOrDefault("fitIntercept"))
+        return Kernel(loss, 1, self.getOrDefault("fitIntercept"))
 
     def _model(self) -> LinearScopeModel:
         return LinearScopeModel()
@@ -278,8 +324,8 @@ class MultiLinearScope(_Scope):
         super().__init__()
         self._init(self._input_kwargs)
 
-    def _kernel(self, rows: DataFrame) -> _Kernel:
-        return _Kernel(L.multi_logit(), self.getOrDefault("numClasses") - 1, self.getOrDefault("fitIntercept"))
+    def _kernel(self, rows: DataFrame) -> Kernel:
+        return Kernel(L.multi_logit(), self.getOrDefault("numClasses") - 1, self.getOrDefault("fitIntercept"))
 
     def _model(self) -> MultiLinearScopeModel:
         return MultiLinearScopeModel()
@@ -315,9 +361,9 @@ class OVRLinearScope(_Scope):
         super().__init__()
         self._init(self._input_kwargs)
 
-    def _kernel(self, rows: DataFrame) -> _Kernel:
+    def _kernel(self, rows: DataFrame) -> Kernel:
         loss = L.multi_hinge() if self.getOrDefault("lossFunc") == "SVM" else L.multi_smooth_hinge()
-        return _Kernel(loss, self.getOrDefault("numClasses"), self.getOrDefault("fitIntercept"))
+        return Kernel(loss, self.getOrDefault("numClasses"), self.getOrDefault("fitIntercept"))
 
     def _model(self) -> OVRLinearScopeModel:
         return OVRLinearScopeModel()

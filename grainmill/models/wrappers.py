@@ -52,11 +52,11 @@ class _Dense:
             raise EngineError("features are numbers or strings")
         return cats, nums
 
-    def _prepare(self, df: DataFrame, labelled: bool = True) -> DataFrame:
+    def _prepare(self, df: DataFrame, labelled: bool = True, keep: list[str] = ()) -> DataFrame:
         y = [F.col(self.label).cast("double" if self.family == "gaussian" else "string").alias("__y")] if labelled else []
         x = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))  # noqa: E731 - NaN and infinities count as missing
         level = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", NO_LEVEL).otherwise(F.col(c))
-        out = df.select(*[(x if isinstance(df.schema[c].dataType, T.NumericType) else level)(c).alias(c) for c in self.features], *y)
+        out = df.select(*[(x if isinstance(df.schema[c].dataType, T.NumericType) else level)(c).alias(c) for c in self.features], *y, *[F.col(c).alias(f"__k_{c}") for c in keep])
         out = out.where("__y IS NOT NULL") if labelled else out
         return out.na.drop(subset=self._check(df)[1]) if self.missing == "Skip" else out
 
@@ -117,17 +117,19 @@ class DenseModel:
     spec: _Dense | None = None
     validation_metric: float | None = None
 
-    def _scored(self, df: DataFrame, labelled: bool = True) -> DataFrame:
+    def _scored(self, df: DataFrame, labelled: bool = True, keep: list[str] = ()) -> DataFrame:
         if self.spec is None:
-            return self.pipeline.transform(df)
+            return self.pipeline.transform(df.select("*", *[F.col(c).alias(f"__k_{c}") for c in keep]))
         of_label = lambda s: s.__class__.__name__ == "StringIndexerModel" and s.isSet("inputCol") and s.getInputCol() == "__y"
         stages = [s for s in self.pipeline.stages if labelled or not of_label(s)]
-        return PipelineModel(stages=stages).transform(self.spec._prepare(df, labelled))
+        return PipelineModel(stages=stages).transform(self.spec._prepare(df, labelled, keep))
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = self._scored(df, labelled=False)
+    def transform(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
+        """predict and (but for gaussian) p0, p1, ...; `keep` are columns of `df` to carry along."""
+        out = self._scored(df, labelled=False, keep=keep)
+        kept = [F.col(f"__k_{c}").alias(c) for c in keep]
         if self.family == "gaussian":
-            return out.select(F.col("prediction").alias("predict"))
+            return out.select(*kept, F.col("prediction").alias("predict"))
         labels = [s for s in self.pipeline.stages if s.__class__.__name__ == "StringIndexerModel"][-1].labels
         name = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
         if "probability" in out.columns:
@@ -136,7 +138,7 @@ class DenseModel:
             raw = vector_to_array("rawPrediction")
             e = F.transform(raw, lambda x: 1 / (1 + F.exp(-x)))
             ps = F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
-        return out.select(name.alias("predict"), *[F.get(ps, i).alias(f"p{i}") for i in range(self.n_classes)])
+        return out.select(*kept, name.alias("predict"), *[F.get(ps, i).alias(f"p{i}") for i in range(self.n_classes)])
 
     def evaluate(self, df: DataFrame) -> float:
         """RMSE for gaussian, AUROC for two classes, accuracy for more."""

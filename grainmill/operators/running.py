@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grainmill.session import cut
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, str]) -> DataFrame:
     """`df` with, for each `name: column` of `sums`, the total of the column over all rows before this one in its key.
 
     A plain window would put a whole key into one task. Here the rows are range-partitioned by (keys, order), so a key may

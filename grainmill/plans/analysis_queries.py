@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.operators import ks, profile, ranking
-from grainmill.operators.running import exact_quantiles
+from grainmill.operators.running import exact_quantiles, running_total
 from grainmill.plans.common import CATS, DENSE, LABELLED, NUMS, dense, long_sql, r
 from grainmill.session import table
 from grainmill.sources.files import parse_sparse_lines
@@ -65,9 +65,19 @@ def profile_num_quantiles_exact(spark: SparkSession, d: str) -> DataFrame:
     return exact_quantiles(long, PS)
 
 
-@query()
+@query("SELECT feat_name, CAST(i AS INTEGER) AS percent, true AS within_bound FROM (SELECT unnest(['age', 'income', 'dwell_sec', 'bid']) AS feat_name), range(101) AS g(i)")
 def profile_num_quantiles_sketch(spark: SparkSession, d: str) -> DataFrame:
-    return profile.numeric_profile(dense(spark, d), NUMS).select("feat_name", "median_val", "quantile_array")
+    """Whether the exact ranks of each percentile's estimate are within the stated error."""
+    df = dense(spark, d)
+    est = profile.numeric_profile(df, NUMS).select(F.col("feat_name").alias("f"), F.posexplode("quantile_array").alias("percent", "q"))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feat_name"), profile.as_number(c).alias("v")) for c in NUMS]))).where("v IS NOT NULL")
+    counts = long.groupBy("feat_name", "v").agg(F.count(F.lit(1)).alias("c"))
+    ranks = running_total(counts, ["feat_name"], ["v"], {"before": "c"})
+    n = counts.groupBy(F.col("feat_name").alias("g")).agg(F.sum("c").alias("n"))
+    j = est.join(ranks, (F.col("f") == F.col("feat_name")) & (F.col("q") == F.col("v")), "left").join(n, F.col("f") == F.col("g"))
+    slack, at = profile.RELATIVE_ERROR * F.col("n") + 1, F.col("percent") / 100 * F.col("n")
+    within = (F.col("before") <= at + slack) & (F.col("before") + F.col("c") >= at - slack)
+    return j.select(F.col("f").alias("feat_name"), "percent", F.coalesce(within, F.lit(False)).alias("within_bound"))
 
 
 @query(_NUM_ALL + " SELECT feat_name, min(v) AS min_val, max(v) AS max_val FROM l GROUP BY 1")
@@ -127,9 +137,13 @@ def profile_label_kind(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c, profile.is_binary(df, c)) for c in ("label", "age")], "col_name string, is_binary boolean")
 
 
-@query()
+_CAT_COUNTS = f"WITH {LABELLED}, l AS ({long_sql(CATS, 'lab', 'y')}) SELECT feat_name, count(*) AS count_all, count(v) AS count_not_null FROM l GROUP BY 1"
+
+
+@query(f"SELECT feat_name, count_all, count_not_null, auc, mutual_information, category, n AS cnt, p AS positives FROM ({_CAT_COUNTS}) JOIN ({SQL['profile_cat_auc']}) USING (feat_name) JOIN ({SQL['profile_cat_mi']}) USING (feat_name) JOIN ({SQL['profile_cat_levels_label']}) USING (feat_name)")
 def profile_category_summary(spark: SparkSession, d: str) -> DataFrame:
-    return profile.category_profile(dense(spark, d), CATS, "label")
+    p = profile.category_profile(dense(spark, d), CATS, "label")
+    return p.select("feat_name", "count_all", "count_not_null", r("auc").alias("auc"), r("mutual_information").alias("mutual_information"), F.inline("concerned_categories")).withColumnRenamed("pos", "positives")
 
 
 # ---- sparse rows ---------------------------------------------------------------------------------------------------------
@@ -282,6 +296,7 @@ def group_ndcg_custom_gain(spark: SparkSession, d: str) -> DataFrame:
     return rep.select("feat_name", "metric", r("ndcg").alias("ndcg"))
 
 
-@query()
+@query(f"SELECT feat_name, pair_rate, metric, ndcg FROM ({SQL['group_reverse_pair_rate']}) JOIN ({SQL['group_ndcg']}) USING (feat_name)")
 def group_summary(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.fit_dense_grouped(_scores(spark, d), "label", "group_key", _FEATS, _KS_AT)
+    s = ranking.fit_dense_grouped(_scores(spark, d), "label", "group_key", _FEATS, _KS_AT)
+    return s.select("feat_name", r("pair_rate", 8).alias("pair_rate"), F.explode("ndcg").alias("metric", "v")).select("feat_name", "pair_rate", "metric", r("v").alias("ndcg"))

@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -440,71 +441,157 @@ def _emb(spark: SparkSession, d: str, classes: int = 2) -> DataFrame:
     return table(spark, d, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("label") % classes).cast("double").alias("label"))
 
 
-def _losses(spark: SparkSession, model: scope._ScopeModel) -> DataFrame:
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(model.loss_history)], "iteration int, loss double")
+def _grad_sql(factors: list[str], margins: list[int], classes: int) -> str:
+    """Full gradient at the fixed weights by class and feature: factors name the margins m0, m1, ... and the label y."""
+    ms = ", ".join(f"{_margin_sql(k)} AS m{k}" for k in margins)
+    parts = " UNION ALL ".join(f"SELECT {k} AS cls, x, {f} AS f FROM v" for k, f in enumerate(factors))
+    return f"""WITH v AS (SELECT embedding AS x, CAST(label % {classes} AS DOUBLE) AS y, {ms} FROM embeddings), f AS ({parts}),
+c AS (SELECT cls, unnest(range({_D + 1})) AS i, unnest(list_append(CAST(x AS DOUBLE[]), 1.0)) * f AS t FROM f)
+SELECT CAST(cls AS INTEGER) AS cls, CAST(i AS INTEGER) AS idx, round(avg(t), 6) + 0.0 AS g FROM c GROUP BY 1, 2"""
 
 
-@query()
+def _full_gradient(spark: SparkSession, d: str, loss: L.Loss | L.MultiLoss, ks: list[int], classes: int) -> DataFrame:
+    rows = scope.sample_rows(_emb(spark, d, classes), "features", "label")
+    g, _, _ = scope.full_gradient(rows, np.array([_fixed(k) for k in ks]), scope.Kernel(loss, len(ks), True))
+    return spark.createDataFrame([(k, i, round(float(x), 6) + 0.0) for k, row in enumerate(g) for i, x in enumerate(row)], "cls int, idx int, g double")
+
+
+@query(_grad_sql(["1 / (1 + exp(-m0)) - y"], [0], 2))
+def scope_gradient_logit(spark: SparkSession, d: str) -> DataFrame:
+    return _full_gradient(spark, d, L.logit(), [0], 2)
+
+
+@query(_grad_sql(["CASE WHEN y > 0.5 THEN 2.0 ELSE 1.0 END * CASE WHEN (2 * y - 1) * m0 < 1 THEN 1 - 2 * y ELSE 0.0 END"], [0], 2))
+def scope_gradient_hinge(spark: SparkSession, d: str) -> DataFrame:
+    return _full_gradient(spark, d, L.hinge(2.0), [0], 2)
+
+
+@query(_grad_sql([f"exp(m{k}) / (1 + exp(m0) + exp(m1)) - CASE WHEN y = {k + 1} THEN 1 ELSE 0 END" for k in range(2)], [0, 1], 3))
+def scope_gradient_softmax(spark: SparkSession, d: str) -> DataFrame:
+    return _full_gradient(spark, d, L.multi_logit(), [0, 1], 3)
+
+
+@query(_grad_sql([f"CASE WHEN y = {k} THEN CASE WHEN m{k} < 1 THEN -1.0 ELSE 0.0 END ELSE CASE WHEN m{k} > -1 THEN 1.0 ELSE 0.0 END END" for k in range(3)], [0, 1, 2], 3))
+def scope_gradient_ovr(spark: SparkSession, d: str) -> DataFrame:
+    return _full_gradient(spark, d, L.multi_hinge(), [0, 1, 2], 3)
+
+
+def _progress(spark: SparkSession, d: str, est: scope._Scope, classes: int = 2) -> DataFrame:
+    """Rows trained on, the loss at zero weights, whether training lowered it, and whether the model is as good as the most frequent class at least."""
+    df = _emb(spark, d, classes)
+    m = est.fit(df)
+    h = m.loss_history
+    got = wrappers.accuracy(m.transform(df), "prediction", "label").head()[0]
+    most = df.groupBy("label").count().agg(F.max("count") / F.sum("count")).head()[0]
+    return spark.createDataFrame([(df.count(), round(h[0], 6), h[-1] < h[0], got >= most)], "n bigint, first_loss double, lower boolean, as_good_as_majority boolean")
+
+
+def _progress_sql(loss: str, classes: int = 2) -> str:
+    return f"SELECT count(*) AS n, round(avg({loss}), 6) + 0.0 AS first_loss, true AS lower, true AS as_good_as_majority FROM (SELECT CAST(label % {classes} AS DOUBLE) AS y FROM embeddings)"
+
+
+@query(_progress_sql("ln(2.0)"))
 def scope_lr_train(spark: SparkSession, d: str) -> DataFrame:
-    return _losses(spark, scope.LinearScope(stepSize=0.1, maxIter=4).fit(_emb(spark, d)))
+    return _progress(spark, d, scope.LinearScope(stepSize=0.1, maxIter=4))
 
 
-@query()
+@query(_progress_sql("CASE WHEN y > 0.5 THEN 2.0 ELSE 1.0 END"))
 def scope_svm_train(spark: SparkSession, d: str) -> DataFrame:
-    return _losses(spark, scope.LinearScope(stepSize=0.05, maxIter=4, lossFunc="SVM", posWeight=2.0, regParam=0.01).fit(_emb(spark, d)))
+    return _progress(spark, d, scope.LinearScope(stepSize=0.05, maxIter=4, lossFunc="SVM", posWeight=2.0, regParam=0.01))
 
 
-@query()
+@query(_progress_sql("CASE WHEN y > 0.5 THEN 0.0 ELSE ln(2.0) / (1 - (SELECT avg(label % 2) FROM embeddings)) END"))
 def scope_upu_train(spark: SparkSession, d: str) -> DataFrame:
-    return _losses(spark, scope.LinearScope(stepSize=0.01, maxIter=3, lossFunc="UPULR", posWeight=0.5).fit(_emb(spark, d)))
+    return _progress(spark, d, scope.LinearScope(stepSize=0.01, maxIter=3, lossFunc="UPULR", posWeight=0.5))
 
 
-@query()
+@query(_progress_sql("ln(10.0)", 10))
 def softmax_train(spark: SparkSession, d: str) -> DataFrame:
-    return _losses(spark, scope.MultiLinearScope(stepSize=0.1, maxIter=4, numClasses=10).fit(_emb(spark, d, 10)))
+    return _progress(spark, d, scope.MultiLinearScope(stepSize=0.1, maxIter=4, numClasses=10), 10)
 
 
-@query()
+@query(_progress_sql("10.0", 10))
 def ovr_train(spark: SparkSession, d: str) -> DataFrame:
-    return _losses(spark, scope.OVRLinearScope(stepSize=0.05, maxIter=4, numClasses=10).fit(_emb(spark, d, 10)))
+    return _progress(spark, d, scope.OVRLinearScope(stepSize=0.05, maxIter=4, numClasses=10), 10)
 
 
-def _dense_model(spark: SparkSession, d: str, spec: wrappers._Dense) -> DataFrame:
-    """Fitted on the rows with a label, which in dense_samples is any spelling of 0 or 1; every row is scored."""
+def _any_spelling(spark: SparkSession, d: str) -> DataFrame:
+    """dense_samples with the label as 0 or 1 in any spelling, else NULL, and the label as a number."""
     y = F.col("label").try_cast("double")
-    df = dense(spark, d).withColumn("label", F.when(y == 0, "0").when(y == 1, "1")) if spec.label == "label" else table(spark, d, "lineitem")
-    return spec.fit(df).transform(df)
+    return dense(spark, d).withColumn("label", F.when(y == 0, "0").when(y == 1, "1")).withColumn("y", F.col("label").cast("double"))
 
 
-@query()
+_Y = f"WITH {DENSE}, s AS (SELECT os_name, CASE WHEN try_cast(label AS DOUBLE) IN (0, 1) THEN try_cast(label AS DOUBLE) END AS y FROM dense)"
+
+
+@query(_Y + " SELECT coalesce(os_name, '') AS os_name, count(*) AS n, count(y) AS trained, round(avg(y), 3) + 0.0 AS mean_p FROM s GROUP BY 1")
 def glm_fit(spark: SparkSession, d: str) -> DataFrame:
-    return _dense_model(spark, d, wrappers.Glm(["age", "income", "bid", "os_name"], "label", lam=0.01))
+    """At the maximum of the likelihood the mean probability of the trained rows of each level is the share of positives among them."""
+    df = _any_spelling(spark, d)
+    out = DENSE_MODELS["glm_fit"].fit(df).transform(df, ["os_name", "y"])
+    return out.groupBy(F.coalesce("os_name", F.lit("")).alias("os_name")).agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("trained"), r(F.avg(F.when(F.col("y").isNotNull(), F.col("p1"))), 3).alias("mean_p"))
 
 
-@query()
+@query("SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 2) + 0.0 AS mean_predict FROM lineitem GROUP BY 1")
 def glm_gaussian_fit(spark: SparkSession, d: str) -> DataFrame:
-    return _dense_model(spark, d, wrappers.Glm(["l_quantity", "l_discount", "l_returnflag"], "l_extendedprice", family="gaussian"))
+    """Least squares with an intercept and a term a level: the mean prediction of each level is its mean."""
+    df = table(spark, d, "lineitem")
+    out = wrappers.Glm(["l_quantity", "l_discount", "l_returnflag"], "l_extendedprice", family="gaussian").fit(df).transform(df, ["l_returnflag"])
+    return out.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), r(F.avg("predict"), 2).alias("mean_predict"))
 
 
-@query()
+@query("WITH c AS (SELECT covar_pop(l_quantity, l_extendedprice) AS c1, covar_pop(l_discount, l_extendedprice) AS c2, var_pop(l_quantity) AS v1, var_pop(l_discount) AS v2, covar_pop(l_quantity, l_discount) AS v12, avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_discount) AS m2 FROM lineitem), b AS (SELECT *, (v2 * c1 - v12 * c2) / (v1 * v2 - v12 * v12) AS b1, (v1 * c2 - v12 * c1) / (v1 * v2 - v12 * v12) AS b2 FROM c) SELECT l_orderkey, l_linenumber, round(my + b1 * (l_quantity - m1) + b2 * (l_discount - m2), 2) + 0.0 AS predict FROM lineitem, b")
+def glm_least_squares(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "lineitem")
+    out = wrappers.Glm(["l_quantity", "l_discount"], "l_extendedprice", family="gaussian").fit(df).transform(df, ["l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", r("predict", 2).alias("predict"))
+
+
+_FEATURES = ["age", "income", "bid", "os_name"]
+DENSE_MODELS = {
+    "glm_fit": wrappers.Glm(_FEATURES, "label"),
+    "gbm_fit": wrappers.Gbm(_FEATURES, "label", n_trees=20, max_depth=3),
+    "drf_fit": wrappers.Drf(_FEATURES, "label", n_trees=5, max_depth=5),
+    "mlp_fit": wrappers.Mlp(_FEATURES, "label", hidden=[8], epochs=5),
+}
+_FITTED = _Y + " SELECT count(*) AS n, count(*) AS n_probabilities, count(*) AS n_classes, true AS beats_base_rate FROM s"
+
+
+def _fitted(spark: SparkSession, d: str, spec: wrappers._Dense) -> DataFrame:
+    """Rows scored, with probabilities that add up to 1, with a class as prediction; whether the log loss is below that of the base rate."""
+    df = _any_spelling(spark, d)
+    out = spec.fit(df).transform(df, ["y"])
+    p, y = F.greatest(F.least("p1", F.lit(1 - 1e-9)), F.lit(1e-9)), F.col("y")
+    base = F.avg("y")
+    row = out.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum((F.col("p0").between(0, 1) & (F.abs(F.col("p0") + F.col("p1") - 1) < 1e-6)).cast("bigint")).alias("n_probabilities"),
+        F.sum(F.col("predict").isin("0", "1").cast("bigint")).alias("n_classes"),
+        (F.avg(-y * F.log(p) - (1 - y) * F.log(1 - p)) < -base * F.log(base) - (1 - base) * F.log(1 - base) + 1e-6).alias("beats_base_rate"),
+    )
+    return row
+
+
+@query(_FITTED)
 def gbm_fit(spark: SparkSession, d: str) -> DataFrame:
-    return _dense_model(spark, d, wrappers.Gbm(["age", "income", "bid", "os_name"], "label", n_trees=5, max_depth=3))
+    return _fitted(spark, d, DENSE_MODELS["gbm_fit"])
 
 
-@query()
+@query(_FITTED)
 def drf_fit(spark: SparkSession, d: str) -> DataFrame:
-    return _dense_model(spark, d, wrappers.Drf(["age", "income", "bid", "os_name"], "label", n_trees=5, max_depth=5))
+    return _fitted(spark, d, DENSE_MODELS["drf_fit"])
 
 
-@query()
+@query(_FITTED)
 def mlp_fit(spark: SparkSession, d: str) -> DataFrame:
-    return _dense_model(spark, d, wrappers.Mlp(["age", "income", "bid", "os_name"], "label", hidden=[8], epochs=2))
+    return _fitted(spark, d, DENSE_MODELS["mlp_fit"])
 
 
-@query()
+@query("SELECT 3 AS epochs, true AS falling")
 def network_fit(spark: SparkSession, d: str) -> DataFrame:
     m = network.Network(hidden=[16], n_classes=10, activation="TanhWithDropout", dropout=0.1, epochs=3, features="features").fit(_emb(spark, d, 10))
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(m.loss_history)], "epoch int, loss double")
+    h = m.loss_history
+    return spark.createDataFrame([(len(h), h[-1] < h[0])], "epochs int, falling boolean")
 
 
 # ---- scalar functions ----------------------------------------------------------------------------------------------------

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainmill.functions.vectors import sparse_vector
 from grainmill.session import BLANKS
 
 
@@ -107,10 +108,12 @@ def parse_libsvm(lines: DataFrame, line: str = "value", one_based: bool = False,
 
 
 def read_libsvm_custom(spark: SparkSession, path: str, num_features: int, partitions: int = 2, label: str = "label", features: str = "features", **flags: object) -> DataFrame:
-    """LibSVM files with free delimiters and base as label and vector of `num_features` slots; later pairs of one index win."""
+    """LibSVM files with free delimiters and base as label and sparse vector of `num_features` slots.
+
+    Later pairs of one index win; pairs beyond the slots or that can't be read are left out.
+    """
     parsed = parse_libsvm(spark.read.text(path), **flags)
-    m = F.aggregate(F.arrays_zip("indices", "values"), F.array_repeat(F.lit(0.0), num_features), lambda acc, p: F.concat(F.slice(acc, F.lit(1), p["indices"].cast("int")), F.array(p["values"]), F.slice(acc, p["indices"].cast("int") + 2, num_features)))
-    return _spread(parsed.select(F.col("label").alias(label), array_to_vector(m).alias(features)), partitions)
+    return _spread(parsed.select(F.col("label").alias(label), sparse_vector(F.col("indices"), F.col("values"), num_features).alias(features)), partitions)
 
 
 def dense_array(indices: Column, values: Column, size: int) -> Column:

@@ -241,3 +241,47 @@ def test_missing_numbers_are_in_the_bucket_after_the_last(spark, sf):
 
 def test_cat_unseen_null_transforms_every_row(spark, sf):
     assert feature_queries.cat_unseen_null(spark, sf).count() == feature_queries.table(spark, sf, "dense_samples").count()
+
+
+@pytest.mark.parametrize("broadcast", [0, 64 << 20])
+def test_many_levels_are_kept_as_a_table(spark, monkeypatch, tmp_path, broadcast):
+    df = spark.createDataFrame([(f"v{i % 37}" if i % 11 else None, ",".join(f"t{j}" for j in (i % 5, i % 7, i % 5))) for i in range(300)] + [(None, None), ("", "")], "c string, m string")
+    small = X.CategoryEncoder(inputCols=["c"], outputCols=["i"]).fit(df)
+    multi = X.MultiCategoryEncoder(inputCols=["m"], outputCols=["v"], indexOnly=False).fit(df)
+    monkeypatch.setattr(X, "MODEL_LEVELS", 3)
+    monkeypatch.setattr(X, "BROADCAST_BYTES", broadcast)
+    large = X.CategoryEncoder(inputCols=["c"], outputCols=["i"]).fit(df)
+    big = X.MultiCategoryEncoder(inputCols=["m"], outputCols=["v"], indexOnly=False).fit(df)
+    assert large._data()["table"] and large.labels == small.labels and big.labels == multi.labels
+    unseen = df.union(spark.createDataFrame([("new", "t1,zz")], df.schema)).withColumn("level", F.lit("clash")).withColumn("idx", F.lit(1))
+    for a, b in ((small, large), (multi, big)):
+        x, y = a.transform(unseen), b.transform(unseen)
+        assert x.columns == y.columns and sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    large.write().overwrite().save(str(tmp_path / "m"))
+    again = X.CategoryEncoderModel.load(str(tmp_path / "m")).transform(df)
+    assert sorted(map(str, again.collect())) == sorted(map(str, large.transform(df).collect()))
+
+
+def test_one_hot_vectors_are_sparse(spark):
+    df = cats(spark, ["b", "a", None])
+    hot = X.CategoryEncoder(inputCols=["c"], outputCols=["i"], indexOnly=False).fit(df).transform(df)
+    assert [type(v).__name__ for v in col(hot, "i")] == ["SparseVector"] * 3 and [v.indices.tolist() for v in col(hot, "i")] == [[1], [0], [2]]
+    nums = spark.createDataFrame([(float(i),) for i in range(10)] + [(None,)], "x double")
+    for sparse in (True, False):
+        b = X.NumericBucketer(inputCols=["x"], outputCols=["b"], numBucketsArray=[5], indexOnly=False, outputSparse=sparse).fit(nums).transform(nums)
+        assert {type(v).__name__ for v in col(b, "b")} == {"SparseVector" if sparse else "DenseVector"} and all(v.toArray().sum() == 1 for v in col(b, "b"))
+
+
+def test_bucket_search_against_bisection(spark):
+    splits = [-math.inf, *sorted({round(math.sin(i) * 50, 2) for i in range(40)}), math.inf]
+    xs = [*splits[1:-1], *[s + 0.001 for s in splits[1:-1]], -1e9, 1e9, math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = col(df.select(X.bucket_index(F.col("x"), splits).alias("b")), "b")
+    assert got == [X.bucket_of(math.nan if x is None else x, splits) for x in xs]
+
+
+def test_libsvm_of_a_million_features_stays_sparse(spark, tmp_path):
+    (tmp_path / "f.svm").write_text("1 5:2 999999:3 5:4\n-1 1000000:1 7:x\n0\n")
+    got = files.read_libsvm_custom(spark, str(tmp_path / "f.svm"), 1_000_000).collect()
+    by = {r["label"]: r["features"] for r in got}
+    assert by[1.0] == Vectors.sparse(1_000_000, [5, 999_999], [4.0, 3.0]) and by[-1.0] == by[0.0] == Vectors.sparse(1_000_000, [], [])

@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -361,7 +362,41 @@ def test_dense_models_take_every_spelling_of_a_label_and_score_every_row(spark,
     labels = ["0", "1.0", "0.0", " 1e0 ", "T", None, "\\N", "2"]
     rows = [(i, 1, float(i % 8 % 2 * 50 + i % 5), 1.0 + i % 3, None, float(i % 7), None, labels[i % 8], None, ["a", "b", None][i % 3], None, None, None) for i in range(160)]
     spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "dense_samples.parquet"))
-    got = learning_queries.QUERIES[name](spark, str(tmp_path)).select("predict", "p0", "p1").collect()
+    df = learning_queries._any_spelling(spark, str(tmp_path))
+    got = learning_queries.DENSE_MODELS[name].fit(df).transform(df).select("predict", "p0", "p1").collect()
     assert len(got) == 160 and {x["predict"] for x in got} <= {"0", "1"}
-    if name != "mlp_fit":  # two epochs learn little
+    if name != "mlp_fit":  # a few epochs learn little
         assert sum(x["predict"] == "1" for x in got) == 80
+
+
+def test_scope_on_a_million_sparse_features(spark):
+    rng, d = np.random.default_rng(2), 1_000_000
+    rows = []
+    for i in range(400):
+        at = sorted({int(rng.integers(10, d)) for _ in range(5)} | {i % 2})
+        rows.append((Vectors.sparse(d, at, [1.0] * len(at)), float(i % 2)))
+    df = spark.createDataFrame(rows, ["features", "label"]).repartition(2)
+    m = scope.LinearScope(stepSize=0.5, maxIter=3).fit(df)
+    assert m.loss_history[-1] < m.loss_history[0] and m.weights.shape == (1, d + 1)
+    out = m.transform(df)
+    assert wrappers.accuracy(out, "prediction", "label").head()[0] > 0.99
+    assert len(m.getOrDefault("content")) < 500_000
+
+
+def test_sparse_and_dense_rows_train_alike(spark):
+    df = vectors(spark, 2).coalesce(1)
+    arrays = df.select(F.col("label"), vector_to_array("features").alias("features"))
+    sparse = spark.createDataFrame([(Vectors.sparse(4, range(4), r["features"].toArray()), r["label"]) for r in df.collect()], ["features", "label"]).coalesce(1)
+    a, b, c = (scope.LinearScope(stepSize=0.05, maxIter=2, seed=3).fit(x).weights for x in (df, arrays, sparse))
+    assert np.allclose(a, b) and np.allclose(a, c)
+    with pytest.raises(Exception, match="features"):
+        scope.LinearScope(maxIter=1).fit(spark.createDataFrame([(Vectors.dense([1.0]), 1.0), (Vectors.dense([1.0, 2.0]), 0.0)], ["features", "label"]).coalesce(1))
+
+
+def test_margins_beyond_the_plan_limit_agree(spark, monkeypatch):
+    df = vectors(spark, 3)
+    m = scope.OVRLinearScope(stepSize=0.05, maxIter=1, numClasses=3).fit(df)
+    a = m.transform(df).select("rawPrediction").collect()
+    monkeypatch.setattr(scope, "PLAN_FEATURES", 2)
+    b = m.transform(df).select("rawPrediction").collect()
+    assert np.allclose([r[0] for r in a], [r[0] for r in b])
