@@ -225,6 +225,18 @@ def ks_multi_column(spark: SparkSession, d: str) -> DataFrame:
     return out.select("left_col", r("d", 8).alias("d"), "n", "m")
 
 
+@query("""WITH x AS (SELECT CAST(n_nationkey AS DOUBLE) AS v, 1 AS a, 0 AS b FROM nation UNION ALL SELECT n_nationkey * 1.37 + 3.1, 0, 1 FROM nation),
+w AS (SELECT sum(a) OVER o AS ca, sum(b) OVER o AS cb FROM x WINDOW o AS (ORDER BY v)),
+s AS (SELECT max(abs(ca - cb)) AS far, (SELECT count(*) FROM nation) AS n FROM w),
+t AS (SELECT n, far, unnest(range(1, n + 1)) AS j FROM s)
+SELECT round(any_value(far / n), 8) + 0.0 AS d, round(2 * sum(CASE WHEN j * (far + 1) > n THEN 0 ELSE CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(2 * lgamma(n + 1) - lgamma(greatest(n - j * (far + 1), 0) + 1) - lgamma(n + j * (far + 1) + 1)) END), 8) + 0.0 AS p_value FROM t""")
+def ks_pvalue_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Two samples of equal size without ties, for which the exact law has a closed form."""
+    a = table(spark, d, "nation").select(F.col("n_nationkey").cast("double").alias("x"))
+    b = table(spark, d, "nation").select((F.col("n_nationkey") * 1.37 + 3.1).alias("x"))
+    return ks.ks_test(a, b, [("x", "x")]).select(r("d", 8).alias("d"), r("p_value", 8).alias("p_value"))
+
+
 # ---- grouped ranking -----------------------------------------------------------------------------------------------------
 
 _FEATS, _KS_AT = ["score", "margin"], [1, 3, 5]

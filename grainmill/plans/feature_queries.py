@@ -112,6 +112,21 @@ def cat_label_index(spark: SparkSession, d: str) -> DataFrame:
     return m.transform(df).groupBy("label_index", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(_index_sql("frequencyDesc"))
+def cat_saved_model(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted, saved, loaded, applied."""
+    df = dense(spark, d).select("sample_id", "load_id", "city")
+    X.CategoryEncoder(inputCols=["city"], outputCols=["city_index"]).fit(df).write().overwrite().save(p := _tmp(spark, "encoder"))
+    return X.CategoryEncoderModel.load(p).transform(df).select("sample_id", "load_id", F.coalesce("city", F.lit("")).alias("city"), "city_index")
+
+
+@query(_index_sql("frequencyDesc").replace("FROM dense LEFT JOIN k ON k.level = dense.city", "FROM dense LEFT JOIN k ON k.level = dense.city WHERE city IS NOT NULL"))
+def cat_index_strict(spark: SparkSession, d: str) -> DataFrame:
+    """handleInvalid="error" passes where every level was fitted."""
+    df = dense(spark, d).select("sample_id", "load_id", "city").where("city IS NOT NULL")
+    return X.CategoryEncoder(inputCols=["city"], outputCols=["city_index"], handleInvalid="error").fit(df).transform(df)
+
+
 # ---- multi-category encoder ----------------------------------------------------------------------------------------------
 
 _TOKENS = f"""{DENSE}, raw AS (SELECT sample_id, load_id, tags, CASE WHEN tags = '' THEN [''] ELSE string_split(regexp_replace(tags, ',+$', ''), ',') END AS t FROM dense),
@@ -187,6 +202,13 @@ def bucket_onehot(spark: SparkSession, d: str) -> DataFrame:
     return cells.groupBy(F.col("idx").cast("int").alias("idx")).agg(F.sum("x").alias("total")).where("total > 0")
 
 
+@query(SQL["bucket_onehot"])
+def bucket_onehot_sparse(spark: SparkSession, d: str) -> DataFrame:
+    df, m = _buckets(spark, d, indexOnly=False, outputSparse=True)
+    cells = m.transform(df).select(F.posexplode(vector_to_array("b")).alias("idx", "x"))
+    return cells.groupBy(F.col("idx").cast("int").alias("idx")).agg(F.sum("x").alias("total")).where("total > 0")
+
+
 @query(f"""WITH {DENSE}, m AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in NUMS)} FROM dense)
 SELECT sample_id, load_id, {', '.join(f"coalesce(round(({c} - m_{c}) / s_{c}, 5), 'NaN'::DOUBLE) + 0.0 AS z_{c}" for c in NUMS)} FROM dense, m""")
 def standardize(spark: SparkSession, d: str) -> DataFrame:
@@ -371,6 +393,16 @@ def schema_file(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in s.struct], "name string, type string, nullable boolean")
 
 
+@query(f"SELECT label, idx, count(*) AS n, round(sum(value), 5) + 0.0 AS total FROM ({_EMB}) GROUP BY 1, 2")
+def libsvm_custom_reader(spark: SparkSession, d: str) -> DataFrame:
+    """Written with one-based indices, read by the reader with free delimiters, each line checked."""
+    df = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("e"))
+    files.write_libsvm(df, p := _tmp(spark, "svm2"), "label", "e", one_based=True)
+    back = files.read_libsvm_custom(spark, p, 64, one_based=True, check=True, need_sort=True)
+    cells = back.select("label", F.posexplode(vector_to_array("features")).alias("idx", "x"))
+    return cells.groupBy("label", F.col("idx").cast("int").alias("idx")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("x"), 5).alias("total"))
+
+
 # ---- filters -------------------------------------------------------------------------------------------------------------
 
 RULES = """[filter=1]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from grainmill.functions import bits, cityhash, linalg
 from grainmill.functions import losses as L
 from grainmill.models import network, scope, wrappers
-from grainmill.params import learning, store, updaters
+from grainmill.params import jobs, learning, store, updaters
 from grainmill.plans.common import DENSE, dense, r
 from grainmill.session import shared_dir, table
 from grainmill.sources import files
@@ -151,6 +151,14 @@ def ovr_score(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", *[r(F.get("rawPrediction", i)).alias(f"m{i}") for i in range(3)], "prediction")
 
 
+@query(SQL["linear_score"])
+def scope_saved_model(spark: SparkSession, d: str) -> DataFrame:
+    """Saved, loaded, applied."""
+    _with(scope.LinearScopeModel(), [0]).write().overwrite().save(p := os.path.join(shared_dir(spark), f"scope-{uuid.uuid4().hex[:8]}"))
+    out = scope.LinearScopeModel.load(p).transform(table(spark, d, "embeddings"))
+    return out.select("vec_id", r("rawPrediction").alias("raw"), r("probability").alias("probability"))
+
+
 _SCORED = f"s AS (SELECT vec_id, {_margin_sql(0)} AS m, CASE WHEN label % 2 = 1 THEN 1 ELSE 0 END AS y FROM embeddings)"
 
 
@@ -392,6 +400,16 @@ def lr_train_dcasgd(spark: SparkSession, d: str) -> DataFrame:
     return _trained(spark, d, learning.LogisticLearner.delay_compensated(0.5, 0.1, epochs=2))
 
 
+@query(f"WITH {_SAMPLES}, y AS (SELECT sample_id, CASE WHEN max(label) > 0 THEN 1 ELSE 0 END AS y FROM sm GROUP BY 1) SELECT feat AS id, round(-0.5 * sum((0.5 - y) * val) / (SELECT count(*) FROM y), 5) + 0.0 AS w FROM sm JOIN y USING (sample_id) GROUP BY 1")
+def job_train(spark: SparkSession, d: str) -> DataFrame:
+    """A whole job: lines from files, one epoch, the model as text."""
+    folder = os.path.join(shared_dir(spark), f"job-{uuid.uuid4().hex[:8]}")
+    lines = _samples(spark, d).groupBy("sample_id").agg(F.max("label").alias("y"), F.collect_list(F.concat_ws(":", F.col("feat").cast("string"), F.col("val").cast("string"))).alias("p"))
+    lines.select(F.concat_ws(" ", F.col("y").cast("string"), F.array_join("p", " "))).write.text(f"{folder}/lines")
+    jobs.run_job(spark, jobs.JobSettings(jobs.SETTINGS | {"data.path": f"{folder}/lines", "output.path": f"{folder}/model", "learner": "sgd", "learning.rate": "0.5"}))
+    return files.read_model(spark, f"{folder}/model").select("id", r(F.get("w", 0).cast("double"), 5).alias("w"))
+
+
 def _ftrl_weight(z: str, n: str) -> str:
     return f"CASE WHEN abs({z}) <= 0.001 THEN 0.0 ELSE -(({z}) - sign({z}) * 0.001) / (0.1 + (1 + sqrt({n})) / 0.5) END"
 
@@ -547,6 +565,15 @@ def glm_least_squares(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", r("predict", 2).alias("predict"))
 
 
+@query(SQL["glm_least_squares"])
+def glm_saved_model(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted, saved, loaded, applied."""
+    df, spec = table(spark, d, "lineitem"), wrappers.Glm(["l_quantity", "l_discount"], "l_extendedprice", family="gaussian")
+    spec.fit(df).save(p := os.path.join(shared_dir(spark), f"glm-{uuid.uuid4().hex[:8]}"))
+    out = wrappers.DenseModel.load(p, spec).transform(df, ["l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", r("predict", 2).alias("predict"))
+
+
 _FEATURES = ["age", "income", "bid", "os_name"]
 DENSE_MODELS = {
     "glm_fit": wrappers.Glm(_FEATURES, "label"),

@@ -16,7 +16,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return badrows.loaded_lines(table(spark, d, "raw_samples"))
+    """The usable lines, one row a feature in the order of the line (one row without a feature where a line has none)."""
+    lists = {"names": "string", "texts": "string", "fields": "bigint", "ids": "bigint", "vals": "double"}
+    rows = badrows.loaded_lines(table(spark, d, "raw_samples"))
+    zipped = F.arrays_zip(*[F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c) for c, t in lists.items()])
+    long = rows.select("line_no", "feed", "label", F.posexplode_outer(zipped).alias("pos", "f"))
+    return long.select("line_no", "feed", "label", "pos", F.col("f.names").alias("name"), F.col("f.texts").alias("text"), F.col("f.fields").alias("field"), F.col("f.ids").alias("id"), F.col("f.vals").alias("val"))
 
 
 def _rules(spark: SparkSession, d: str) -> list[quality.ColumnRule]:
@@ -110,3 +115,20 @@ SELECT line_no, reason FROM (
     WHEN NOT (regexp_full_match(t[1], '{_NUM}') AND coalesce(try_cast(t[1] AS DOUBLE) IN (-1, 0, 1), false)) THEN 'label'
     WHEN len(list_filter(parts, lambda x: NOT (regexp_full_match(x[w], '{_NUM}') AND isfinite(try_cast(x[w] AS DOUBLE))) OR NOT regexp_full_match(x[1], '[0-9]+') OR try_cast(x[1] AS BIGINT) IS NULL OR NOT regexp_full_match(x[w - 1], '[0-9]+') OR try_cast(x[w - 1] AS BIGINT) IS NULL)) > 0 THEN 'features' END FROM k)
 WHERE reason IS NOT NULL"""
+
+_TRIMMED = lambda x: f"trim({x}, {_BLANKS})"
+_UNQUOTED = lambda x: f"nullif(nullif(CASE WHEN starts_with({_TRIMMED(x)}, chr(34)) THEN {_TRIMMED(f'replace(substr({_TRIMMED(x)}, 2, length({_TRIMMED(x)}) - 2), chr(34) || chr(34), chr(34))')} ELSE {_TRIMMED(x)} END, ''), '\\N')"
+_AT = lambda i: _UNQUOTED(f"regexp_extract(s, '^(?:{_FIELD},){{{{{i}}}}}({_FIELD})', 1)".replace("{{", "{").replace("}}", "}"))
+_NAMES = ((0, "user_key"), (2, "age"), (3, "income"), (4, "city"), (5, "tags"), (6, "note"))
+SQL["p1_loaded"] = rf"""
+WITH good AS (SELECT line_no, feed, {_TRIMMED('line')} AS s FROM raw_samples WHERE line_no NOT IN (SELECT line_no FROM ({SQL["p1_found"]}))),
+c AS (SELECT line_no, feed, CAST({_AT(1)} AS DOUBLE) AS label, unnest([{', '.join(f"{{'pos': {p}, 'name': '{n}', 'text': {_AT(i)}}}" for p, (i, n) in enumerate(_NAMES))}]) AS x FROM good WHERE feed = 'csv'),
+q AS (SELECT line_no, feed, list_transform(string_split(s, ','), lambda e: list_transform(string_split(e, ':'), lambda y: trim(y, {_BLANKS}))) AS kv FROM good WHERE feed = 'sparse'),
+r AS (SELECT line_no, feed, CAST(list_filter(kv, lambda e: e[1] = 'label')[1][2] AS DOUBLE) AS label, list_filter(kv, lambda e: e[1] <> 'label') AS kv FROM q),
+i AS (SELECT line_no, feed, string_split_regex(s, '[ \t\n\r\f\v]+') AS t, CASE feed WHEN 'libsvm' THEN 2 ELSE 3 END AS w FROM good WHERE feed IN ('libsvm', 'libffm')),
+j AS (SELECT line_no, feed, w, CAST(t[1] AS DOUBLE) AS label, unnest(range(1, len(t))) AS k, t FROM i),
+f AS (SELECT line_no, feed, w, label, k, string_split(t[k + 1], ':') AS p FROM j)
+SELECT line_no, feed, label, x.pos AS pos, x.name AS name, x.text AS text, CAST(NULL AS BIGINT) AS field, CAST(NULL AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS val FROM c
+UNION ALL SELECT line_no, feed, label, CAST(k - 1 AS INTEGER), kv[k][1], nullif(nullif(kv[k][2], ''), '\N'), NULL, NULL, NULL FROM (SELECT *, unnest(range(1, len(kv) + 1)) AS k FROM r)
+UNION ALL SELECT line_no, feed, label, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE len(kv) = 0
+UNION ALL SELECT line_no, feed, label, CAST(k - 1 AS INTEGER), NULL, NULL, CASE WHEN w = 3 THEN CAST(p[1] AS BIGINT) END, CAST(p[w - 1] AS BIGINT), CAST(p[w] AS DOUBLE) FROM f"""
