@@ -1,7 +1,7 @@
 """A feed-forward network trained by data-parallel mini-batches with model averaging: activations, dropout, penalties, ADADELTA.
 
 Per epoch every partition starts from the shared weights, makes its own mini-batch steps over its Arrow batches, and the
-weights are averaged over the partitions, weighted by rows. Only weights travel. `Mlp` in `wrappers` is the Spark ML network.
+weights are averaged over the partitions, weighted by rows. Only weights travel. `Mlp` in `wrappers` puts it behind the preparation of dense tables.
 """
 
 from __future__ import annotations
@@ -12,7 +12,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml import Model
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,3 +215,26 @@ class NetworkModel:
     def load(cls, text: str) -> NetworkModel:
         d = json.loads(text)
         return cls(Network(**d["spec"]), d["sizes"], np.array(d["flat"]), d["loss"])
+
+
+class NetworkStage(Model, HasFeaturesCol, DefaultParamsWritable, DefaultParamsReadable):
+    """A trained network as a stage of a pipeline: adds prediction and, for classes, probability and rawPrediction."""
+
+    content = Param(Params._dummy(), "content", "the network", typeConverter=TypeConverters.toString)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        m = NetworkModel.load(self.getOrDefault("content"))
+        out = m.transform(df)
+        if m.spec.n_classes:
+            out = out.withColumn("probability", array_to_vector("scores")).withColumn("rawPrediction", array_to_vector("scores"))
+        return out.drop("scores")
+
+
+@dataclass
+class NetworkTrainer:
+    """What a pipeline's `fit` calls: trains the network and gives its stage."""
+
+    spec: Network
+
+    def fit(self, df: DataFrame) -> NetworkStage:
+        return NetworkStage()._set(content=self.spec.fit(df).save())

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainmill.models.network import ACTIVATIONS, Network, NetworkTrainer
 from grainmill.schema import EngineError
 
-# Families, treatments of missing numbers, encodings of categories, kinds of histograms, activations.
+# Families, treatments of missing numbers, encodings of categories, kinds of histograms.
 FAMILIES = ("binomial", "bernoulli", "multinomial", "gaussian")
 MISSING = ("MeanImputation", "Skip")
 ENCODINGS = ("AUTO", "Enum", "OneHotInternal", "OneHotExplicit", "Binary", "Eigen", "LabelEncoder", "SortByResponse", "EnumLimited")
 HISTOGRAMS = ("AUTO", "UniformAdaptive", "QuantilesGlobal", "Random", "RoundRobin")
-ACTIVATIONS = ("Linear", "Softmax", "Rectifier", "RectifierWithDropout", "Tanh", "TanhWithDropout", "Maxout", "MaxoutWithDropout")
 #: The level of a category that is NULL or empty.
 NO_LEVEL = "<none>"
 
@@ -235,12 +235,26 @@ class Svm(_Dense):
 
 @dataclass
 class Mlp(_Dense):
-    """Multi-layer perceptron by Spark ML (sigmoid layers, L-BFGS). `grainmill.models.network` has the other activations, dropout and penalties."""
+    """Multi-layer perceptron over standardised features, of classes or (gaussian) of one number.
+
+    Sigmoid layers are trained by Spark ML (L-BFGS), all others by `network` (averaged mini-batch steps), which `dropout` to
+    `eps` are for; `dropout` acts on the WithDropout activations.
+    """
 
     hidden: list[int] = field(default_factory=lambda: [200, 200])
     epochs: int = 10
     activation: str = "Rectifier"
     one_hot: bool = True
+    batch: int = 32
+    dropout: float = 0.5
+    input_dropout: float = 0.0
+    l1: float = 0.0
+    l2: float = 0.0
+    adadelta: bool = True
+    rho: float = 0.99
+    eps: float = 1e-8
+    learn_rate: float = 0.1
+    momentum: float = 0.5
 
     def _scale(self) -> bool:
         return True
@@ -248,9 +262,10 @@ class Mlp(_Dense):
     def _model(self, n_classes: int, width: int):  # noqa: ANN202
         if self.activation not in ACTIVATIONS:
             raise EngineError(f"activation is one of {ACTIVATIONS}")
-        if self.family == "gaussian":
-            raise EngineError("a regression network isn't available; use Glm, Gbm or Drf")
-        return MultilayerPerceptronClassifier(featuresCol="__x", labelCol="__l", layers=[width, *self.hidden, n_classes], maxIter=self.epochs * 10, seed=self.seed)
+        if self.activation == "Sigmoid" and self.family != "gaussian":
+            return MultilayerPerceptronClassifier(featuresCol="__x", labelCol="__l", layers=[width, *self.hidden, n_classes], maxIter=self.epochs * 10, seed=self.seed)
+        own = {k: getattr(self, k) for k in ("hidden", "activation", "epochs", "batch", "dropout", "input_dropout", "l1", "l2", "adadelta", "rho", "eps", "learn_rate", "momentum", "seed")}
+        return NetworkTrainer(Network(n_classes=0 if self.family == "gaussian" else n_classes, features="__x", label=self._target, **own))
 
 
 def auroc(scored: DataFrame, score: str, label: str) -> DataFrame:

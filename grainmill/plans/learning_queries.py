@@ -579,7 +579,8 @@ DENSE_MODELS = {
     "glm_fit": wrappers.Glm(_FEATURES, "label"),
     "gbm_fit": wrappers.Gbm(_FEATURES, "label", n_trees=20, max_depth=3),
     "drf_fit": wrappers.Drf(_FEATURES, "label", n_trees=5, max_depth=5),
-    "mlp_fit": wrappers.Mlp(_FEATURES, "label", hidden=[8], epochs=5),
+    "mlp_fit": wrappers.Mlp(_FEATURES, "label", hidden=[8], epochs=5, activation="Sigmoid"),
+    "mlp_rectifier_fit": wrappers.Mlp(_FEATURES, "label", hidden=[8], epochs=8, adadelta=False, learn_rate=0.01),
 }
 _FITTED = _Y + " SELECT count(*) AS n, count(*) AS n_probabilities, count(*) AS n_classes, true AS beats_base_rate FROM s"
 
@@ -614,6 +615,11 @@ def mlp_fit(spark: SparkSession, d: str) -> DataFrame:
     return _fitted(spark, d, DENSE_MODELS["mlp_fit"])
 
 
+@query(_FITTED)
+def mlp_rectifier_fit(spark: SparkSession, d: str) -> DataFrame:
+    return _fitted(spark, d, DENSE_MODELS["mlp_rectifier_fit"])
+
+
 @query("SELECT 3 AS epochs, true AS falling")
 def network_fit(spark: SparkSession, d: str) -> DataFrame:
     m = network.Network(hidden=[16], n_classes=10, activation="TanhWithDropout", dropout=0.1, epochs=3, features="features").fit(_emb(spark, d, 10))
