@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainmill.functions.linalg import once
 from grainmill.functions.vectors import multi_hot, one_hot
 from grainmill.operators.running import exact_quantiles, running_total
 from grainmill.schema import EngineError, SemanticSchema
@@ -213,11 +214,6 @@ class CategoryEncoderModel(Model, _Columns, _Levels):
         return self._append(wide, new, own)
 
 
-def once(c: Column, use: Callable[[Column], Column]) -> Column:
-    """use(c) with `c` evaluated a single time per row, however often it is used: it is bound as the variable of a lambda."""
-    return F.get(F.transform(F.array(c), use), 0)
-
-
 def split_tokens(c: Column, delimiter: str) -> Column:
     """Split by a regular expression; trailing empty tokens fall away, but an empty text is one empty token."""
 

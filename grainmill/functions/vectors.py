@@ -22,6 +22,10 @@ VECTOR = pa.struct([
 ])
 
 
+#: Cells of a block of rows that are multiplied as a small matrix; columns up to which rows may be held as one.
+SMALL_BLOCK, DENSE_WIDTH = 65_536, 1024
+
+
 @dataclass(frozen=True)
 class Rows:
     """Rows of a sparse matrix: row i has the entries ends[i] to ends[i + 1] of idx and val."""
@@ -52,9 +56,47 @@ class Rows:
 
     def add_to(self, w: np.ndarray, factors: np.ndarray) -> None:
         """Adds factors[i, k] times row i to w[k], touching the columns of the rows only."""
-        f = factors[self.owner]
-        for k in range(len(w)):
-            np.add.at(w[k], self.idx, f[:, k] * self.val)
+        cols, at = np.unique(self.idx, return_inverse=True)
+        if len(cols) * len(self) <= SMALL_BLOCK:  # a few rows: a product over the columns they have
+            own = np.zeros((len(self), len(cols)))
+            np.add.at(own, (self.owner, at), self.val)
+            w[:, cols] += factors.T @ own
+        else:
+            f = factors[self.owner]
+            for k in range(len(w)):
+                w[k][cols] += np.bincount(at, weights=f[:, k] * self.val, minlength=len(cols))
+
+
+@dataclass(frozen=True)
+class DenseRows:
+    """Rows that are mostly filled, as a matrix; the interface is that of `Rows`."""
+
+    matrix: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.matrix)
+
+    @property
+    def val(self) -> np.ndarray:
+        return self.matrix
+
+    def take(self, at: np.ndarray) -> DenseRows:
+        return DenseRows(self.matrix[at])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return self.matrix @ w.T
+
+    def add_to(self, w: np.ndarray, factors: np.ndarray) -> None:
+        w += factors.T @ self.matrix
+
+
+def packed(rows: Rows, width: int) -> Rows | DenseRows:
+    """The form in which rows are cheaper to multiply: a matrix for few columns that are a quarter filled at least."""
+    if width > DENSE_WIDTH or len(rows.idx) * 4 < len(rows) * width:
+        return rows
+    out = np.zeros((len(rows), width))
+    np.add.at(out, (rows.owner, rows.idx), rows.val)
+    return DenseRows(out)
 
 
 def rows_of(x: pa.Array, width: int) -> Rows:

@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions import losses as L
-from grainmill.functions.vectors import Rows, rows_of
+from grainmill.functions.linalg import once
+from grainmill.functions.vectors import DenseRows, Rows, packed, rows_of
 from grainmill.schema import EngineError
 
 _P = Params._dummy()
@@ -55,8 +56,8 @@ def n_features(rows: DataFrame) -> int:
     return len(first[0]) if isinstance(first[0], list) else first[0].size
 
 
-def _read(b: pa.RecordBatch, d: int) -> tuple[Rows, np.ndarray]:
-    return rows_of(b.column("x"), d), b.column("y").to_numpy(zero_copy_only=False)
+def _read(b: pa.RecordBatch, d: int) -> tuple[Rows | DenseRows, np.ndarray]:
+    return packed(rows_of(b.column("x"), d), d), b.column("y").to_numpy(zero_copy_only=False)
 
 
 class Kernel:
@@ -65,7 +66,7 @@ class Kernel:
     def __init__(self, loss: L.Loss | L.MultiLoss, width: int, intercept: bool) -> None:
         self.loss, self.width, self.intercept = loss, width, intercept
 
-    def margins(self, x: Rows, w: np.ndarray) -> np.ndarray:
+    def margins(self, x: Rows | DenseRows, w: np.ndarray) -> np.ndarray:
         return x.dot(w[:, :-1]) + (w[:, -1] if self.intercept else 0.0)
 
     def factors(self, m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +74,7 @@ class Kernel:
         loss, f = self.loss.kernel(m if isinstance(self.loss, L.MultiLoss) else m[:, 0], y)
         return loss, f if f.ndim == 2 else f[:, None]
 
-    def add(self, x: Rows, factors: np.ndarray, w: np.ndarray) -> None:
+    def add(self, x: Rows | DenseRows, factors: np.ndarray, w: np.ndarray) -> None:
         """Adds the rows times their factors to w."""
         x.add_to(w[:, :-1], factors)
         if self.intercept:
@@ -115,13 +116,13 @@ def _add_up(parts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def block_rows(x: Rows, step: float) -> int:
+def block_rows(x: Rows | DenseRows, step: float) -> int:
     """Rows of a block: so many that their steps together stay below the inverse of the mean squared length of a row."""
     length = float((x.val**2).sum()) / max(1, len(x)) + 1.0
     return int(np.clip(1 / (step * length), 1, BLOCK_ROWS))
 
 
-def local_steps(x: Rows, y: np.ndarray, anchor: np.ndarray, gradient: np.ndarray, start: np.ndarray, kernel: Kernel, step: float, reg: float, rng: np.random.Generator, every: int) -> np.ndarray:
+def local_steps(x: Rows | DenseRows, y: np.ndarray, anchor: np.ndarray, gradient: np.ndarray, start: np.ndarray, kernel: Kernel, step: float, reg: float, rng: np.random.Generator, every: int) -> np.ndarray:
     """The weights after as many variance-reduced steps as rows, in blocks of drawn rows.
 
     A block moves the weights by its factors at the present weights less those at `anchor`, and, a step a row, by the full
@@ -332,15 +333,15 @@ class MultiLinearScope(_Scope):
 
 
 def softmax_with_pivot(m: Column) -> Column:
-    """Probabilities of classes 0 .. K-1 from the margins of classes 1 .. K-1."""
-    top = F.greatest(F.array_max(m), F.lit(0.0))
-    e = F.transform(F.concat(F.array(F.lit(0.0)), m), lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    """Probabilities of classes 0 .. K-1 from the margins of classes 1 .. K-1, which are evaluated once."""
+    share = lambda e: once(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+    powers = lambda all_: once(F.array_max(all_), lambda top: F.transform(all_, lambda x: F.exp(x - top)))
+    return once(F.concat(F.array(F.lit(0.0)), m), lambda all_: once(powers(all_), share))
 
 
 def argmax(a: Column) -> Column:
-    return (F.array_position(a, F.array_max(a)) - 1).cast("double")
+    """The place of the largest value."""
+    return once(a, lambda x: (F.array_position(x, F.array_max(x)) - 1).cast("double"))
 
 
 class MultiLinearScopeModel(_ScopeModel):

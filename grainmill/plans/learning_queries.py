@@ -513,9 +513,10 @@ def scope_lr_train(spark: SparkSession, d: str) -> DataFrame:
     return _progress(spark, d, scope.LinearScope(stepSize=0.1, maxIter=4))
 
 
-@query(_progress_sql("CASE WHEN y > 0.5 THEN 2.0 ELSE 1.0 END"))
+@query(_progress_sql("CASE WHEN y > 0.5 THEN 2.0 ELSE 1.0 END").replace(", true AS as_good_as_majority", ""))
 def scope_svm_train(spark: SparkSession, d: str) -> DataFrame:
-    return _progress(spark, d, scope.LinearScope(stepSize=0.05, maxIter=4, lossFunc="SVM", posWeight=2.0, regParam=0.01))
+    """Positives weigh twice as much, so the share of right predictions isn't what is minimised."""
+    return _progress(spark, d, scope.LinearScope(stepSize=0.05, maxIter=4, lossFunc="SVM", posWeight=2.0, regParam=0.01)).drop("as_good_as_majority")
 
 
 @query(_progress_sql("CASE WHEN y > 0.5 THEN 0.0 ELSE ln(2.0) / (1 - (SELECT avg(label % 2) FROM embeddings)) END"))

@@ -393,6 +393,24 @@ def test_sparse_and_dense_rows_train_alike(spark):
         scope.LinearScope(maxIter=1).fit(spark.createDataFrame([(Vectors.dense([1.0]), 1.0), (Vectors.dense([1.0, 2.0]), 0.0)], ["features", "label"]).coalesce(1))
 
 
+def test_row_forms_multiply_alike(monkeypatch):
+    from grainmill.functions import vectors as V
+
+    rng = np.random.default_rng(4)
+    dense = np.where(rng.random((30, 12)) < 0.5, rng.normal(size=(30, 12)), 0.0)
+    at = np.argwhere(dense)
+    rows = V.Rows(np.append(0, np.cumsum((dense != 0).sum(axis=1))), at[:, 1], dense[tuple(at.T)])
+    assert isinstance(V.packed(rows, 12), V.DenseRows) and isinstance(V.packed(rows, 5000), V.Rows)
+    w, f, pick = rng.normal(size=(3, 12)), rng.normal(size=(30, 3)), np.array([4, 4, 29, 0])
+    for small in (0, 10**6):
+        monkeypatch.setattr(V, "SMALL_BLOCK", small)
+        for x in (rows, V.packed(rows, 12)):
+            got = w.copy()
+            x.add_to(got, f)
+            assert np.allclose(x.dot(w), dense @ w.T) and np.allclose(got, w + f.T @ dense)
+            assert np.allclose(x.take(pick).dot(w), dense[pick] @ w.T)
+
+
 def test_margins_beyond_the_plan_limit_agree(spark, monkeypatch):
     df = vectors(spark, 3)
     m = scope.OVRLinearScope(stepSize=0.05, maxIter=1, numClasses=3).fit(df)
