@@ -85,8 +85,7 @@ class Spill:
     """
 
     def __init__(self, folder: str, leaf_bytes: int = LEAF_BYTES) -> None:
-        self.fs, path = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
-        self.path, self.leaf_bytes = f"{path.rstrip('/')}/terms-{uuid.uuid4().hex}", leaf_bytes
+        self.folder, self.leaf_bytes = folder, leaf_bytes
         self.shifts = [(columns, s) for columns in (("feat_name", "category"), ("record",)) for s in range(64 - RADIX_BITS, 0, -RADIX_BITS)]
         self.leaves = self.splits = 0
 
@@ -108,8 +107,8 @@ class Spill:
             return
         self.splits += 1
         columns, shift = self.shifts[level]
-        if not self.splits > 1:
-            self.fs.create_dir(self.path, recursive=True)
+        if self.splits == 1:
+            self._open()
         names = [f"{self.path}/{level}-{uuid.uuid4().hex}" for _ in range(1 << RADIX_BITS)]
         sinks: dict[int, tuple] = {}
         sizes = [0] * (1 << RADIX_BITS)
@@ -143,6 +142,13 @@ class Spill:
             self.leaves += 1
             yield together
 
+    def _open(self) -> None:
+        """The folder of this task's files, in the shared folder's own file system; only made when something has to be split."""
+        remote = "://" in self.folder or self.folder.startswith("file:")
+        self.fs, path = pafs.FileSystem.from_uri(self.folder.replace("s3a://", "s3://")) if remote else (pafs.LocalFileSystem(), self.folder)
+        self.path = f"{path.rstrip('/')}/terms-{uuid.uuid4().hex}"
+        self.fs.create_dir(self.path, recursive=True)
+
     def close(self) -> None:
         if self.splits:
             self.fs.delete_dir(self.path)
