@@ -45,6 +45,10 @@ def activate(kind: str, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, s * (1 - s)
 
 
+#: Mini-batches a partition should have at least; fewer, larger partitions are made of too small ones.
+BATCHES_PER_PARTITION = 20
+
+
 def shapes(sizes: list[int]) -> list[tuple[int, int]]:
     return [(a + 1, b) for a, b in zip(sizes, sizes[1:], strict=False)]
 
@@ -144,22 +148,26 @@ class Network:
             raise EngineError(f"activation is one of {ACTIVATIONS}")
         rows = sample_rows(df, self.features, self.label).persist()
         try:
+            # weights are averaged over partitions, so each should make a fair number of steps before
+            most = max(1, rows.count() // (self.batch * BATCHES_PER_PARTITION))
+            train = rows.coalesce(most) if rows.rdd.getNumPartitions() > most else rows
             sizes = [n_features(rows), *self.hidden, self.n_classes or 1]
             flat, history = initial(sizes, self.seed), []
+            means = np.zeros((2, len(flat)))  # ADADELTA's running means of squared gradients and steps, averaged like the weights
             for epoch in range(self.epochs):
-                flat, loss = self._epoch(rows, flat, sizes, epoch)
+                flat, means, loss = self._epoch(train, flat, means, sizes, epoch)
                 history.append(loss)
         finally:
             rows.unpersist()
         return NetworkModel(self, sizes, flat, history)
 
-    def _epoch(self, rows: DataFrame, start: np.ndarray, sizes: list[int], epoch: int) -> tuple[np.ndarray, float]:
+    def _epoch(self, rows: DataFrame, start: np.ndarray, means: np.ndarray, sizes: list[int], epoch: int) -> tuple[np.ndarray, np.ndarray, float]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             rng = np.random.default_rng([self.seed, epoch, TaskContext.get().partitionId()])
             w, n, loss, t = start.copy(), 0, 0.0, 0
-            g2, d2, v = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
+            (g2, d2), v = means, np.zeros_like(w)
             for b in batches:
                 x, y = _dense_rows(b.column("x"), sizes[0]), b.column("y").to_numpy(zero_copy_only=False)
                 order = rng.permutation(len(y))
@@ -179,10 +187,11 @@ class Network:
                     if self.elastic_rate:
                         w -= self.elastic_rate * (w - start)
             if n:
-                yield _sums(np.append(w * n, [loss, n]))
+                yield _sums(np.concatenate([w * n, g2 * n, d2 * n, [loss, n]]))
 
-        total = _add_up(rows.mapInArrow(run, "i int, v double"), len(start) + 2)
-        return total[:-2] / total[-1], float(total[-2] / total[-1])
+        total = _add_up(rows.mapInArrow(run, "i int, v double"), 3 * len(start) + 2)
+        flat, *state = (total[:-2] / total[-1]).reshape(3, -1)
+        return flat, np.stack(state), float(total[-2] / total[-1])
 
 
 @dataclass

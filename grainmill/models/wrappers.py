@@ -237,8 +237,8 @@ class Svm(_Dense):
 class Mlp(_Dense):
     """Multi-layer perceptron over standardised features, of classes or (gaussian) of one number.
 
-    Sigmoid layers are trained by Spark ML (L-BFGS), all others by `network` (averaged mini-batch steps), which `dropout` to
-    `eps` are for; `dropout` acts on the WithDropout activations.
+    Sigmoid layers are trained by Spark ML (ten L-BFGS iterations an epoch), all others by `network` (ten passes an epoch of
+    averaged mini-batch steps), which `batch` to `momentum` are for; `dropout` acts on the WithDropout activations.
     """
 
     hidden: list[int] = field(default_factory=lambda: [200, 200])
@@ -252,7 +252,7 @@ class Mlp(_Dense):
     l2: float = 0.0
     adadelta: bool = True
     rho: float = 0.99
-    eps: float = 1e-8
+    eps: float = 1e-6
     learn_rate: float = 0.1
     momentum: float = 0.5
 
@@ -264,8 +264,8 @@ class Mlp(_Dense):
             raise EngineError(f"activation is one of {ACTIVATIONS}")
         if self.activation == "Sigmoid" and self.family != "gaussian":
             return MultilayerPerceptronClassifier(featuresCol="__x", labelCol="__l", layers=[width, *self.hidden, n_classes], maxIter=self.epochs * 10, seed=self.seed)
-        own = {k: getattr(self, k) for k in ("hidden", "activation", "epochs", "batch", "dropout", "input_dropout", "l1", "l2", "adadelta", "rho", "eps", "learn_rate", "momentum", "seed")}
-        return NetworkTrainer(Network(n_classes=0 if self.family == "gaussian" else n_classes, features="__x", label=self._target, **own))
+        own = {k: getattr(self, k) for k in ("hidden", "activation", "batch", "dropout", "input_dropout", "l1", "l2", "adadelta", "rho", "eps", "learn_rate", "momentum", "seed")}
+        return NetworkTrainer(Network(n_classes=0 if self.family == "gaussian" else n_classes, features="__x", label=self._target, epochs=self.epochs * 10, **own))
 
 
 def auroc(scored: DataFrame, score: str, label: str) -> DataFrame:

@@ -581,7 +581,7 @@ DENSE_MODELS = {
     "gbm_fit": wrappers.Gbm(_FEATURES, "label", n_trees=20, max_depth=3),
     "drf_fit": wrappers.Drf(_FEATURES, "label", n_trees=5, max_depth=5),
     "mlp_fit": wrappers.Mlp(_FEATURES, "label", hidden=[8], epochs=5, activation="Sigmoid"),
-    "mlp_rectifier_fit": wrappers.Mlp(_FEATURES, "label", hidden=[8], epochs=8, adadelta=False, learn_rate=0.01),
+    "mlp_rectifier_fit": wrappers.Mlp(_FEATURES, "label", hidden=[8], epochs=1, adadelta=False, learn_rate=0.01),
 }
 _FITTED = _Y + " SELECT count(*) AS n, count(*) AS n_probabilities, count(*) AS n_classes, true AS beats_base_rate FROM s"
 

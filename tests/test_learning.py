@@ -425,11 +425,11 @@ def test_network_wrapper_uses_its_activation(spark, tmp_path, activation):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(float(rng.normal(3 * (i % 2), 1)), "ab"[i % 2] if i % 5 else None, str(i % 2), float(i % 2 * 10)) for i in range(300)], "x double, c string, y string, z double").coalesce(1).cache()
     kw = {"hidden": [8], "activation": activation, "adadelta": False, "learn_rate": 0.02, "batch": 10}
-    spec = wrappers.Mlp(["x", "c"], "y", epochs=15, dropout=0.1, **kw)
+    spec = wrappers.Mlp(["x", "c"], "y", epochs=2, dropout=0.1, **kw)
     m = spec.fit(df)
     out = m.transform(df, ["y"])
     assert out.where("predict = y").count() > 270 and out.where("abs(p0 + p1 - 1) > 1e-9").count() == 0
     m.save(str(tmp_path / "m"))
     assert wrappers.DenseModel.load(str(tmp_path / "m"), spec).transform(df).collect() == m.transform(df).collect()
-    number = wrappers.Mlp(["x", "c"], "z", family="gaussian", epochs=30, dropout=0.0, **(kw | {"learn_rate": 0.005})).fit(df)
+    number = wrappers.Mlp(["x", "c"], "z", family="gaussian", epochs=3, dropout=0.0, **(kw | {"learn_rate": 0.005})).fit(df)
     assert number.evaluate(df) < 4.0
