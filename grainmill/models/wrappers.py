@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainmill.models.boosting import AnnealedTrees
 from grainmill.models.network import ACTIVATIONS, Network, NetworkTrainer
 from grainmill.schema import EngineError
 
@@ -196,12 +197,23 @@ class _Trees(_Dense):
 
 @dataclass
 class Gbm(_Trees):
-    """Gradient-boosted trees; more than two classes are boosted one against the rest."""
+    """Gradient-boosted trees; more than two classes are boosted one against the rest.
+
+    `learn_rate_annealing` below 1 multiplies the rate of each tree by that of the tree before.
+    """
 
     family: str = "bernoulli"
     learn_rate: float = 0.1
+    learn_rate_annealing: float = 1.0
 
     def _model(self, n_classes: int, width: int):  # noqa: ANN202
+        if not 0 < self.learn_rate_annealing <= 1:
+            raise EngineError("learn_rate_annealing is above 0 and at most 1")
+        if self.learn_rate_annealing < 1:
+            if n_classes > 2:
+                raise EngineError("a falling learning rate is for two classes or a number")
+            tree = {k: v for k, v in self._common().items() if k not in ("featuresCol", "labelCol")}
+            return AnnealedTrees(self.n_trees, self.learn_rate, self.learn_rate_annealing, self.family != "gaussian", tree, label=self._target)
         common = self._common() | {"maxIter": self.n_trees, "stepSize": self.learn_rate}
         if self.family == "gaussian":
             return GBTRegressor(**common)

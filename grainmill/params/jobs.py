@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,15 +66,20 @@ def learner_of(s: JobSettings) -> Learner:
     raise EngineError(f"learner is sgd, momentum, dcasgd, ftrl, fm, ffm or ffm-adagrad, not {kind}")
 
 
-def read_samples(spark: SparkSession, s: JobSettings) -> DataFrame:
+#: A user's own way from lines (sample_id, value) to samples (sample_id, label, [field,] feat, val).
+Parse = Callable[[DataFrame], DataFrame]
+
+
+def read_samples(spark: SparkSession, s: JobSettings, parse: Parse | None = None) -> DataFrame:
+    """Samples from the lines at data.path: by `parse`, or as id lines, or as field lines for field-aware machines."""
     lines = spark.read.text(s.text("data.path")).withColumn("sample_id", F.monotonically_increasing_id())
-    parse = parse_field_lines if s.text("learner").startswith("ffm") else parse_id_lines
-    rows = explode_samples(parse(lines, sep=s.text("data.separator")))
+    own = parse_field_lines if s.text("learner").startswith("ffm") else parse_id_lines
+    rows = parse(lines) if parse else explode_samples(own(lines, sep=s.text("data.separator")))
     n = int(s.number("data.partitions"))
     return rows.repartition(n) if n > 1 else rows
 
 
-def run_job(spark: SparkSession, s: JobSettings | None = None) -> TrainingInfo | DataFrame:
+def run_job(spark: SparkSession, s: JobSettings | None = None, parse: Parse | None = None) -> TrainingInfo | DataFrame:
     """train and increment_train write the model to output.path and return the losses; predict writes and returns the predictions."""
     s = s or JobSettings.read(spark)
     learner = learner_of(s)
@@ -82,7 +88,7 @@ def run_job(spark: SparkSession, s: JobSettings | None = None) -> TrainingInfo |
         init["init"] = s.number("init.value")
     config: StoreConfig = learner.config(table=s.text("table"), seed=int(s.number("init.seed")), buckets=int(s.number("store.buckets")), **init)
     store = ParamStore(spark, config, s.text("job.type"), s.text("model.path") or None, s.text("store.folder") or None)
-    samples = read_samples(spark, s)
+    samples = read_samples(spark, s, parse)
     if s.text("job.type") == "predict":
         out = learner.predict(samples, store)
         if s.text("output.path"):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.operators import ks, profile, ranking
+from grainmill.operators import ks, profile, ranking, sampling
 from grainmill.operators.running import exact_quantiles, running_total
 from grainmill.plans.common import CATS, DENSE, LABELLED, NUMS, dense, long_sql, r
 from grainmill.session import table
@@ -237,6 +237,20 @@ def ks_pvalue_exact(spark: SparkSession, d: str) -> DataFrame:
     return ks.ks_test(a, b, [("x", "x")]).select(r("d", 8).alias("d"), r("p_value", 8).alias("p_value"))
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def take_first(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.take_first(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 50, [F.col("o_totalprice").desc(), "o_orderkey"])
+
+
+@query("SELECT least(500, count(*)) AS n, least(500, count(*)) AS n_distinct, least(500, count(*)) AS n_of_table FROM orders")
+def take_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Rows drawn, different keys among them, and how many of them the table has."""
+    orders = table(spark, d, "orders").select("o_orderkey")
+    drawn = sampling.take_sample(orders, 500, ["o_orderkey"])
+    of_table = drawn.join(orders.select(F.col("o_orderkey").alias("k")).distinct(), F.col("o_orderkey") == F.col("k"), "left")
+    return of_table.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("n_distinct"), F.count("k").alias("n_of_table"))
+
+
 # ---- grouped ranking -----------------------------------------------------------------------------------------------------
 
 _FEATS, _KS_AT = ["score", "margin"], [1, 3, 5]

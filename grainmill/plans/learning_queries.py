@@ -579,6 +579,7 @@ _FEATURES = ["age", "income", "bid", "os_name"]
 DENSE_MODELS = {
     "glm_fit": wrappers.Glm(_FEATURES, "label"),
     "gbm_fit": wrappers.Gbm(_FEATURES, "label", n_trees=20, max_depth=3),
+    "gbm_annealed_fit": wrappers.Gbm(_FEATURES, "label", n_trees=8, max_depth=3, learn_rate=0.3, learn_rate_annealing=0.9),
     "drf_fit": wrappers.Drf(_FEATURES, "label", n_trees=5, max_depth=5),
     "mlp_fit": wrappers.Mlp(_FEATURES, "label", hidden=[8], epochs=5, activation="Sigmoid"),
     "mlp_rectifier_fit": wrappers.Mlp(_FEATURES, "label", hidden=[8], epochs=1, adadelta=False, learn_rate=0.01),
@@ -606,6 +607,11 @@ def gbm_fit(spark: SparkSession, d: str) -> DataFrame:
     return _fitted(spark, d, DENSE_MODELS["gbm_fit"])
 
 
+@query(_FITTED)
+def gbm_annealed_fit(spark: SparkSession, d: str) -> DataFrame:
+    return _fitted(spark, d, DENSE_MODELS["gbm_annealed_fit"])
+
+
 @query(_FITTED)
 def drf_fit(spark: SparkSession, d: str) -> DataFrame:
     return _fitted(spark, d, DENSE_MODELS["drf_fit"])

@@ -169,3 +169,16 @@ def test_ndcg_rules(spark):
     assert got["a", 3][1] == pytest.approx(1.0) and got["e", 3] == (0.0, 0.0)
     rep = {r["metric"]: r["ndcg"] for r in ranking.ndcg_report(ranking.group_ndcg(df, "y", "g", ["v"], [2, 3])).collect()}
     assert rep["ndcg3"] == pytest.approx(1 / 5)
+
+
+def test_samples_are_drawn_again_whatever_the_partitions(spark):
+    from grainmill.operators import sampling
+
+    df = spark.range(2000).withColumn("x", F.col("id") % 7)
+    one = sampling.take_sample(df.repartition(7), 100, ["id"]).collect()
+    assert len(one) == 100 == len({r["id"] for r in one}) and sorted(one) == sorted(sampling.take_sample(df.coalesce(1), 100, ["id"]).collect())
+    assert set(one) != set(sampling.take_sample(df, 100, ["id"], seed=1).collect())
+    means = [np.mean([r["id"] for r in sampling.take_sample(df, 200, ["id"], seed=s).collect()]) for s in range(8)]
+    assert abs(np.mean(means) - 999.5) < 60
+    odd = spark.createDataFrame([(None,), (None,), (1,)], "k int")
+    assert sampling.take_sample(odd, 10, ["k"]).count() == 3 and sampling.take_sample(odd.limit(0), 3, ["k"]).count() == 0

@@ -433,3 +433,22 @@ def test_network_wrapper_uses_its_activation(spark, tmp_path, activation):
     assert wrappers.DenseModel.load(str(tmp_path / "m"), spec).transform(df).collect() == m.transform(df).collect()
     number = wrappers.Mlp(["x", "c"], "z", family="gaussian", epochs=3, dropout=0.0, **(kw | {"learn_rate": 0.005})).fit(df)
     assert number.evaluate(df) < 4.0
+
+
+def test_boosting_with_a_falling_rate(spark, tmp_path):
+    df = dense_frame(spark)
+    two = df.where("y <> 'r'")
+    spec = wrappers.Gbm(["x", "c"], "y", n_trees=12, max_depth=3, learn_rate=0.3, learn_rate_annealing=0.9)
+    m = spec.fit(two, two)
+    assert m.validation_metric > 0.9
+    m.save(str(tmp_path / "m"))
+    out = wrappers.DenseModel.load(str(tmp_path / "m"), spec).transform(two, ["y"])
+    assert out.columns == ["y", "predict", "p0", "p1"] and out.where("abs(p0 + p1 - 1) > 1e-9").count() == 0
+    assert out.where("predict = y").count() > 0.9 * two.count()
+    number = wrappers.Gbm(["x", "c"], "t", family="gaussian", n_trees=12, learn_rate=0.3, learn_rate_annealing=0.95).fit(df)
+    assert number.evaluate(df) < 0.7 * df.agg(F.stddev_pop("t")).head()[0]
+    # one tree of rate 1 is a plain tree on the residuals of the mean
+    one = wrappers.Gbm(["x"], "t", family="gaussian", n_trees=1, learn_rate=1.0, learn_rate_annealing=0.5, max_depth=2).fit(df)
+    assert len({round(r["predict"], 9) for r in one.transform(df).collect()}) <= 4
+    with pytest.raises(EngineError):
+        wrappers.Gbm(["x", "c"], "y", family="multinomial", learn_rate_annealing=0.5).fit(df)
