@@ -5,7 +5,6 @@ from __future__ import annotations
 import bisect
 import json
 import uuid
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa

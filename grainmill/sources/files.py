@@ -116,12 +116,6 @@ def read_libsvm_custom(spark: SparkSession, path: str, num_features: int, partit
     return _spread(parsed.select(F.col("label").alias(label), sparse_vector(F.col("indices"), F.col("values"), num_features).alias(features)), partitions)
 
 
-def dense_array(indices: Column, values: Column, size: int) -> Column:
-    """An array of `size` doubles from sparse indices and values."""
-    m = F.map_from_arrays(indices, values)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(m, i.cast("bigint")), F.lit(0.0)))
-
-
 def read_table(spark: SparkSession, name: str, partitions: int = -1) -> DataFrame:
     """A catalog table or view."""
     return _spread(spark.read.table(name), partitions)
